@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, quality, simhash, suffix_dedup, toxicity
-from .common import table
+from . import bpe, fingerprints, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,6 +38,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates, their revision, a replay of it, deletes of English rows, and a second tokenizer."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, shared_folder(spark, "token-counts"))
+    rollup.commit("1-estimates", token_counts.estimates(docs, "words-1"))
+    for _ in range(2):
+        rollup.commit("2-exact", token_counts.revisions(docs, "words-1"))
+    rollup.commit("3-english-leaves", token_counts.deletes(token_counts.inserts(docs.where("lang = 'en'"), "words-1")))
+    rollup.commit("4-second-tokenizer", token_counts.inserts(docs, "words-2"))
+    return rollup.totals()
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -42,13 +58,24 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.delete_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_token_counts": token_counts.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
