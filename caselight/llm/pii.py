@@ -75,7 +75,7 @@ def canonical(kind: Column, value: Column) -> Column:
     name = F.concat(gender, F.lit(" "), F.lower(F.substring(value, F.length(_title(value)) + 1, F.length(value))))
     return (
         F.when(kind == "name", name)
-        .when(kind == "phone", F.right(packed, F.lit(10)))
+        .when(kind == "phone", F.right(F.regexp_replace(F.regexp_replace(value, r"^\+[0-9]{1,3}[ .-]", ""), "[^0-9]", ""), F.lit(10)))
         .when(kind.isin("email", "ip"), F.lower(value))
         .when(kind == "secret", value)
         .otherwise(packed)
@@ -99,12 +99,14 @@ def _pick(letters: str, n: Column) -> Column:
 
 
 def like(value: Column, digest: Column) -> Column:
-    """Characters of the same kind, script and case in place of letters and digits."""
+    """Characters of the same kind, script and case in place of letters and digits; hex stays hex."""
+    is_hex = value.rlike("^(?=.*[0-9])[0-9a-f]{12,}$")
 
     def one(c: Column, i: Column) -> Column:
         n = _number(digest, i)
         return (
-            F.when(c.rlike("[0-9]"), _pick("0123456789", n))
+            F.when(is_hex, _pick("0123456789abcdef", n))
+            .when(c.rlike("[0-9]"), _pick("0123456789", n))
             .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
             .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
             .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), _pick("абвгдежзиклмнопрстуфхцчшэюя", n))
@@ -139,10 +141,8 @@ def _card(value: Column, digest: Column) -> Column:
 
 def _name_part(digest: Column, syllables: int, cyrillic: Column, ending: Column) -> Column:
     made = F.array(*[F.lit(i) for i in range(syllables)])
-    latin = F.split(F.lit(_SYLLABLES), " ")
-    other = F.split(F.lit(_CYRILLIC), " ")
-    n = len(_SYLLABLES.split())
-    parts = F.transform(made, lambda i: F.when(cyrillic, F.get(other, (_number(digest, i, 6) % n).cast("int"))).otherwise(F.get(latin, (_number(digest, i, 6) % n).cast("int"))))
+    listed = F.split(F.when(cyrillic, _CYRILLIC).otherwise(_SYLLABLES), " ")
+    parts = F.transform(made, lambda i: F.get(listed, (_number(digest, i, 6) % F.size(listed)).cast("int")))
     return F.initcap(F.concat(F.array_join(parts, ""), ending))
 
 
