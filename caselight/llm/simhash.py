@@ -9,7 +9,7 @@ bits (still exact, by the same argument), as often as needed. From each subtree
 spanning forest of its links, not all pairs.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated
-rows share a component; a null doc_id is never the smallest; an empty table gives no rows.
+rows share a component; a null doc_id is never the smallest, and a group of null ids alone stays whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -202,5 +202,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 
 def first_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The documents with, of each near-duplicate group, the one of smallest doc_id."""
-    kept = near_duplicates(docs, shingle_words).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    found = near_duplicates(docs, shingle_words)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
