@@ -36,7 +36,7 @@ from .common import doc_texts, keep_lineage_short
 
 WINDOW, GRAM = 100, 32
 #: Bytes of text that are worked on at once; snippets of one Burrows-Wheeler transform.
-CHUNK_BYTES, SET_SNIPPETS = 2_000_000, 30_000
+CHUNK_BYTES, SET_SNIPPETS = 2_000_000, 4_000
 #: Different snippets of an anchor beyond which it is dealt by windows.
 WIDE = 4_000
 #: Share of the documents that the search for such anchors looks at, and its bounds.
@@ -259,52 +259,63 @@ class ColumnBWT:
     string's last one that are preceded by the same symbol keep their order in front of it.
     """
 
-    def __init__(self, strings: list[bytes]) -> None:
+    def __init__(self, strings: list[bytes], least: int = 0) -> None:
+        """least: suffixes shorter than this need no names."""
         m = len(strings)
-        sizes = np.array([len(x) for x in strings], np.int64)
+        sizes = self.sizes = np.array([len(x) for x in strings], np.int64)
         data = np.frombuffer(b"".join(strings), np.uint8)
         ends = np.cumsum(sizes)
-        self.sizes = sizes
+        # symbols are the ranks of the bytes that occur, from 1; 0 ends a string
+        codes = np.zeros(256, np.uint16)
+        codes[np.unique(data)] = np.arange(1, len(np.unique(data)) + 1)
+        data = codes.astype(np.uint8 if codes.max() < 256 else np.uint16)[data]
         active = np.flatnonzero(sizes > 0)
-        # a symbol is a byte and a bit that says there is one; 0 ends a string
-        before = np.zeros(m, np.uint16)
-        before[active] = data[ends[active] - 1].astype(np.uint16) + 1
-        self.symbol, self.lcp = before, np.zeros(m, np.uint8)
-        self.string, self.length = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-        spot = np.arange(m)
-        step = 0
+        self.symbol, self.lcp = np.zeros(m, data.dtype), np.zeros(m, np.uint8)
+        self.symbol[active] = data[ends[active] - 1]
+        self.name = np.arange(m) * 256  # string * 256 + length; -1 where it does not matter
+        spot, step, n_ended = np.arange(m), 0, m - len(active)
         while len(active):
             step += 1
             order = np.argsort(self.symbol, kind="stable")
-            ended = int((self.symbol == 0).sum())
-            # rank of each place among places of its symbol, behind all empty suffixes
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order)) - ended + m
+            # where the places of the active strings stand in that order: by symbol, then place
             at = spot[active]
-            to = rank[at]
-            where = to + ended - m  # the places in `order`
             here = self.symbol[at]
+            mine = np.lexsort((at, here))
+            is_active = np.zeros(len(order), bool)
+            is_active[at] = True
+            where = np.empty(len(active), np.int64)
+            where[mine] = np.flatnonzero(is_active[order])
+            to = where - n_ended + m
             low = self._between(order, where - 1, where, here)
             high = self._between(order, where, where + 1, here)
-            nxt = ends[active] - step - 1
             more = sizes[active] > step
-            fresh = np.zeros(len(active), np.uint16)
-            fresh[more] = data[nxt[more]].astype(np.uint16) + 1
-            total = len(self.symbol) + len(active)
+            fresh = np.zeros(len(active), data.dtype)
+            fresh[more] = data[ends[active[more]] - step - 1]
+            total = len(order) + len(active)
             old = np.ones(total, bool)
             old[to] = False
-            merged = []
-            for kept, added in ((self.symbol, fresh), (self.lcp, low), (self.string, active.astype(np.int32)), (self.length, np.full(len(active), step, np.uint8))):
-                out = np.empty(total, kept.dtype)
-                out[old] = kept
-                out[to] = added
-                merged.append(out)
-            self.symbol, self.lcp, self.string, self.length = merged
+            self.symbol = self._merged(old, to, self.symbol, fresh)
+            self.lcp = self._merged(old, to, self.lcp, low)
+            if step == least:
+                self.name = np.full(total, -1)
+                self.name[to] = active * 256 + step
+            elif step > least:
+                self.name = self._merged(old, to, self.name, active * 256 + step)
             behind = to + 1
             touch = (behind < total) & np.append(old, True)[np.minimum(behind, total)]
             self.lcp[behind[touch]] = high[touch]
             spot[active] = to
+            n_ended += int((~more).sum())
             active = active[more]
+        if step < least:
+            self.name = np.full(len(self.symbol), -1)
+
+    @staticmethod
+    def _merged(old: np.ndarray, to: np.ndarray, kept: np.ndarray, added: np.ndarray) -> np.ndarray:
+        out = np.empty(len(old), kept.dtype)
+        out[old] = kept
+        out[to] = added
+        return out
 
     def _between(self, order: np.ndarray, a: np.ndarray, b: np.ndarray, here: np.ndarray) -> np.ndarray:
         """1 + the least common prefix between two neighbouring places of one symbol; else 0."""
@@ -319,22 +330,21 @@ class ColumnBWT:
             pick = np.argsort(start, kind="stable")
             pairs = np.column_stack((start[pick], stop[pick])).ravel()
             padded = np.append(self.lcp, np.uint8(0))
-            least = np.minimum.reduceat(padded, pairs)[::2]
-            out[found[pick]] = least + 1
+            out[found[pick]] = np.minimum.reduceat(padded, pairs)[::2] + np.uint8(1)
         return out
 
     def repeats(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(group, string, offset) of all substrings of this width that occur more than once."""
-        long = self.length >= width
-        joined = np.concatenate(([False], self.lcp[1:] >= width))
-        inside = (joined | np.append(joined[1:], False)) & long
-        group = np.cumsum(~joined)
-        return group[inside], self.string[inside], self.sizes[self.string[inside]] - self.length[inside]
+        joined = self.lcp >= width
+        joined[:1] = False
+        inside = joined | np.append(joined[1:], False)
+        group, name = np.cumsum(~joined)[inside], self.name[inside]
+        return group, name >> 8, self.sizes[name >> 8] - (name & 255)
 
 
 def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """PARTS of kind copy from snippets (doc_id, mark, start, bytes) whose windows repeat earlier ones."""
-    group, string, offset = ColumnBWT(rows["bytes"].tolist()).repeats(WINDOW)
+    group, string, offset = ColumnBWT(rows["bytes"].tolist(), WINDOW).repeats(WINDOW)
     ids, mark = rows["doc_id"].to_numpy(np.int64)[string], rows["mark"].to_numpy(np.int64)[string]
     start = rows["start"].to_numpy(np.int64)[string] + offset
     order = np.lexsort((start, mark, ids, group))
