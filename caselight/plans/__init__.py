@@ -1,12 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from __future__ import annotations
+from . import evidence, operations, quality, retrieval, streams, texts
+from .registered import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "operations", "quality", "retrieval", "streams", "texts"]
