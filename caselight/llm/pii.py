@@ -94,13 +94,18 @@ def _number(digest: Column, i: Column | int, digits: int = 4) -> Column:
     return F.conv(F.substring(digest, (at * 3 % (128 - digits)).cast("int") + 1, F.lit(digits)), 16, 10).cast("long")
 
 
+def _turned(digest: Column, by: int) -> Column:
+    """The digest read from another digit on."""
+    return F.concat(F.substring(digest, by + 1, 128), F.substring(digest, 1, by))
+
+
 def _pick(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), (n % len(letters)).cast("int") + 1, F.lit(1))
 
 
 def like(value: Column, digest: Column) -> Column:
     """Characters of the same kind, script and case in place of letters and digits; hex stays hex."""
-    is_hex = value.rlike("^(?=.*[0-9])[0-9a-f]{12,}$")
+    is_hex = value.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{12,}$")
 
     def one(c: Column, i: Column) -> Column:
         n = _number(digest, i)
@@ -124,7 +129,7 @@ def _luhn_sum(digits: Column) -> Column:
     reversed_ = F.split(F.reverse(digits), "")
 
     def one(c: Column, i: Column) -> Column:
-        d = c.cast("int")
+        d = F.coalesce(c.try_cast("int"), F.lit(0))
         doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
         return F.when(i % 2 == 1, doubled).otherwise(d)
 
@@ -135,7 +140,7 @@ def _card(value: Column, digest: Column) -> Column:
     """The network's first digit stays; a valid number stays valid."""
     body = F.concat(F.substring(value, 1, 1), like(F.substring(value, F.lit(2), F.length(value) - 2), digest))
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    plain = like(F.right(value, F.lit(1)), F.substring(digest, F.lit(60), F.lit(60)))
+    plain = like(F.right(value, F.lit(1)), _turned(digest, 60))
     return F.concat(body, F.when(_luhn_sum(value) % 10 == 0, check).otherwise(plain))
 
 
@@ -163,7 +168,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     at = F.instr(value, "@")
     local, host = F.substring(value, F.lit(1), at - 1), F.substring(value, at + 1, F.length(value))
     zone = F.get(F.array(*map(F.lit, ("com", "net", "org"))), (_number(d, 40) % 3).cast("int"))
-    label = like(F.regexp_extract(host, r"^([^.]*)", 1), F.substring(d, F.lit(50), F.lit(78)))
+    label = like(F.regexp_extract(host, r"^([^.]*)", 1), _turned(d, 50))
     email = F.concat(like(local, d), F.lit("@"), F.regexp_replace(label, "-", "x"), F.lit(".example."), zone)
     ip = F.concat_ws(".", *[(_number(d, i * 3) % 254 + 1).cast("string") for i in range(4)])
     key_ = F.concat(F.substring(value, 1, 4), like(F.substring(value, F.lit(5), F.length(value)), d))
