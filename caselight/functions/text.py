@@ -42,14 +42,14 @@ REDACTIONS = (
     (r"(?iu)(?<![\p{L}\p{N}_])(?:ФИО|контактное\s+лицо|заявитель|пользователь)\s*[:№#-]?\s*[А-ЯЁ][а-яё-]+(?:\s+[А-ЯЁ][а-яё-]+){1,2}", "[PERSON]"),
 )
 
-#: Signs of lines in documents.
-HEADING = r"^\d+(\.\d+)*[.)]?\s+\S"
-STEP = r"^\s*(?:\d+[.)]|[-*•])\s+\S"
-WARNING = r"(?iu)(?:внимание|важно|warning|caution)"
-CONDITION = r"(?iu)^\s*(?:если|при условии|в случае|if|when)(?![\p{L}\p{N}_])"
-STATUS = r"(?iu)(?:статус|status)"
-CODE = r"```|(?<![\p{L}\p{N}_])(?:SELECT|INSERT|curl|python)(?![\p{L}\p{N}_])"
-DEFINITION = r"(?iu)(?:\s—\sэто\s|\sis an?\s|означает)"
+#: Signs of lines in documents. A word's ends are where letters and digits end.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+STEP = r"^\s*(?:\d+[.)]|[-–—•])\s+\S"
+CONDITION = rf"(?iu)^\s*(?:если|при условии|при отсутствии|в случае|when|if){_AFTER}"
+WARNING = rf"(?iu){_BEFORE}(?:внимание|важно|предупреждение|запрещено|warning|important){_AFTER}"
+STATUS = rf"(?iu){_BEFORE}(?:статус|status|состояние|закрыт|отклонен|принят|active|closed){_AFTER}"
+CODE = rf"```|{_BEFORE}(?:SELECT|INSERT|curl|python){_AFTER}"
+DEFINITION = r"\s(?:—|-|:)\s"
 
 
 def fold_spaces(text: Column) -> Column:

@@ -32,7 +32,7 @@ def evaluate_turns(turns: DataFrame) -> DataFrame:
 def group_source(service_need: Column, error: Column, reasons: Column, decision: Column) -> tuple[Column, Column]:
     """Which attribute names a turn's group, and its value: the first that is not blank."""
     blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    codes = F.array_sort(F.filter(F.transform(F.coalesce(reasons, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    codes = F.array_sort(F.filter(F.transform(F.coalesce(reasons, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     joined = F.nullif(F.array_join(codes, "|"), F.lit(""))
     need, err, dec = blank(service_need), blank(error), blank(decision)
     source = F.when(need.isNotNull(), "service_need").when(err.isNotNull(), "error_category").when(joined.isNotNull(), "reason_code").when(dec.isNotNull(), "decision_label")

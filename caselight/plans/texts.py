@@ -30,9 +30,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-SELECT CASE WHEN regexp_matches(line, '(?i)^\s*(if|when)( |$)') THEN 'condition' WHEN regexp_matches(line, '(?i)(warning|caution)') THEN 'warning'
-            WHEN regexp_matches(line, '(?i)status') AND regexp_matches(line, '[:—-]') THEN 'status_rule' WHEN regexp_matches(line, '^\s*([0-9]+[.)]|[-*•])\s+\S') THEN 'procedure_step'
-            WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])(SELECT|INSERT|curl|python)([^A-Za-z0-9_]|$)') THEN 'code_example' WHEN regexp_matches(line, '(?i)\sis an?\s') THEN 'definition' ELSE 'paragraph' END AS kind,
+SELECT CASE WHEN regexp_matches(line, '(?i)^\s*(if|when)([^A-Za-z0-9_]|$)') THEN 'condition'
+            WHEN regexp_matches(line, '(?i)(^|[^\pL\pN_])(warning|important)([^\pL\pN_]|$)') THEN 'warning'
+            WHEN regexp_matches(line, '(?i)(^|[^\pL\pN_])(status|active|closed)([^\pL\pN_]|$)') AND regexp_matches(line, '[:—-]') THEN 'status_rule'
+            WHEN regexp_matches(line, '^\s*([0-9]+[.)]|[-–—•])\s+\S') THEN 'procedure_step'
+            WHEN regexp_matches(line, '(^|[^\pL\pN_])(SELECT|INSERT|curl|python)([^\pL\pN_]|$)') THEN 'code_example'
+            WHEN regexp_matches(line, '\s(—|-|:)\s') THEN 'definition' ELSE 'paragraph' END AS kind,
        count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS n_chars
 FROM lines GROUP BY 1
 """)
