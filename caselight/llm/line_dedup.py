@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_lineage_short
+from .common import free_name, keep_lineage_short
 
 #: Fewest consecutive lines that count as a repeated run.
 LEAST_LINES = 3
@@ -105,11 +105,12 @@ def delete_repeated_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFram
 
 def without_repeated_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     """The documents with all their columns; only text changes."""
-    spans = spans_to_delete(_keyed(docs), least).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_mark"))
+    doc, mark, own = (free_name(docs, n) for n in ("_doc", "_mark", "_spans"))
+    spans = spans_to_delete(_keyed(docs), least).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(own))
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(mark))
     both = docs.join(spans, key, "left")
-    changed = F.array_join(_kept_lines(F.split("text", "\n"), F.col("_spans")), "\n")
-    return both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(changed)).drop("_doc", "_mark", "_spans")
+    changed = F.array_join(_kept_lines(F.split("text", "\n"), F.col(own)), "\n")
+    return both.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(changed)).drop(doc, mark, own)
 
 
 #: The same in SQL, for tables without repeated doc_ids.

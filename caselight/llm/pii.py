@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_lineage_short
+from .common import free_name, keep_lineage_short
 
 #: Keyed digests need a secret of the caller's; this one serves tests and examples.
 EXAMPLE_KEY = "example key"
@@ -265,10 +265,11 @@ def replace_pii(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
 
 def without_pii(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
     """The documents with all their columns; only text changes."""
-    put = replacements(docs, key).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("put").alias("_put"))
+    doc, mark, own = (free_name(docs, n) for n in ("_doc", "_mark", "_put"))
+    put = replacements(docs, key).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("put").alias(own))
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     some = docs.where(hinted)
-    on = (F.coalesce(some["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(some["text"]) == F.col("_mark"))
-    text = F.when(F.col("_put").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), F.col("_put")))
-    changed = some.join(put, on, "left").withColumn("text", text).drop("_doc", "_mark", "_put")
+    on = (F.coalesce(some["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(some["text"]) == F.col(mark))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), F.col(own)))
+    changed = some.join(put, on, "left").withColumn("text", text).drop(doc, mark, own)
     return changed.unionByName(docs.where(~hinted))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, keep_lineage_short
+from .common import doc_texts, free_name, keep_lineage_short
 from .components import component_roots
 
 SHINGLE_WORDS = 3
@@ -203,5 +203,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 def first_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The documents with, of each near-duplicate group, the one of smallest doc_id."""
     found = near_duplicates(docs, shingle_words)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    own = free_name(docs, "_kept")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")

@@ -348,8 +348,10 @@ def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
     ids, mark = rows["doc_id"].to_numpy(np.int64)[string], rows["mark"].to_numpy(np.int64)[string]
     start = rows["start"].to_numpy(np.int64)[string] + offset
     order = np.lexsort((start, mark, ids, group))
-    again = np.concatenate(([False], group[order][1:] == group[order][:-1]))
-    pick = order[again]
+    new = np.concatenate(([True], group[order][1:] != group[order][:-1]))[: len(order)]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    # repeated rows are one document, whose first window is no copy in either
+    pick = order[(ids[order] != ids[head]) | (mark[order] != mark[head]) | (start[order] != start[head])]
     rows = pd.DataFrame({"doc_id": ids[pick], "place": _pack(mark[pick], start[pick], np.ones(len(pick), np.int64))})
     merged = _merged(rows)
     mark, start, _ = _unpack(merged["place"].to_numpy(np.int64))
@@ -378,8 +380,11 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     windows += [(data[a : a + WINDOW], doc_id, mark, a) for a in range(start, stop - WINDOW + 1)]
         windows.sort()
-        for k, (content, doc_id, mark, a) in enumerate(windows):
-            again = k and windows[k - 1][0] == content
+        head = None
+        for content, doc_id, mark, a in windows:
+            if head is None or head[0] != content:
+                head = (content, doc_id, mark, a)
+            again = head != (content, doc_id, mark, a)
             key = xxhash.xxh3_64_intdigest(content) - (1 << 63)
             rows.append(("copy" if again else "open", a if again else key, doc_id, mark, a, a + WINDOW, b"" if again else content))
         if rows:
