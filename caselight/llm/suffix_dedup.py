@@ -75,10 +75,10 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def snippets(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(document, start, windows, anchor hash, content hash) of all snippets of some texts."""
+    """(document, start, windows, place of the anchor, anchor hash, content hash) of all snippets."""
     lengths = np.array([len(x) for x in texts], np.int64)
     data = b"".join(texts)
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
     if len(data) < WINDOW:
         return tuple(found)
     ends = np.cumsum(lengths)
@@ -96,7 +96,7 @@ def snippets(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     digest = xxhash.xxh3_64_intdigest
     content = np.array([digest(data[a:b], k) for a, b, k in zip(start.tolist(), (start + count + WINDOW - 1).tolist(), offset.tolist(), strict=True)], np.uint64)
     begin = ends - lengths
-    return doc, start - begin[doc], count, hashes[at[first]].view(np.int64), content.view(np.int64)
+    return doc, start - begin[doc], count, offset, hashes[at[first]].view(np.int64), content.view(np.int64)
 
 
 def chunks(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -116,13 +116,13 @@ def text_marks(texts: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) & 0xFFFF for x in texts], np.int64)
 
 
-def _pack(mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """One number that sorts by mark, then start; count is at most 255."""
-    return (mark << 47) | (start << 8) | count
+def _pack(mark: np.ndarray, start: np.ndarray, count: np.ndarray, gram: np.ndarray | int = 0) -> np.ndarray:
+    """One number that sorts by mark, then start. gram: where in the snippet its anchor stands."""
+    return (mark << 47) | (start << 15) | (gram << 8) | count
 
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 47, (place >> 8) & ((1 << 39) - 1), place & 255
+    return place >> 47, (place >> 15) & ((1 << 32) - 1), place & 255
 
 
 def _windows(data: bytes, start: int, count: int) -> list[int]:
@@ -144,7 +144,7 @@ def _snippet_rows(wide: frozenset[int]):
         for batch in batches:
             parts = []
             for ids, texts in chunks(batch["doc_id"].to_numpy(np.int64), batch["text"].tolist()):
-                doc, start, count, anchor, content = snippets(texts)
+                doc, start, count, gram, anchor, content = snippets(texts)
                 marks = text_marks(texts)
                 common = np.isin(anchor, wide_ids) if len(wide_ids) else np.zeros(len(anchor), bool)
                 if common.any():
@@ -154,9 +154,9 @@ def _snippet_rows(wide: frozenset[int]):
                     doc2 = np.repeat(some[0], some[2])
                     start2 = np.concatenate([np.arange(s, s + c) for s, c in zip(some[1].tolist(), some[2].tolist(), strict=True)])
                     doc, start = np.concatenate((doc[~common], doc2)), np.concatenate((start[~common], start2))
-                    count = np.concatenate((count[~common], np.ones(len(many), np.int64)))
+                    count, gram = np.concatenate((count[~common], np.ones(len(many), np.int64))), np.concatenate((gram[~common], np.zeros(len(many), np.int64)))
                     anchor, content = np.concatenate((anchor[~common], many)), np.concatenate((content[~common], ~many))
-                parts.append((ids[doc], _pack(marks[doc], start, count), anchor, content))
+                parts.append((ids[doc], _pack(marks[doc], start, count, gram), anchor, content))
             if not parts:
                 continue
             ids, place, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -194,14 +194,15 @@ def _merged(copies: pd.DataFrame) -> pd.DataFrame:
 
 #: What is known of a part of a document. kind: "copy" (remove start to stop), "open" (compare
 #: the snippet's bytes with others of its key) or "wide" (compare its windows one by one).
-PARTS = "kind string, key long, doc_id long, mark long, start long, stop long"
+PARTS = "kind string, key long, doc_id long, mark long, start long, stop long, gram long"
 
 
 def _parts(kind: str, key, ids, place=None, mark=None, start=None, stop=None) -> pd.DataFrame:
+    gram = 0
     if place is not None:
         mark, start, count = _unpack(place)
-        stop = start + count + WINDOW - 1
-    return pd.DataFrame({"kind": kind, "key": key, "doc_id": ids, "mark": mark, "start": start, "stop": stop})
+        stop, gram = start + count + WINDOW - 1, (place >> 8) & 127
+    return pd.DataFrame({"kind": kind, "key": key, "doc_id": ids, "mark": mark, "start": start, "stop": stop, "gram": gram})
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,8 +343,27 @@ class ColumnBWT:
         return group, name >> 8, self.sizes[name >> 8] - (name & 255)
 
 
+def may_repeat(rows: pd.DataFrame) -> np.ndarray:
+    """Which snippets can share a window with another one.
+
+    A window reaches 34 bytes or more beyond its anchor on one side, so two that are equal have
+    equal bytes from there to the anchor's other end. Snippets without such bytes in common leave.
+    """
+    side = (WINDOW - GRAM) // 2
+    digest = xxhash.xxh3_64_intdigest
+    keys = []
+    for data, gram in zip(rows["bytes"], rows["gram"].tolist(), strict=True):
+        keys.append((digest(data[gram - side : gram + GRAM], 1) if gram >= side else 0, digest(data[gram : gram + GRAM + side], 2) if len(data) >= gram + GRAM + side else 0))
+    out = np.zeros(len(rows), bool)
+    for column in np.array(keys, np.uint64).reshape(-1, 2).T:
+        _, number, count = np.unique(column, return_inverse=True, return_counts=True)
+        out |= (count[number] > 1) & (column != 0)
+    return out
+
+
 def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """PARTS of kind copy from snippets (doc_id, mark, start, bytes) whose windows repeat earlier ones."""
+    rows = rows[may_repeat(rows)].reset_index(drop=True)
     group, string, offset = ColumnBWT(rows["bytes"].tolist(), WINDOW).repeats(WINDOW)
     ids, mark = rows["doc_id"].to_numpy(np.int64)[string], rows["mark"].to_numpy(np.int64)[string]
     start = rows["start"].to_numpy(np.int64)[string] + offset
@@ -376,7 +396,7 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 start, stop = p["start"], p["stop"]
                 if p["kind"] == "open":
-                    rows.append(("open", p["key"], doc_id, mark, start, stop, data[start:stop]))
+                    rows.append(("open", p["key"], doc_id, mark, start, stop, p["gram"], data[start:stop]))
                 else:
                     windows += [(data[a : a + WINDOW], doc_id, mark, a) for a in range(start, stop - WINDOW + 1)]
         windows.sort()
@@ -386,7 +406,7 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 head = (content, doc_id, mark, a)
             again = head != (content, doc_id, mark, a)
             key = xxhash.xxh3_64_intdigest(content) - (1 << 63)
-            rows.append(("copy" if again else "open", a if again else key, doc_id, mark, a, a + WINDOW, b"" if again else content))
+            rows.append(("copy" if again else "open", a if again else key, doc_id, mark, a, a + WINDOW, 0, b"" if again else content))
         if rows:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FETCHED.split(", ")])
 
@@ -417,7 +437,7 @@ def wide_anchors(docs: DataFrame) -> frozenset[int]:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, texts in chunks(batch["doc_id"].to_numpy(np.int64), batch["text"].tolist()):
-                _, _, _, anchor, content = snippets(texts)
+                *_, anchor, content = snippets(texts)
                 yield pd.DataFrame({"anchor": anchor, "content": content})
 
     some = docs.where(F.abs(F.xxhash64("doc_id")) % 1000 < int(1000 * LOOK_SHARE))
@@ -431,7 +451,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.mapInPandas(_snippet_rows(wide_anchors(docs)), SNIPPETS)
     order = ("anchor", "content", "doc_id", "place")
     met = keep_lineage_short(rows.repartition("deal").sortWithinPartitions(*order).mapInPandas(_meet, PARTS))
-    unsettled = met.where("kind <> 'copy'").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "mark", "start", "stop")).alias("parts"))
+    unsettled = met.where("kind <> 'copy'").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "mark", "start", "stop", "gram")).alias("parts"))
     fetched = docs.join(unsettled, "doc_id", "left").mapInPandas(_fetch, FETCHED)
     compared = fetched.repartition("key").sortWithinPartitions("key").mapInPandas(_compare, PARTS)
     return met.where("kind = 'copy'").union(compared).select("doc_id", "mark", "start", "stop")
