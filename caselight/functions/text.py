@@ -174,3 +174,82 @@ def without_thoughts(text: Column) -> Column:
 def source_name(path: Column) -> Column:
     """A path with plain separators and without empty and dot parts."""
     return F.array_join(F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda p: ~p.isin("", ".")), "/")
+
+
+#: Short names of documents and technical words that count as exact codes.
+ABBREVIATIONS = ("упд", "укд", "мчд", "yml", "сте", "эдо", "эп", "рдик", "rdik")
+TECHNICAL = ("pdf", "xml", "xlsx", "xls", "csp", "diadoc", "калуга", "астрал")
+QUERY_TOKEN = r"(?<![\p{L}\p{N}_])([A-Za-zА-Яа-яЁё]+[A-Za-zА-Яа-яЁё0-9]*(?:[-_/][A-Za-zА-Яа-яЁё0-9]+)+|[A-Za-zА-Яа-яЁё]{2,8}|\d+)(?![\p{L}\p{N}_])"
+
+
+def query_entities(text: Column) -> Column:
+    """Typed tokens of a query (array of kind, value), in order, each once."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUERY_TOKEN), F.lit(1))
+
+    def kind(t: Column) -> Column:
+        name = normalize_query(t)
+        return (
+            F.when(name.isin(*ABBREVIATIONS), "document_abbreviation")
+            .when(name.isin(*TECHNICAL), "technical_token")
+            .when(t.rlike("[0-9]") & t.rlike("[-_/]"), "exact_code")
+            .when(t.rlike("[0-9]") & (F.length(t) >= 2), "numeric_identifier")
+        )
+
+    typed = F.transform(found, lambda t: F.struct(kind(t).alias("kind"), t.alias("value")))
+    return F.array_distinct(F.filter(typed, lambda x: x["kind"].isNotNull()))
+
+
+def exact_codes(text: Column) -> Column:
+    """The values of a query's typed tokens, each once."""
+    return F.array_distinct(F.transform(query_entities(text), lambda x: x["value"]))
+
+
+def language(text: Column) -> Column:
+    return F.when(text.rlike("[А-Яа-яЁё]"), "ru").otherwise("unknown")
+
+
+#: Names that history writes in Latin letters, and its prefix of a topic.
+HISTORY_NAMES = (("упд", "upd"), ("укд", "ukd"), ("мчд", "mcd"))
+TOPIC_PREFIX = r"(?iu)^\s*подтема\s+запроса\s*:\s*"
+
+
+def history_form(text: Column) -> Column:
+    """Search form of past questions: no topic prefix, names in Latin letters, words alone."""
+    out = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), "ёЁ", "еЕ")), TOPIC_PREFIX, "")
+    for name, latin in HISTORY_NAMES:
+        out = F.replace(out, F.lit(name), F.lit(latin))
+    return F.array_join(F.regexp_extract_all(out, F.lit("([a-zа-яё0-9]+)"), F.lit(1)), " ")
+
+
+#: Words that deny each other.
+OPPOSITES = (("можно", "нельзя"), ("обязательно", "не обязательно"), ("сохраняется", "не сохраняется"))
+
+
+def contradict(a: Column, b: Column) -> Column:
+    out = F.lit(False)
+    for yes, no in OPPOSITES:
+        out = out | (a.contains(yes) & b.contains(no)) | (a.contains(no) & b.contains(yes))
+    return out
+
+
+def context(text: Column) -> dict[str, Column]:
+    """What a query says of role, process, provider, error code, attempt and duration; null if nothing."""
+    has = lambda pattern: text.rlike(f"(?iu){pattern}")
+    process = (
+        F.when(has(r"исправит[\p{L}]*.*(?:упд|укд)|(?:упд|укд).*исправит"), "UPD correction")
+        .when(has("упд|укд|исполнен"), "contract execution")
+        .when(has("мчд|доверен"), "MCD management")
+        .when(has("yml|прайс"), "YML import")
+        .when(has(r"ste|сте|оферт|импорт[\p{L}]*\s+файл") & has("импорт|загрузк|статус"), "offer import")
+        .when(has(r"ste|сте|оферт|импорт[\p{L}]*\s+файл"), "offer/STE")
+    )
+    role = F.when(has("администрат"), "company administrator").when((process == "MCD management") & has("пользоват|поставщик"), "supplier user").when(has("поставщик"), "supplier").when(has("заказчик"), "customer")
+    provider = F.when(has("еис|эис"), "EIS").when(has(r"портал[\p{L}]*\s+поставщик"), "Supplier Portal").when(has(r"портал[\p{L}]*\s+заказчик"), "Customer Portal")
+    code = F.nullif(F.regexp_extract(text, r"(?iu)((?:rdik|рдик)[_-][a-zа-яё0-9_-]+)", 1), F.lit(""))
+    tried = F.when(has(r"уже\s+(?:пробов|сделал|загрузил)|не\s+помогл"), "already tried")
+    return {"role": role, "process": process, "provider": provider, "error_code": code, "attempted_action": tried, "duration_minutes": duration_minutes(text)}
+
+
+def scope_reply(text: Column) -> Column:
+    """Which server-side answer a plain greeting or thanks gets; null where the message goes on."""
+    return F.when(text.rlike(GREETING), "GREETING").when(text.rlike(THANKS), "THANKS")

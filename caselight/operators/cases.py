@@ -85,3 +85,50 @@ def resolution(events: DataFrame, case: str, order: str, kind: str) -> DataFrame
     last = F.max_by("sets", F.when(F.col("sets").isNotNull(), F.col(order)))
     first = F.min_by("fills", F.when(F.col("fills").isNotNull(), F.col(order)))
     return rows.groupBy(case).agg(F.coalesce(last, first, F.lit("UNKNOWN")).alias("resolution"))
+
+
+#: The fields that may be kept of a fact's origin.
+PROVENANCE_KEYS = ("trace_id", "producer", "source_reference")
+
+
+def provenance(supplied: Column) -> Column:
+    """The allowed entries of a map of strings."""
+    return F.map_filter(supplied, lambda k, _: k.isin(*PROVENANCE_KEYS))
+
+
+def union_of_names(*lists: Column) -> Column:
+    """Names of all lists, each once whatever its case, in the spelling met first."""
+    joined = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
+    return F.aggregate(joined, F.array().cast("array<string>"), lambda seen, x: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(x)), seen).otherwise(F.array_append(seen, x)))
+
+
+def decision(sufficiency: Column, risk: Column, clarifications: Column, verified: Column, human: Column, limit: int = 2) -> Column:
+    """What a turn leads to after the evidence gate; clarifications are asked twice at most."""
+    return (
+        F.when(human, "HANDOFF_OFFER")
+        .when((sufficiency == "CONDITION_DEPENDENT") & (clarifications < limit), "CLARIFY")
+        .when((sufficiency == "SUFFICIENT") & verified & risk, "ANSWER_AND_HANDOFF")
+        .when((sufficiency == "SUFFICIENT") & verified, "ANSWER")
+        .otherwise("HANDOFF_OFFER")
+    )
+
+
+def handoff_packages(turns: DataFrame, slots: DataFrame, sources: DataFrame, case: str) -> DataFrame:
+    """One row per case: the last question, known slots (`name=value`), and its sources.
+
+    turns: case, seq, question; slots: case, slot, value; sources: case, source.
+    """
+    last = turns.groupBy(case).agg(F.max_by("question", "seq").alias("question"), F.count("*").alias("n_turns"))
+    pairs = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "slot", F.col("value").cast("string")))), ",").alias("slots")
+    known = slots.groupBy(case).agg(pairs)
+    cited = sources.groupBy(case).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    return last.join(known, case, "left").join(cited, case, "left")
+
+
+def aged(at: Column, now: Column, ttl: str) -> Column:
+    """Whether something that began at a time has outlived its time to live."""
+    return at < now - F.expr(f"interval {ttl}")
+
+
+def within_tolerance(sent: Column, now: Column, seconds: int) -> Column:
+    return F.abs(F.timestamp_diff("SECOND", sent, now)) <= seconds

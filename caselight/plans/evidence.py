@@ -105,3 +105,29 @@ def specificity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.lower(F.regexp_extract("text", r"^([^\n]*)", 1))
     rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), line.alias("line"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.filter("w", lambda x: F.col("line").contains(x))).cast("long").alias("n_in_first_line"))
+
+
+@query("""
+WITH s AS (SELECT l_partkey AS card_id, l_suppkey AS src, l_linenumber FROM lineitem WHERE l_quantity >= 49),
+m AS (SELECT s.card_id, bool_or(x.s_suppkey IS NULL) AS lost, bool_or(coalesce(x.s_acctbal < 0, FALSE)) AS low FROM (SELECT DISTINCT card_id, src FROM s) s LEFT JOIN supplier x ON x.s_suppkey = s.src AND x.s_nationkey <> 3 GROUP BY 1)
+SELECT CAST(card_id AS VARCHAR) AS card_id, concat_ws(',', CASE WHEN lost THEN 'UNKNOWN_SOURCE' END, CASE WHEN low THEN 'FOREIGN_CORPUS' END) AS issues FROM m
+""")
+def card_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as cards whose sources are suppliers: some are unknown, some of another corpus."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
+    none = F.array().cast("array<string>")
+    cards = lines.groupBy(F.col("l_partkey").cast("string").alias("card_id")).agg(F.array_sort(F.collect_list(F.col("l_suppkey").cast("string"))).alias("source_fragment_ids"))
+    cards = cards.select("card_id", F.lit("1").alias("version"), "source_fragment_ids", none.alias("source_quotes"), none.alias("required_slots"))
+    corpus = F.when(F.col("s_acctbal") < 0, "HISTORICAL").otherwise("NORMATIVE").alias("corpus")
+    fragments = table(spark, sf_dir, "supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").cast("string").alias("fragment_id"), F.col("s_name").alias("text"), corpus)
+    return evidence.audit_cards(cards, fragments, ()).select("card_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query()
+def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed tokens, context and language of each turn."""
+    text = F.col("text")
+    said = T.context(text)
+    kinds = F.array_join(F.transform(T.query_entities(text), lambda x: F.concat_ws(":", x["kind"], x["value"])), ",")
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", kinds.alias("entities"), T.language(text).alias("language"), *[c.alias(n) for n, c in said.items()], T.scope_reply(text).alias("scope"))

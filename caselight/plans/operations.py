@@ -354,3 +354,92 @@ def routing_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
     decided = cases.routing(value < 5, (value >= 5) & (value < 10), flags, value > 200)
     return table(spark, sf_dir, "events").select("event_id", decided.alias("d")).select("event_id", "d.need", "d.line", "d.queue", "d.engineering", F.array_join("d.reasons", ",").alias("reasons"))
+
+
+@query("""
+SELECT o.o_orderkey AS case_id, count(*) AS n_turns, string_agg(l.l_linenumber || ':' || l.l_returnflag, ',' ORDER BY l.l_linenumber, l.l_returnflag) AS turns
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'P' GROUP BY 1
+""")
+def aggregate_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with their turns nested, in order."""
+    turns = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_returnflag")
+    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("case_id"))
+    nested = turns.join(held, "case_id").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("turns"))
+    listed = F.transform("turns", lambda t: F.concat_ws(":", t["l_linenumber"].cast("string"), t["l_returnflag"]))
+    return nested.select("case_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(listed, ",").alias("turns"))
+
+
+@query("""
+SELECT l.l_orderkey AS case_id, l.l_linenumber AS place, coalesce(p.p_name, CAST(l.l_partkey AS VARCHAR)) AS source, coalesce(p.p_brand, '') AS document
+FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 10 WHERE l.l_shipdate >= TIMESTAMP '2000-01-01'
+""")
+def evidence_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence ids with their metadata, the id itself where there is none."""
+    known = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    cited = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+    rows = cited.join(known, "l_partkey", "left")
+    return rows.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("place"), F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("source"), F.coalesce("p_brand", F.lit("")).alias("document"))
+
+
+@query("""
+WITH c AS (SELECT user_id AS case_id, event_type AS version, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT case_id, version, n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, version) AS rn FROM c) WHERE rn = 1
+""")
+def dominant_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest version of each case; of equals the first by name."""
+    counted = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("version")).agg(F.count("*").alias("n"))
+    return counted.groupBy("case_id").agg(F.min_by(F.struct("version", "n"), F.struct(-F.col("n"), "version")).alias("row")).select("case_id", "row.*")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS text_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+    return hashed.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("""
+SELECT user_id AS name, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS channels, count(DISTINCT event_type) AS n_channels, count(DISTINCT date_trunc('day', ts)) AS n_days, count(DISTINCT event_type) = 5 AS stable
+FROM events GROUP BY 1
+""")
+def stability_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which channels answer in a case's repeats, and whether all do."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("name"))
+    found = rows.agg(F.array_sort(F.collect_set("event_type")).alias("c"), F.count_distinct(F.to_date("ts")).alias("n_days"))
+    return found.select("name", F.array_join("c", ",").alias("channels"), F.size("c").cast("long").alias("n_channels"), "n_days", (F.size("c") == 5).alias("stable"))
+
+
+@query("""
+WITH last AS (SELECT conv_id AS case_id, arg_max(left(text, 30), turn) FILTER (WHERE role = 'user') AS question, count(*) AS n_turns FROM conversations GROUP BY 1),
+slots AS (SELECT user_id AS case_id, event_type AS slot, count(*) AS value FROM events GROUP BY 1, 2),
+known AS (SELECT case_id, string_agg(slot || '=' || value, ',' ORDER BY slot) AS slots FROM slots GROUP BY 1),
+cited AS (SELECT o_orderkey AS case_id, o_orderpriority AS sources FROM orders)
+SELECT l.case_id, question, n_turns, slots, sources FROM last l LEFT JOIN known k ON k.case_id = l.case_id LEFT JOIN cited c ON c.case_id = l.case_id
+""")
+def handoff_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.when(F.col("role") == "user", F.col("turn")).alias("seq"), F.left("text", F.lit(30)).alias("question"))
+    slots = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("slot")).agg(F.count("*").alias("value"))
+    sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("source"))
+    return cases.handoff_packages(turns, slots, sources, "case_id")
+
+
+@query("""
+WITH t AS (SELECT event_id, CASE WHEN value < 10 THEN 'INSUFFICIENT' WHEN value < 40 THEN 'CONDITION_DEPENDENT' ELSE 'SUFFICIENT' END AS s, event_type = 'error' AS risk, event_id % 4 AS asked, event_type <> 'view' AS verified, value > 200 AS human FROM events)
+SELECT event_id, CASE WHEN human THEN 'HANDOFF_OFFER' WHEN s = 'CONDITION_DEPENDENT' AND asked < 2 THEN 'CLARIFY' WHEN s = 'SUFFICIENT' AND verified AND risk THEN 'ANSWER_AND_HANDOFF'
+       WHEN s = 'SUFFICIENT' AND verified THEN 'ANSWER' ELSE 'HANDOFF_OFFER' END AS decision FROM t
+""")
+def turn_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, kind = F.col("value"), F.col("event_type")
+    sufficiency = F.when(value < 10, "INSUFFICIENT").when(value < 40, "CONDITION_DEPENDENT").otherwise("SUFFICIENT")
+    decided = cases.decision(sufficiency, kind == "error", F.col("event_id") % 4, kind != "view", value > 200)
+    return table(spark, sf_dir, "events").select("event_id", decided.alias("decision"))
+
+
+@query("""
+SELECT e.event_id, e.user_id AS owner, e.event_type AS type FROM events e
+WHERE e.event_type IN ('view', 'click') AND e.event_id > 1000 AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'signup' AND a.user_id = e.user_id AND a.event_id = e.event_id + 1)
+""")
+def notification_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices behind a cursor that were not acknowledged (here: by the owner's next event, a signup)."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("owner"), F.col("event_type").alias("type"))
+    acks = events.where("type = 'signup'").select((F.col("event_id") - 1).alias("event_id"), "owner")
+    return events.where("type in ('view', 'click') and event_id > 1000").join(acks, ["event_id", "owner"], "left_anti").select("event_id", "owner", "type")

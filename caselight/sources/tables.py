@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,3 +95,14 @@ def read_sheets(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
                 yield pd.DataFrame(found, columns=["source_file", "source_row", *columns])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
+
+
+def load_support_export(spark: SparkSession, path: str, question: str = "Описание", solution: str = "Решение", topic: str = "Тема", subtopic: str = "Подтема") -> DataFrame:
+    """Past questions and solutions from spreadsheets, without direct identifiers; rows that lack either leave."""
+    raw = read_sheets(spark, path, [question, solution, topic, subtopic])
+    names = {question: "question", solution: "solution", topic: "topic", subtopic: "subtopic"}
+    redactions = [T.redaction_count(F.col(f"`{c}`")) for c in names]
+    clean = raw.select("source_row", *[T.redact(F.col(f"`{c}`")).alias(n) for c, n in names.items()], (redactions[0] + redactions[1] + redactions[2] + redactions[3]).alias("redactions"))
+    kept = clean.where("question <> '' and solution <> ''")
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return kept.select("source_row", "question", "solution", blank("topic"), blank("subtopic"), F.sha2(F.lower("question"), 256).alias("question_hash"), "redactions")
