@@ -28,6 +28,8 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 WINDOW, BINS = 12, 128
 NO_ID = -(1 << 63)
+#: Ranges of ids for each task; as they are dealt by hash, many of them even the tasks out.
+RANGES_A_TASK = 6
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -157,13 +159,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 def with_following(docs: DataFrame, per_pair, schema: str) -> DataFrame:
     """Applies per_pair(doc_id, text, next text, carry) to each document and the next by descending id.
 
-    The ids alone are dealt into ranges first; a range's first and last id are all the driver
-    gets, one pair for each task. Then each text moves once, to its range, and the document
+    The ids alone are dealt into ranges first; a range's last id is all the driver
+    gets, a few for each task. Then each text moves once, to its range, and the document
     that heads a range goes to the range above as well, where it ends the sequence.
     """
-    blocks = file_partitions(docs)
+    tasks = file_partitions(docs)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"))
-    ranges = ids.repartitionByRange(blocks, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).orderBy("top").collect()
+    ranges = ids.repartitionByRange(tasks * RANGES_A_TASK, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).orderBy("top").collect()
     tops = np.array([r["top"] for r in ranges], np.int64)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +193,7 @@ def with_following(docs: DataFrame, per_pair, schema: str) -> DataFrame:
                 rows = []
 
     keyed = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    dealt = keyed.mapInPandas(deal, "block int, last boolean, doc_id long, text string").repartition(max(1, 2 * len(tops)), "block")
+    dealt = keyed.mapInPandas(deal, "block int, last boolean, doc_id long, text string").repartition(tasks, "block")
     order = ("block", "last", F.desc("doc_id"), "text")
     return dealt.sortWithinPartitions(*order).mapInPandas(pairs, schema)
 
