@@ -58,7 +58,7 @@ def fold_spaces(text: Column) -> Column:
 
 def normalize_query(text: Column) -> Column:
     """Search form of a text: no hard spaces, ё as е, single spaces, lower case; null stays null."""
-    return F.lower(fold_spaces(F.translate(text, " ёЁ", " еЕ")))
+    return F.lower(fold_spaces(F.translate(text, "\u00a0ёЁ", " еЕ")))
 
 
 def normalize_question(text: Column) -> Column:
@@ -69,9 +69,9 @@ def normalize_question(text: Column) -> Column:
 def moderation_form(text: Column) -> Column:
     """Look-alikes resolved, punctuation dropped, stretched letters and spaces collapsed."""
     mapped = F.translate(F.lower(text), LOOKALIKE_FROM, LOOKALIKE_TO)
-    bare = F.regexp_replace(mapped, r"[^\p{L}\p{N}\s ]", "")
+    bare = F.regexp_replace(mapped, r"[^\p{L}\p{N}\s\u00a0]", "")
     single = F.regexp_replace(bare, r"([\p{L}\p{N}])\1+", "$1")
-    return F.ltrim(F.regexp_replace(single, r"[\s ]+", " "))
+    return F.ltrim(F.regexp_replace(single, r"[\s\u00a0]+", " "))
 
 
 def moderation_rule(form: Column) -> Column:
@@ -95,21 +95,27 @@ def declines(text: Column) -> Column:
     return contains_any(text, DECLINE_PHRASES)
 
 
+#: What every identifier has: a digit, an at sign, or a label of a name.
+REDACTION_HINT = r"(?iu)[0-9@]|фио|контактное|заявитель|пользовател|логин"
+
+
 def redact(text: Column) -> Column:
     """The text without direct identifiers, single-spaced; a null text is empty."""
-    out = F.translate(F.coalesce(text, F.lit("")), " ", " ")
+    plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
+    out = plain
     for pattern, mark in REDACTIONS:
         out = F.regexp_replace(out, pattern, mark)
-    return fold_spaces(out)
+    return fold_spaces(F.when(plain.rlike(REDACTION_HINT), out).otherwise(plain))
 
 
 def redaction_count(text: Column) -> Column:
     """Replacements that redact makes, each counted on what the ones before it left."""
-    out, total = F.translate(F.coalesce(text, F.lit("")), " ", " "), F.lit(0)
+    plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
+    out, total = plain, F.lit(0)
     for pattern, mark in REDACTIONS:
         total = total + F.regexp_count(out, F.lit(pattern))
         out = F.regexp_replace(out, pattern, mark)
-    return total.cast("long")
+    return F.when(plain.rlike(REDACTION_HINT), total).otherwise(F.lit(0)).cast("long")
 
 
 def case_title(text: Column) -> Column:

@@ -17,6 +17,8 @@ from ..functions.similarity import cosine, word_similarity
 TRIGRAM_LEAST = 0.40
 #: A side is broadcast up to so many rows of query tokens, and shuffled beyond.
 BROADCAST_ROWS = 100_000
+#: Query heads that are looked for by a list in the plan, at most.
+FEW_HEADS = 500
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -35,20 +37,30 @@ def any_channel(channels: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, channels, F.lit(False))
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """term, doc_id and tf. To be written once and reused where many queries run."""
+def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """term, doc_id and tf; only of some terms if those are given (column term).
+
+    The whole index is to be written once and reused where many queries run; for few queries
+    the words that none of them asks for leave before anything is shuffled.
+    """
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.tokens(F.col(text))).alias("term"))
+    if terms is not None:
+        words = words.join(small(terms.select("term").distinct()), "term", "left_semi")
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, n_terms and term of each distinct token of queries (query_id, text)."""
+    terms = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
+    return terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+
+
 def token_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, doc_id, n_shared (terms of the query that a document has), tf (their uses), coverage.
 
     The full-text substitute: coverage first, then frequency. queries: query_id, text.
     """
-    terms = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
-    flat = terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    hits = index.join(small(flat), "term").groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("n_shared"), F.sum("tf").alias("tf"))
+    hits = index.join(small(query_terms(queries)), "term").groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("n_shared"), F.sum("tf").alias("tf"))
     return hits.withColumn("coverage", F.col("n_shared") / F.col("n_terms"))
 
 
@@ -62,6 +74,9 @@ def exact_hits(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, word
     q = q.withColumn("head", F.xxhash64(F.slice("q_words", 1, words))).where(F.size("q_words") >= words)
     d = docs.select(F.col(doc_id).alias("doc_id"), folded(F.col(text)).alias("d_text")).withColumn("d_words", F.split("d_text", " "))
     heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("d_words") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("d_words", i, words)))
+    known = q.select("head").distinct().limit(FEW_HEADS + 1).collect()
+    if len(known) <= FEW_HEADS:  # few queries: other heads leave inside the scan
+        heads = F.filter(heads, lambda h: h.isin([r["head"] for r in known]))
     flat = d.select("doc_id", "d_text", F.explode(F.array_distinct(heads)).alias("head"))
     met = flat.join(small(q.select("query_id", "q_text", "head")), "head")
     return met.where(F.col("d_text").contains(F.col("q_text"))).select("query_id", "doc_id").distinct()

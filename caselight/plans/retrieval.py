@@ -33,9 +33,13 @@ _TOKEN_SQL = f"""
 _TOP_SQL = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, tf DESC, doc_id) AS rank FROM ({_TOKEN_SQL})"
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _queries(spark, sf_dir)
+    return retrieval.token_scores(asked, retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text", retrieval.query_terms(asked)))
+
+
 def _top_tokens(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    index = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    scored = retrieval.token_scores(_queries(spark, sf_dir), index)
+    scored = _scores(spark, sf_dir)
     return ranking.best_per_query(scored, "query_id", [F.desc("coverage"), F.desc("tf"), F.col("doc_id")], k)
 
 
@@ -166,7 +170,7 @@ SELECT theme, count(*) AS n, count(*) FILTER (WHERE class = 'HUMAN_ACTION_LIKELY
 """)
 def coverage_by_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = retrieval.token_scores(_queries(spark, sf_dir), retrieval.postings(docs, "doc_id", "text"))
+    scored = _scores(spark, sf_dir)
     shared = scored.groupBy("doc_id").agg(F.max("n_shared").alias("n_shared"), F.count("*").alias("n"))
     exact = _exact(spark, sf_dir).select("doc_id").distinct().withColumn("exact", F.lit(True))
     rows = docs.select("doc_id", F.col("lang").alias("theme")).join(labels, "doc_id", "left").join(shared, "doc_id", "left").join(exact, "doc_id", "left")
@@ -190,8 +194,7 @@ SELECT doc_id, o.theme FROM (SELECT *, row_number() OVER (PARTITION BY theme ORD
 """)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixty distinct texts with every language: the sampling operator's own limit."""
-    rows = table(spark, sf_dir, "documents")
     folded = F.lower(T.fold_spaces(F.col("text")))
-    identity = F.when(folded != "", F.sha2(folded, 256))
-    picked = ranking.stratified_sample(rows.select("doc_id", "lang", "text"), identity, F.col("lang"), F.col("doc_id"), 60)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(folded != "", F.sha2(folded, 256)).alias("identity"))
+    picked = ranking.stratified_sample(rows, F.col("identity"), F.col("lang"), F.col("doc_id"), 60)
     return picked.select("doc_id", F.col("lang").alias("theme"))
