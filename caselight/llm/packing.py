@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import BPE_RANKS, doc_texts, file_partitions
 
 SEQUENCE_TOKENS = 2048
-OPEN_BINS = 1024
+OPEN_BINS = 1 << 17
 END_ID = 0
 #: The vocabulary's one special token; its string in a text is read as that token.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -110,8 +110,9 @@ def pieces(docs: DataFrame, size: int = SEQUENCE_TOKENS, ranks_path: str = BPE_R
 def pack(found: DataFrame, packers: int, size: int = SEQUENCE_TOKENS, limit: int = OPEN_BINS) -> DataFrame:
     """Adds sequence_id and offset to pieces. Each packer fills sequences of its own.
 
-    The pieces are dealt round, whatever their document or source, and sorted by a hash
-    inside a packer, so a packer that runs again makes the same sequences.
+    The pieces are dealt round, whatever their document or source. Inside a packer the longest
+    come first, so short ones fill what is left; equals are ordered by a hash, so a packer that
+    runs again makes the same sequences.
     """
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +124,7 @@ def pack(found: DataFrame, packers: int, size: int = SEQUENCE_TOKENS, limit: int
             batch["offset"] = [at for _, at in places]
             yield batch.astype({"doc_id": "Int64"})
 
-    dealt = found.repartition(packers).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
+    dealt = found.repartition(packers).sortWithinPartitions(F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInPandas(fill, PACKED)
 
 

@@ -3,7 +3,7 @@
 One pattern finds all entities. Each is brought to a canonical form, so that spellings of one
 entity (a number with other separators, an address in capitals) share a surrogate. The
 surrogate comes from a keyed digest: digits for digits, letters of the same script for letters,
-valid check digits for valid ones, names that fit the title's gender. A collision check over
+valid check digits for valid ones, names that fit the gender that a title or a given name shows. A collision check over
 the whole corpus gives another attempt to every entity but the first of those that would share
 a surrogate, and to those whose surrogate is itself an entity of the corpus, until none is
 left; so different entities stay different. Only DataFrame functions are used.
@@ -27,6 +27,17 @@ NO_ID = -(1 << 63)
 FEMALE = "Mrs|Ms|Miss|Mme|Madame|Frau|Señora|Sra|Doña|госпожа|Госпожа|г-жа"
 MALE = "Mr|Monsieur|Herr|Señor|Sr|Don|господин|Господин|г-н"
 NEUTRAL = "Dr|Prof|Professor"
+#: Given names that show a gender, in Latin and Cyrillic script.
+WOMEN = (
+    "Alice|Anna|Anne|Barbara|Carmen|Catherine|Charlotte|Claire|Elena|Elizabeth|Emily|Emma|Eva|Heike|Helen|Isabel|Jane|Jennifer|Jessica|Julia|Karen|Laura|"
+    "Linda|Lisa|Lucía|Margaret|Maria|María|Marie|Mary|Nancy|Olga|Patricia|Petra|Rachel|Sabine|Sandra|Sarah|Sofia|Sophie|Susan|Ursula|"
+    "Анна|Елена|Екатерина|Ирина|Мария|Наталья|Ольга|Светлана|Татьяна|Юлия"
+)
+MEN = (
+    "Alexander|Andreas|Antoine|Antonio|Carlos|Charles|Christopher|Daniel|David|Dmitry|Francisco|George|Hans|Ivan|Jack|James|Javier|Jean|John|José|Joseph|Juan|"
+    "Jürgen|Klaus|Louis|Luis|Manuel|Mark|Matthew|Michael|Miguel|Paul|Peter|Pierre|Richard|Robert|Stefan|Steven|Thomas|William|Wolfgang|"
+    "Александр|Алексей|Андрей|Владимир|Дмитрий|Иван|Михаил|Николай|Павел|Сергей"
+)
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -37,11 +48,12 @@ _PATTERNS = {
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey) ?[=:] ?\"?)[A-Za-z0-9+/_-]{8,}",
-    "name": rf"(?<![\p{{L}}-])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<![\p{{L}}-])(?=\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+    rf"|(?<![\p{{L}}-])(?=\p{{Lu}})(?:{WOMEN}|{MEN})(?: \p{{Lu}}\.)? \p{{Lu}}[\p{{L}}'-]+",
 }
 ENTITY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: Every entity has a digit, an at sign, a title or a word for secrets; cheap to look for first.
-HINT = rf"[0-9@]|password|passwd|pwd|secret|token|api_?key|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|password|passwd|pwd|secret|token|api_?key|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}|(?=\p{{Lu}})(?:{WOMEN}|{MEN}) (?:\p{{Lu}}\. )?\p{{Lu}}"
 _SYLLABLES = "ba be bo da de di do fa fe ga go ha hi ja jo ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi za"
 _CYRILLIC = "ба бе бо да де ди до фа фе га го ха хи жа жо ка ке ки ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то ва ве ви за"
 
@@ -49,7 +61,7 @@ _CYRILLIC = "ба бе бо да де ди до фа фе га го ха хи ж
 def entity_type(value: Column) -> Column:
     """The type of a whole entity, from its text."""
     out = F.when(value.contains("@"), "email")
-    title = rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
+    title = rf"^(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?|(?:{WOMEN}|{MEN})(?: \p{{Lu}}\.)?) \p{{Lu}}"
     tests = {
         "name": title,
         "key": "^(?:AKIA|ASIA)[A-Z0-9]{16}$",
@@ -71,8 +83,11 @@ def _title(value: Column) -> Column:
 def canonical(kind: Column, value: Column) -> Column:
     """One form for all spellings of an entity; a name is led by its gender, f, m or n."""
     packed = F.lower(F.regexp_replace(value, r"[ ().+-]", ""))
-    gender = F.when(value.rlike(f"^(?:{FEMALE})"), "f").when(value.rlike(f"^(?:{MALE})"), "m").otherwise("n")
-    name = F.concat(gender, F.lit(" "), F.lower(F.substring(value, F.length(_title(value)) + 1, F.length(value))))
+    bare = F.substring(value, F.length(_title(value)) + 1, F.length(value))
+    female = value.rlike(rf"^(?:{FEMALE})\.? ") | bare.rlike(f"^(?:{WOMEN}) ")
+    male = value.rlike(rf"^(?:{MALE})\.? ") | bare.rlike(f"^(?:{MEN}) ")
+    gender = F.when(female, "f").when(male, "m").otherwise("n")
+    name = F.concat(gender, F.lit(" "), F.lower(bare))
     return (
         F.when(kind == "name", name)
         .when(kind == "phone", F.right(F.regexp_replace(F.regexp_replace(value, r"^\+[0-9]{1,3}[ .-]", ""), "[^0-9]", ""), F.lit(10)))

@@ -74,7 +74,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = No
             break
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while (jumped := labels[labels]).tolist() != labels.tolist() if n < 64 else not np.array_equal(jumped := labels[labels], labels):
+        while not np.array_equal(jumped := labels[labels], labels):
             labels = jumped
     return labels
 

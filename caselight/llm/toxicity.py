@@ -32,6 +32,8 @@ STEM_LETTERS = (4, 5, 6, 7)
 #: A term has to be so many times likelier in a toxic text than in another.
 LIKELIER = 15.0
 COPY_SIGNS = 3
+#: Share of other texts with a word like a term, beyond which the term allows no errors.
+RESEMBLING = 0.0005
 CONTEXT_WORDS = 6
 MEMO_ENTRIES = 500_000
 #: Letters that digits and signs stand for, marks and words of quotation.
@@ -47,19 +49,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def allowed_errors(term: str, stem: bool) -> int:
-    return 0 if len(term) < 5 or stem else 1 if len(term) < 9 else 2
+def allowed_errors(term: str, stem: bool, exact: frozenset[str] = frozenset()) -> int:
+    return 0 if len(term) < 5 or stem or term in exact else 1 if len(term) < 9 else 2
 
 
 class LexiconAutomaton:
     """The lexicon's trie met with Levenshtein automata; states are made as words reach them."""
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[str] = frozenset()) -> None:
+        """exact: terms that allow no errors, as other words look like them."""
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[bool, bool]] = [(False, False)]  # of a whole term; of a stem
         self.budget: list[int] = [0]  # most errors that any term below allows
         for term, stem in terms:
-            node, budget = 0, allowed_errors(term, stem)
+            node, budget = 0, allowed_errors(term, stem, exact)
             self.budget[0] = max(self.budget[0], budget)
             for letter in term:
                 if letter not in self.children[node]:
@@ -71,12 +74,14 @@ class LexiconAutomaton:
                 self.budget[node] = max(self.budget[node], budget)
             whole, open_ended = self.ends[node]
             self.ends[node] = (whole or not stem, open_ended or stem)
-        self.own_budget = {}
+        self.own_budget: dict[int, int] = {}
+        self.term_of: dict[int, str] = {}
         for term, stem in terms:
             node = 0
             for letter in term:
                 node = self.children[node][letter]
-            self.own_budget[node] = max(self.own_budget.get(node, 0), allowed_errors(term, stem))
+            self.own_budget[node] = max(self.own_budget.get(node, 0), allowed_errors(term, stem, exact))
+            self.term_of[node] = term
         self.states: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -118,18 +123,22 @@ class LexiconAutomaton:
 
     def errors(self, word: str) -> int:
         """Fewest errors between the word and a term; -1 if there is no match."""
+        return self.nearest(word)[0]
+
+    def nearest(self, word: str) -> tuple[int, str]:
+        """Those errors, and the term; -1 and nothing if there is no match."""
         state = self.start
         for letter in word:
             to = self.steps[state].get(letter)
             state = self._step(state, letter) if to is None else to
             if state < 0:
-                return -1
-        best = -1
+                return -1, ""
+        best, term = -1, ""
         for node, errors in self.states[state].items():
             whole, stem = self.ends[node]
-            if (whole and errors <= self.own_budget[node] or stem and errors == 0) and (best < 0 or errors < best):
-                best = errors
-        return best
+            if (whole and errors <= self.own_budget[node] or stem and errors == 0) and (best < 0 or (errors, self.term_of[node]) < (best, term)):
+                best, term = errors, self.term_of[node]
+        return best, term
 
 
 class Matcher:
@@ -137,8 +146,8 @@ class Matcher:
 
     FEATURES = ("uttered", "misspelled", "cited")
 
-    def __init__(self, terms: list[tuple[str, bool]]) -> None:
-        self.automaton = LexiconAutomaton(terms)
+    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[str] = frozenset()) -> None:
+        self.automaton = LexiconAutomaton(terms, exact)
         self.memo: dict[str, int] = {}
 
     def _errors(self, word: str) -> int:
@@ -178,13 +187,19 @@ class Matcher:
         return 0.6 * (opened and closed) + 0.3 * reported
 
 
+def inputs(counts: np.ndarray) -> np.ndarray:
+    """What a score depends on: uttered terms, misspelled or not, and cited ones."""
+    return np.log1p(np.column_stack((counts[:, 0] + counts[:, 1], counts[:, 2])))
+
+
 @dataclass(frozen=True)
 class Model:
     terms: tuple[tuple[str, bool], ...]
+    exact: frozenset[str]
     weights: tuple[float, ...]
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        z = np.log1p(counts) @ np.array(self.weights[1:]) + self.weights[0]
+        z = inputs(counts) @ np.array(self.weights[1:]) + self.weights[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -244,19 +259,39 @@ def shortest_marks(counts: dict[str, int]) -> list[tuple[str, bool]]:
     return list(dict.fromkeys(out))
 
 
+def lookalikes(sample: DataFrame, terms: list[tuple[str, bool]]) -> frozenset[str]:
+    """Terms that other texts' words resemble too often for misspellings of them to tell anything."""
+
+    def resembling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = LexiconAutomaton(terms)
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                near = {automaton.nearest(w.strip(EDGE)) for w in set(text.lower().split())}
+                found += [term for errors, term in near if errors > 0]
+            yield pd.DataFrame({"term": pd.Series(found, dtype=object)})
+
+    good = sample.where("toxic = 0").select("text")
+    counted = good.mapInPandas(resembling, "term string").groupBy("term").count()
+    limit = max(1.0, RESEMBLING * good.count())
+    return frozenset(r["term"] for r in counted.where(F.col("count") > limit).collect())  # terms of the lexicon
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
     """Learns terms and weights from the bounded sample."""
     sample = keep_lineage_short(labelled_sample(docs, labels, limit))
     terms = learn_terms(sample)
+    exact = lookalikes(sample, terms) if terms else frozenset()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, exact)
         for batch in batches:
             out = pd.DataFrame([matcher.counts(x) for x in batch["text"]], columns=list(Matcher.FEATURES), dtype=float)
             yield out.assign(toxic=batch["toxic"].to_numpy())
 
     rows = sample.mapInPandas(count, "uttered double, misspelled double, cited double, toxic int").toPandas()
-    return Model(tuple(terms), tuple(logistic(np.log1p(rows[list(Matcher.FEATURES)].to_numpy(float)), rows["toxic"].to_numpy(float))))
+    counts = rows[list(Matcher.FEATURES)].to_numpy(float).reshape(-1, 3)
+    return Model(tuple(terms), exact, tuple(map(float, logistic(inputs(counts), rows["toxic"].to_numpy(float)))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> np.ndarray:
@@ -282,7 +317,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, and the match counts of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(list(model.terms))
+        matcher = Matcher(list(model.terms), model.exact)
         for batch in batches:
             counts = np.array([matcher.counts(x) for x in batch["text"]], float).reshape(-1, 3)
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.score(counts)})

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caselight.llm import bpe, fingerprints, packing, registry, suffix_dedup
+from caselight.llm import fingerprints, packing, registry
 from caselight.llm.common import BPE_JSON, BPE_RANKS, table
 
 from ..both_engines import comparable, connect
