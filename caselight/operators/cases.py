@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouping import running_sum
+
 #: Risk flags that have a reason code of their own name.
 KNOWN_FLAGS = (
     "HUMAN_SUPPORT_REQUIRED", "ROLE_AMBIGUITY", "CONFLICTING_EVIDENCE", "WRONG_ROLE", "WRONG_STATUS", "WRONG_PROVIDER", "FORBIDDEN_GENERALIZATION",
@@ -23,8 +25,7 @@ def superseded(turns: DataFrame, case: str, revision: str) -> DataFrame:
 
 def warnings_before(events: DataFrame, case: str, order: str, violation: Column, close_at: int) -> DataFrame:
     """Adds warnings (violations before this row) and closes (this violation reaches the limit)."""
-    earlier = Window.partitionBy(case).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = events.withColumn("warnings", F.coalesce(F.sum(violation.cast("int")).over(earlier), F.lit(0)).cast("long"))
+    counted = running_sum(events, [case], order, violation.cast("int"), "warnings", before=True)
     return counted.withColumn("closes", violation & (F.col("warnings") + 1 >= close_at))
 
 

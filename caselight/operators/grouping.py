@@ -62,7 +62,25 @@ def repeated_questions(df: DataFrame, key: Column, text: str, decision: str, ord
     return total.where(F.col("n") >= least)
 
 
+#: Width of the ranges of the order in which a running sum is worked out.
+RANGE_WIDTH = 1 << 16
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, before: bool = False, width: int = RANGE_WIDTH) -> DataFrame:
+    """Adds the sum of value up to each row of a key (or before it), in order of a whole number.
+
+    A key's rows are dealt by ranges of the order, so a key with very many rows is no one
+    task's work: sums of ranges are added up first, then rows within a range.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_value", value.cast("long"))
+    sums = rows.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    total = F.col("_offset") + F.coalesce(F.sum("_value").over(within), F.lit(0))
+    return rows.join(offsets, [*keys, "_range"]).withColumn(name, total).drop("_range", "_value", "_offset")
+
+
 def islands(df: DataFrame, keys: list[str], order: str, resets: Column) -> DataFrame:
     """Adds island: how many resets a key has seen before and at each row."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("island", F.sum(resets.cast("int")).over(w).cast("long"))
+    return running_sum(df, keys, order, resets.cast("int"), "island")

@@ -89,5 +89,6 @@ def stratified_sample(rows: DataFrame, identity: Column, group: Column, row: Col
     once = once.withColumn("_key", key)
     sizes = {r["_group"]: r["count"] for r in once.groupBy("_group").count().collect()}
     quota = rows.sparkSession.createDataFrame(list(allocate(sizes, target).items()) or [("", 0)], "_group string, _quota int")
-    placed = ranked(once, ["_group"], [F.col("_key")], "_place").join(F.broadcast(quota), "_group")
+    # no group gives more than the target, so each task keeps no more of it
+    placed = ranked(once, ["_group"], [F.col("_key")], "_place").where(F.col("_place") <= target).join(F.broadcast(quota), "_group")
     return placed.where("_place <= _quota").drop("_place", "_quota", "_row")

@@ -224,3 +224,13 @@ def test_resolution_is_filled_once(spark):
     df = spark.createDataFrame(rows, "c int, o int, k string")
     got = {r["c"]: r["resolution"] for r in cases.resolution(df, "c", "o", "k").collect()}
     assert got == {1: "RESOLVED", 2: "UNRESOLVED", 3: "UNKNOWN"}
+
+
+def test_running_sums_do_not_depend_on_ranges(spark):
+    rows = [("a" if i % 3 else "b", i, i % 5 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o long, v boolean")
+    value = F.col("v").cast("int")
+    wide, narrow = (sorted(map(tuple, grouping.running_sum(df, ["k"], "o", value, "s", True, width).collect())) for width in (1 << 16, 7))
+    assert wide == narrow
+    for k, o, _, s in wide:
+        assert s == sum(1 for x, y, z in rows if x == k and y < o and z)
