@@ -6,13 +6,17 @@ postings table by equi-join; only the candidates that share something are scored
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import cosine, word_similarity
+from ..functions.similarity import word_similarity
+from .ranking import best_per_query
 
 TRIGRAM_LEAST = 0.40
 #: A side is broadcast up to so many rows of query tokens, and shuffled beyond.
@@ -87,7 +91,37 @@ def trigram_scores(pairs: DataFrame, query: str, text: str) -> DataFrame:
     return pairs.withColumn("similarity", word_similarity(F.col(query), F.col(text))).where(F.col("similarity") >= TRIGRAM_LEAST)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, similarity) of every vector for each of few query vectors (query_id, query)."""
-    met = vectors.crossJoin(small(queries, 1000)).where("vec_id <> query_id")
-    return met.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), digits).alias("similarity"))
+#: Vectors of one block; a pair of blocks is one multiplication in a task.
+BLOCK_VECTORS = 2_000
+
+
+def _blocks(vectors: DataFrame, ids: str, values: str, out_ids: str, out_values: str, size: int) -> DataFrame:
+    """Vectors packed into rows of about `size`, dealt by a hash of their ids."""
+    n = max(1, -(-vectors.count() // size))
+    return vectors.groupBy(F.pmod(F.xxhash64(ids), F.lit(n)).alias("_b")).agg(F.collect_list(ids).alias(out_ids), F.flatten(F.collect_list(values)).alias(out_values)).drop("_b")
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5, block: int = BLOCK_VECTORS) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k most similar other vectors of each query, exactly.
+
+    queries: query_id, query; vectors: vec_id, embedding, of one length. Blocks of queries meet
+    blocks of vectors; a task multiplies two blocks and keeps the k best of each query, so what
+    is shuffled grows with queries and blocks, not with pairs of rows.
+    """
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, q, v_ids, v in zip(batch["q_ids"], batch["q"], batch["v_ids"], batch["v"], strict=True):
+                q_ids, v_ids = np.asarray(q_ids, np.int64), np.asarray(v_ids, np.int64)
+                q, v = np.asarray(q, np.float64).reshape(len(q_ids), -1), np.asarray(v, np.float64).reshape(len(v_ids), -1)
+                norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+                close = np.round(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), digits)
+                close[q_ids[:, None] == v_ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(v_ids, close.shape), -close), axis=1)[:, :k]
+                rows = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "vec_id": v_ids[order].ravel(), "similarity": np.take_along_axis(close, order, axis=1).ravel()})
+                yield rows[np.isfinite(rows["similarity"])]
+
+    asked = _blocks(queries, "query_id", "query", "q_ids", "q", block)
+    pairs = asked.crossJoin(_blocks(vectors, "vec_id", "embedding", "v_ids", "v", block))  # of blocks
+    found = pairs.repartition(F.xxhash64("q_ids", "v_ids")).mapInPandas(best, "query_id long, vec_id long, similarity double")
+    return best_per_query(found, "query_id", [F.desc("similarity"), F.col("vec_id")], k)

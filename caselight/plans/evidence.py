@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence
+from ..operators import evidence, ranking, retrieval
 from ..sources.tables import table
 from . import retrieval as plans
 from .registered import query
@@ -88,11 +88,17 @@ def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def historical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Past texts for each passage: set overlap and alignment, over candidates that share tokens."""
+    """Past records (the lines of all documents) for each passage: set overlap and alignment over
+    the three lines that share most tokens with it."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pairs = _candidates(spark, sf_dir).where("place <= 3").join(asked, "query_id").withColumn("source", F.substring("text", 1, 400))
-    scored = evidence.history_scores(pairs, "query", "source", "text")
-    return scored.select("query_id", "doc_id", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"), "score", "strong")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    lines = lines.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("line_id"), "text")
+    wanted = asked.withColumnRenamed("query", "text")
+    scored = retrieval.token_scores(wanted, retrieval.postings(lines, "line_id", "text", retrieval.query_terms(wanted)))
+    best = ranking.best_per_query(scored, "query_id", [F.desc("coverage"), F.desc("tf"), F.col("doc_id")], 3).select("query_id", F.col("doc_id").alias("line_id"))
+    pairs = best.join(lines, "line_id").join(asked, "query_id")
+    rated = evidence.history_scores(pairs, "query", "text", "text")
+    return rated.select("query_id", "line_id", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"), "score", "strong")
 
 
 @query(r"""
@@ -108,13 +114,13 @@ def specificity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_partkey AS card_id, l_suppkey AS src, l_linenumber FROM lineitem WHERE l_quantity >= 49),
+WITH s AS (SELECT l_partkey AS card_id, l_suppkey AS src, l_linenumber FROM lineitem),
 m AS (SELECT s.card_id, bool_or(x.s_suppkey IS NULL) AS lost, bool_or(coalesce(x.s_acctbal < 0, FALSE)) AS low FROM (SELECT DISTINCT card_id, src FROM s) s LEFT JOIN supplier x ON x.s_suppkey = s.src AND x.s_nationkey <> 3 GROUP BY 1)
 SELECT CAST(card_id AS VARCHAR) AS card_id, concat_ws(',', CASE WHEN lost THEN 'UNKNOWN_SOURCE' END, CASE WHEN low THEN 'FOREIGN_CORPUS' END) AS issues FROM m
 """)
 def card_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as cards whose sources are suppliers: some are unknown, some of another corpus."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     none = F.array().cast("array<string>")
     cards = lines.groupBy(F.col("l_partkey").cast("string").alias("card_id")).agg(F.array_sort(F.collect_list(F.col("l_suppkey").cast("string"))).alias("source_fragment_ids"))
     cards = cards.select("card_id", F.lit("1").alias("version"), "source_fragment_ids", none.alias("source_quotes"), none.alias("required_slots"))

@@ -66,18 +66,18 @@ def tri_state_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH keyed AS (
-  SELECT rtrim(regexp_replace(trim(lower(left(text, 24))), '[ \t\n\r]+', ' ', 'g'), '?!. ') AS question_key, text, role, conv_id * 1000 + turn AS o
+  SELECT rtrim(regexp_replace(trim(lower(text)), '[ \t\n\r]+', ' ', 'g'), '?!. ') AS question_key, text, role, conv_id * 1000 + turn AS o
   FROM conversations
 ), decided AS (
   SELECT question_key, role, count(*) AS n, arg_max(text, o) AS text, max(o) AS o FROM keyed WHERE question_key <> '' GROUP BY 1, 2
 )
 SELECT question_key, CAST(sum(n) AS BIGINT) AS n, arg_max(text, o) AS sample, string_agg(role || '=' || n, ',' ORDER BY role) AS decisions
-FROM decided GROUP BY 1 HAVING sum(n) >= 2
+FROM decided GROUP BY 1
 """)
 def top_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    key = T.normalize_question(F.substring("text", 1, 24))
-    return grouping.repeated_questions(rows, key, "text", "role", F.col("conv_id") * 1000 + F.col("turn"))
+    key = T.normalize_question(F.col("text"))
+    return grouping.repeated_questions(rows, key, "text", "role", F.col("conv_id") * 1000 + F.col("turn"), 1)
 
 
 @query("""
@@ -211,11 +211,15 @@ def outbox_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), F.col("event_type").alias("message_type"), F.col("props").alias("payload"))
 
 
-@query("SELECT event_id, user_id AS case_id, event_type, ts FROM events WHERE user_id = 7 AND event_id > 500")
+@query("""
+WITH cursors AS (SELECT user_id, min(event_id) AS cursor FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT e.event_id, e.user_id AS case_id, e.event_type, e.ts FROM events e JOIN cursors c ON c.user_id = e.user_id AND e.event_id > c.cursor
+""")
 def event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one case behind a cursor; both conditions reach the scan."""
-    rows = table(spark, sf_dir, "events").where("user_id = 7 and event_id > 500").orderBy("event_id")
-    return rows.select("event_id", F.col("user_id").alias("case_id"), "event_type", "ts")
+    """Events of each case behind its cursor (here: its first signup)."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("case_id"), "event_type", "ts")
+    cursors = rows.where("event_type = 'signup'").groupBy("case_id").agg(F.min("event_id").alias("cursor"))
+    return rows.join(cursors, "case_id").where("event_id > cursor").select("event_id", "case_id", "event_type", "ts")
 
 
 @query("""
@@ -233,14 +237,14 @@ def stale_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.o_orderkey AS case_id, o.o_custkey AS owner, coalesce(u.unread, 0) AS unread, m.first_message, greatest(o.o_orderdate, m2.last_ship) AS last_activity
 FROM orders o
 LEFT JOIN (SELECT user_id, count(*) AS unread FROM events WHERE event_type = 'view' GROUP BY 1) u ON u.user_id = o.o_orderkey
-LEFT JOIN (SELECT conv_id, left(arg_min(text, turn), 40) AS first_message FROM conversations WHERE role = 'user' GROUP BY 1) m ON m.conv_id = o.o_orderkey
+LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS first_message FROM conversations WHERE role = 'user' GROUP BY 1) m ON m.conv_id = o.o_orderkey
 LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) m2 ON m2.l_orderkey = o.o_orderkey
 WHERE o.o_orderstatus <> 'F'
 """)
 def case_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     unread = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("case_id")).agg(F.count("*").alias("unread"))
     said = table(spark, sf_dir, "conversations").where("role = 'user'")
-    first = said.groupBy(F.col("conv_id").alias("case_id")).agg(F.left(F.min_by("text", "turn"), F.lit(40)).alias("first_message"))
+    first = said.groupBy(F.col("conv_id").alias("case_id")).agg(F.min_by("text", "turn").alias("first_message"))
     ship = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.max("l_shipdate").alias("last_ship"))
     rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("owner"), "o_orderdate")
     joined = rows.join(unread, "case_id", "left").join(first, "case_id", "left").join(ship, "case_id", "left")
@@ -296,14 +300,14 @@ def sticky_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH kinds AS (
   SELECT user_id AS case_id, event_id, CASE event_type WHEN 'purchase' THEN 'COMPLETED_SOLVED' WHEN 'error' THEN 'FEEDBACK_UNSOLVED' WHEN 'signup' THEN 'FEEDBACK_SOLVED' ELSE 'CANCELLED' END AS kind
-  FROM events WHERE value > 120)
+  FROM events)
 SELECT case_id, coalesce(CASE WHEN count(*) FILTER (WHERE kind = 'COMPLETED_SOLVED') > 0 THEN 'RESOLVED' END,
        CASE arg_min(kind, event_id) FILTER (WHERE kind LIKE 'FEEDBACK%') WHEN 'FEEDBACK_SOLVED' THEN 'RESOLVED' WHEN 'FEEDBACK_UNSOLVED' THEN 'UNRESOLVED' END, 'UNKNOWN') AS resolution
 FROM kinds GROUP BY 1
 """)
 def resolution_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "COMPLETED_SOLVED").when(F.col("event_type") == "error", "FEEDBACK_UNSOLVED").when(F.col("event_type") == "signup", "FEEDBACK_SOLVED").otherwise("CANCELLED")
-    rows = table(spark, sf_dir, "events").where("value > 120").select(F.col("user_id").alias("case_id"), "event_id", kind.alias("kind"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "event_id", kind.alias("kind"))
     return cases.resolution(rows, "case_id", "event_id", "kind")
 
 
@@ -358,12 +362,12 @@ def routing_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o.o_orderkey AS case_id, count(*) AS n_turns, string_agg(l.l_linenumber || ':' || l.l_returnflag, ',' ORDER BY l.l_linenumber, l.l_returnflag) AS turns
-FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'P' GROUP BY 1
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1
 """)
 def aggregate_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with their turns nested, in order."""
     turns = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_returnflag")
-    held = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("case_id"))
+    held = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"))
     nested = turns.join(held, "case_id").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("turns"))
     listed = F.transform("turns", lambda t: F.concat_ws(":", t["l_linenumber"].cast("string"), t["l_returnflag"]))
     return nested.select("case_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(listed, ",").alias("turns"))
@@ -371,13 +375,12 @@ def aggregate_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l.l_orderkey AS case_id, l.l_linenumber AS place, coalesce(p.p_name, CAST(l.l_partkey AS VARCHAR)) AS source, coalesce(p.p_brand, '') AS document
-FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 10 WHERE l.l_shipdate >= TIMESTAMP '2000-01-01'
+FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size > 10
 """)
 def evidence_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence ids with their metadata, the id itself where there is none."""
     known = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
-    cited = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    rows = cited.join(known, "l_partkey", "left")
+    rows = table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left")
     return rows.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("place"), F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("source"), F.coalesce("p_brand", F.lit("")).alias("document"))
 
 
@@ -409,14 +412,14 @@ def stability_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH last AS (SELECT conv_id AS case_id, arg_max(left(text, 30), turn) FILTER (WHERE role = 'user') AS question, count(*) AS n_turns FROM conversations GROUP BY 1),
+WITH last AS (SELECT conv_id AS case_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS question, count(*) AS n_turns FROM conversations GROUP BY 1),
 slots AS (SELECT user_id AS case_id, event_type AS slot, count(*) AS value FROM events GROUP BY 1, 2),
 known AS (SELECT case_id, string_agg(slot || '=' || value, ',' ORDER BY slot) AS slots FROM slots GROUP BY 1),
 cited AS (SELECT o_orderkey AS case_id, o_orderpriority AS sources FROM orders)
 SELECT l.case_id, question, n_turns, slots, sources FROM last l LEFT JOIN known k ON k.case_id = l.case_id LEFT JOIN cited c ON c.case_id = l.case_id
 """)
 def handoff_package(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.when(F.col("role") == "user", F.col("turn")).alias("seq"), F.left("text", F.lit(30)).alias("question"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.when(F.col("role") == "user", F.col("turn")).alias("seq"), F.col("text").alias("question"))
     slots = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("slot")).agg(F.count("*").alias("value"))
     sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("source"))
     return cases.handoff_packages(turns, slots, sources, "case_id")
@@ -436,10 +439,10 @@ def turn_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT e.event_id, e.user_id AS owner, e.event_type AS type FROM events e
-WHERE e.event_type IN ('view', 'click') AND e.event_id > 1000 AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'signup' AND a.user_id = e.user_id AND a.event_id = e.event_id + 1)
+WHERE e.event_type IN ('view', 'click') AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'signup' AND a.user_id = e.user_id AND a.event_id = e.event_id + 1)
 """)
 def notification_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices behind a cursor that were not acknowledged (here: by the owner's next event, a signup)."""
+    """Notices that were not acknowledged (here: by the owner's next event, a signup)."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("owner"), F.col("event_type").alias("type"))
     acks = events.where("type = 'signup'").select((F.col("event_id") - 1).alias("event_id"), "owner")
-    return events.where("type in ('view', 'click') and event_id > 1000").join(acks, ["event_id", "owner"], "left_anti").select("event_id", "owner", "type")
+    return events.where("type in ('view', 'click')").join(acks, ["event_id", "owner"], "left_anti").select("event_id", "owner", "type")

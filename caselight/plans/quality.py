@@ -83,13 +83,14 @@ def quality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id AS case_id, event_type AS kind, count(*) AS n, count(DISTINCT sha256(props)) AS n_contents,
+SELECT user_id AS case_id, event_type AS kind, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT sha256(props)) AS n_contents,
        CASE WHEN count(DISTINCT sha256(props)) > 1 THEN 'CONFLICT' WHEN count(*) > 1 THEN 'IDEMPOTENT' ELSE 'NEW' END AS status
-FROM events WHERE value > 150 GROUP BY 1, 2
+FROM events GROUP BY 1, 2, 3
 """)
 def intake_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("value > 150").withColumnsRenamed({"user_id": "case_id", "event_type": "kind"})
-    return quality.intake_status(rows, ["case_id", "kind"], F.sha2("props", 256))
+    """Facts by case, kind and day."""
+    rows = table(spark, sf_dir, "events").withColumnsRenamed({"user_id": "case_id", "event_type": "kind"}).withColumn("day", F.date_format(F.to_date("ts"), "yyyy-MM-dd"))
+    return quality.intake_status(rows, ["case_id", "kind", "day"], F.sha2("props", 256))
 
 
 @query("""

@@ -12,12 +12,12 @@ from .registered import query
 
 @query("""
 WITH f AS (SELECT user_id || ':' || event_type AS key, event_id, props AS content, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn,
-           first_value(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS first FROM events WHERE value > 150)
+           first_value(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS first FROM events)
 SELECT key, event_id, CASE WHEN rn = 1 THEN 'NEW' WHEN content = first THEN 'IDEMPOTENT' ELSE 'CONFLICT' END AS status FROM f
 """)
 def replay_stream_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed intake as a stream; the SQL is its batch form."""
-    facts = read_stream(spark, sf_dir, "events").where("value > 150")
+    facts = read_stream(spark, sf_dir, "events")
     named = facts.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", F.col("props").alias("content"))
     return run_once(keyed.intake(named))
 

@@ -26,8 +26,8 @@ def test_other_queries_run(spark, sf_dir, name):
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
-    plan = plans.QUERIES["event_replay"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(event_id,500)" in plan and "EqualTo(user_id,7)" in plan
+    plan = plans.QUERIES["day_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in plan and "LessThan(ts,2024-01-20T00:00)" in plan
 
 
 def test_columns_are_pruned(spark, sf_dir):
