@@ -65,7 +65,8 @@ def _deeper(suffixes: DataFrame, by: int) -> DataFrame:
 
 def shared_runs(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     """(doc, mark, n, rank): runs of `least` lines that occur again; equal runs have equal ranks."""
-    shared = lines.groupBy("id").agg(F.count("*").alias("size")).where("size > 1").select("id")
+    # written first, so that a very common line's partition can be split in the join
+    shared = keep_lineage_short(lines.groupBy("id").agg(F.count("*").alias("size")).where("size > 1").select("id"))
     now = keep_lineage_short(lines.join(shared, "id").select("doc", "mark", "n", F.col("id").alias("rank")))
     depth = 1
     while depth * 2 <= least:
@@ -76,7 +77,7 @@ def shared_runs(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
 def spans_to_delete(docs_keyed: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     """doc, mark and spans (array of start and stop in lines, disjoint and in order) of later copies."""
     runs = shared_runs(line_ids(docs_keyed), least)
-    first = runs.groupBy("rank").agg(F.min(F.struct("doc", "mark", "n")).alias("first"))
+    first = keep_lineage_short(runs.groupBy("rank").agg(F.min(F.struct("doc", "mark", "n")).alias("first")))
     later = runs.join(first, "rank").where(F.struct("doc", "mark", "n") != F.col("first")).select("doc", "mark", "n")
     w = Window.partitionBy("doc", "mark").orderBy("n")
     apart = F.when(F.col("n") > F.lag("n").over(w) + least, 1).otherwise(0)
