@@ -166,20 +166,33 @@ def _name_part(digest: Column, syllables: int, cyrillic: Column, ending: Column)
     return F.initcap(F.concat(F.array_join(parts, ""), ending))
 
 
-def _name(value: Column, attempt: Column, key: str) -> Column:
-    """Given name by gender and surname, each from its own word, so a surname alone maps alike."""
-    gender, words = F.substring(value, 1, 1), F.split(F.substring(value, F.lit(3), F.length(value)), " ")
+def _name(value: Column, given: Column, family: Column) -> Column:
+    """Given name by gender and surname, each from a digest of its own word, so a surname alone maps alike."""
+    gender, words = F.substring(value, 1, 1), _name_words(value)
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     end = F.when(gender == "f", F.when(cyrillic, "на").otherwise("na")).when(gender == "m", F.when(cyrillic, "р").otherwise("r")).otherwise(F.when(cyrillic, "н").otherwise("n"))
     surname_end = F.when(cyrillic, F.when(gender == "f", "ева").otherwise("ев")).otherwise("son")
-    surname = _name_part(_digest(F.lit("surname"), F.element_at(words, -1), attempt, key), 3, cyrillic, surname_end)
-    given = _name_part(_digest(F.concat(F.lit("given"), gender), F.element_at(words, 1), attempt, key), 2, cyrillic, end)
-    return F.when(F.size(words) > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname)
+    surname = _name_part(family, 3, cyrillic, surname_end)
+    return F.when(F.size(words) > 1, F.concat(_name_part(given, 2, cyrillic, end), F.lit(" "), surname)).otherwise(surname)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a canonical entity at some attempt, itself canonical but for names' case."""
-    d = _digest(kind, value, attempt, key)
+def _name_words(value: Column) -> Column:
+    return F.split(F.substring(value, F.lit(3), F.length(value)), " ")
+
+
+def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
+    """Adds surrogate, the replacement of a canonical entity at some attempt, canonical but for names' case.
+
+    The digests are columns first, so each is worked out once and the plan stays small.
+    """
+    kind, value, n = F.col("kind"), F.col("canonical"), F.lit(attempt)
+    words = _name_words(value)
+    digests = {
+        "_d": _digest(kind, value, n, key),
+        "_given": _digest(F.concat(F.lit("given"), F.substring(value, 1, 1)), F.element_at(words, 1), n, key),
+        "_family": _digest(F.lit("surname"), F.element_at(words, -1), n, key),
+    }
+    d = F.col("_d")
     at = F.instr(value, "@")
     local, host = F.substring(value, F.lit(1), at - 1), F.substring(value, at + 1, F.length(value))
     zone = F.get(F.array(*map(F.lit, ("com", "net", "org"))), (_number(d, 40) % 3).cast("int"))
@@ -188,15 +201,16 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     ip = F.concat_ws(".", *[(_number(d, i * 3) % 254 + 1).cast("string") for i in range(4)])
     key_ = F.concat(F.substring(value, 1, 4), like(F.substring(value, F.lit(5), F.length(value)), d))
     iban = F.concat(F.substring(value, 1, 2), like(F.substring(value, F.lit(3), F.length(value)), d))
-    return (
+    chosen = (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(value, d))
         .when(kind == "key", key_)
         .when(kind == "iban", iban)
-        .when(kind == "name", _name(value, attempt, key))
+        .when(kind == "name", _name(value, F.col("_given"), F.col("_family")))
         .otherwise(like(value, d))
     )
+    return entities_.withColumns(digests).withColumn("surrogate", chosen).drop(*digests)
 
 
 def shaped(kind: Column, value: Column, found: Column) -> Column:
@@ -237,7 +251,7 @@ def assign(distinct_entities: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
     taken = names.select("kind", F.col("canonical").alias("name"))
     settled, open_, attempt = None, names, 0
     while True:
-        tried = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
+        tried = with_surrogates(open_, attempt, key)
         named = tried.withColumn("name", F.when(F.col("kind") == "name", F.concat(F.substring("canonical", 1, 2), F.lower("surrogate"))).otherwise(F.lower("surrogate")))
         free = named.join(taken, ["kind", "name"], "left_anti")
         if settled is not None:
