@@ -5,8 +5,10 @@ doubling. A round ranks the suffixes that still share a prefix by the ranks of t
 second halves; suffixes whose prefix is unique leave. Ranks are places in the array, worked out
 by range partitions and running sums, so equal ranks at depth d are an interval of common
 prefixes of d lines. The runs of LEAST_LINES lines and more that occur again are covered by
-such intervals at that depth, and no deeper order is needed to find what they cover. The first
-occurrence (by doc_id, then line) stays. Only DataFrame functions are used.
+such intervals at that depth, and no deeper order is needed to find what they cover. Where a
+number of words is given, a shorter run counts too if it has so many words: the intervals at
+each smaller depth show those. The first occurrence (by doc_id, then line) stays. Only DataFrame
+functions are used.
 
 Defined cases: a null text is empty, with one empty line; a text shorter than the run stays;
 rows that repeat doc_id and text are one document; rows that repeat a doc_id alone are ordered
@@ -15,13 +17,17 @@ by a hash of the text; a null doc_id comes first; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, keep_lineage_short
+from .common import WORD, free_name, keep_lineage_short
 
 #: Fewest consecutive lines that count as a repeated run.
 LEAST_LINES = 3
+#: Fewest words of a run that counts with fewer lines, where long passages are to go as well.
+LEAST_WORDS = 50
 NO_ID = -(1 << 63)
 
 
@@ -74,14 +80,46 @@ def shared_runs(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     return _deeper(now, least - depth) if least > depth else now
 
 
-def spans_to_delete(docs_keyed: DataFrame, least: int = LEAST_LINES) -> DataFrame:
-    """doc, mark and spans (array of start and stop in lines, disjoint and in order) of later copies."""
-    runs = shared_runs(line_ids(docs_keyed), least)
+def _later(runs: DataFrame, depth: int) -> DataFrame:
+    """doc, mark, n and stop of all runs of `depth` lines but the first of each rank."""
     first = keep_lineage_short(runs.groupBy("rank").agg(F.min(F.struct("doc", "mark", "n")).alias("first")))
-    later = runs.join(first, "rank").where(F.struct("doc", "mark", "n") != F.col("first")).select("doc", "mark", "n")
-    w = Window.partitionBy("doc", "mark").orderBy("n")
-    apart = F.when(F.col("n") > F.lag("n").over(w) + least, 1).otherwise(0)
-    spans = later.withColumn("apart", apart).withColumn("span", F.sum("apart").over(w)).groupBy("doc", "mark", "span").agg(F.min("n").alias("start"), (F.max("n") + least).alias("stop"))
+    return runs.join(first, "rank").where(F.struct("doc", "mark", "n") != F.col("first")).select("doc", "mark", "n", (F.col("n") + depth).alias("stop"))
+
+
+def long_windows(docs_keyed: DataFrame, depth: int, words: int) -> DataFrame:
+    """doc, mark and n, where a window of `depth` lines begins that has so many words; repeated rows once."""
+    # a text of fewer characters cannot hold them
+    counted = docs_keyed.where(F.length("text") >= 2 * words - 1).select("doc", "mark", F.transform(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
+    held = lambda i: F.aggregate(F.slice("words", i + 1, depth), F.lit(0), lambda a, b: a + b)
+    return counted.select("doc", "mark", F.explode(F.array_compact(F.transform("words", lambda _, i: F.when(held(i) >= words, i)))).alias("n")).distinct()
+
+
+def _later_passages(docs_keyed: DataFrame, least: int, words: int) -> list[DataFrame]:
+    """Later copies of runs of `least` lines, and of shorter ones of so many words."""
+    lines = line_ids(docs_keyed)
+    shared = keep_lineage_short(lines.groupBy("id").agg(F.count("*").alias("size")).where("size > 1").select("id"))
+    now = keep_lineage_short(lines.join(shared, "id").select("doc", "mark", "n", F.col("id").alias("rank")))
+    out = []
+    for depth in range(1, least):
+        out.append(_later(now.join(long_windows(docs_keyed, depth, words), ["doc", "mark", "n"], "left_semi"), depth))
+        now = _deeper(now, 1)
+    return [*out, _later(now, least)]
+
+
+def spans_to_delete(docs_keyed: DataFrame, least: int = LEAST_LINES, words: int | None = None) -> DataFrame:
+    """doc, mark and spans (array of start and stop in lines, disjoint and in order) of later copies.
+
+    words: the number from which a run counts with fewer lines than `least`; none: never.
+    """
+    if words is None:
+        later = _later(shared_runs(line_ids(docs_keyed), least), least)
+    else:
+        parts = _later_passages(docs_keyed, least, words)
+        later = functools.reduce(DataFrame.union, parts)
+    w = Window.partitionBy("doc", "mark").orderBy("n", "stop")
+    reached = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("n") > reached, 1).otherwise(0)
+    spans = later.withColumn("apart", apart).withColumn("span", F.sum("apart").over(w)).groupBy("doc", "mark", "span").agg(F.min("n").alias("start"), F.max("stop").alias("stop"))
     return spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
@@ -93,9 +131,9 @@ def _kept_lines(lines: Column, spans: Column) -> Column:
     return F.flatten(pieces)
 
 
-def delete_repeated_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_deleted, spans (null: none) and the text that stays, for each row."""
-    spans = spans_to_delete(_keyed(docs), least)
+    spans = spans_to_delete(_keyed(docs), least, words)
     lines = F.split("text", "\n")
     both = _keyed(docs).join(spans, ["doc", "mark"], "left").withColumn("lines", lines)
     gone = F.aggregate(F.coalesce("spans", F.array()), F.lit(0), lambda n, s: n + s["stop"] - s["start"])
@@ -104,10 +142,10 @@ def delete_repeated_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFram
     return both.select(doc_id, F.size("lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"), "spans", text.alias("text"))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, words: int | None = LEAST_WORDS) -> DataFrame:
     """The documents with all their columns; only text changes."""
     doc, mark, own = (free_name(docs, n) for n in ("_doc", "_mark", "_spans"))
-    spans = spans_to_delete(_keyed(docs), least).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(own))
+    spans = spans_to_delete(_keyed(docs), least, words).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(own))
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(mark))
     both = docs.join(spans, key, "left")
     changed = F.array_join(_kept_lines(F.split("text", "\n"), F.col(own)), "\n")

@@ -82,6 +82,15 @@ def test_lines_of_repeats_and_ties(spark):
     assert found.count(("5", "own start", 4)) == 2
 
 
+def test_long_passages_of_few_lines_go(spark):
+    one = " ".join(f"word{i}" for i in range(60))
+    two = "\n".join(" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, f"{one}\nfirst\n{two}"), (2, f"second\n{one}\nits end"), (3, f"third\n{two}\nshort line"), (4, f"fourth\n{two.splitlines()[0]}\nshort line")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs(spark, rows)).collect()}
+    assert found == {1: rows[0][1], 2: "second\nits end", 3: "third\nshort line", 4: rows[3][1]}
+    assert [r["n_deleted"] for r in line_dedup.delete_repeated_lines(docs(spark, rows)).collect()] == [0] * 4
+
+
 def test_suffix_dedup_of_repeats(spark):
     found = [(r["doc_id"], r["n_removed"]) for r in suffix_dedup.removal_digests(docs(spark, TEXTS)).collect()]
     assert found.count((5, len(RUN))) == 2 and found.count((5, 0)) == 1 and (4, 0) in found
