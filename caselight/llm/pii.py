@@ -38,6 +38,8 @@ MEN = (
     "Jürgen|Klaus|Louis|Luis|Manuel|Mark|Matthew|Michael|Miguel|Paul|Peter|Pierre|Richard|Robert|Stefan|Steven|Thomas|William|Wolfgang|"
     "Александр|Алексей|Андрей|Владимир|Дмитрий|Иван|Михаил|Николай|Павел|Сергей"
 )
+#: What stands before a secret, in any case.
+LABELS = "password|passwd|pwd|secret|token|api_key|apikey"
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -47,13 +49,13 @@ _PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{2}(?![0-9])"
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey) ?[=:] ?\"?)[A-Za-z0-9+/_-]{8,}",
+    "secret": rf"(?<=(?i:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9+/_-]{{8,}}",
     "name": rf"(?<![\p{{L}}-])(?=\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
     rf"|(?<![\p{{L}}-])(?=\p{{Lu}})(?:{WOMEN}|{MEN})(?: \p{{Lu}}\.)? \p{{Lu}}[\p{{L}}'-]+",
 }
 ENTITY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: Every entity has a digit, an at sign, a title or a word for secrets; cheap to look for first.
-HINT = rf"[0-9@]|password|passwd|pwd|secret|token|api_?key|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}|(?=\p{{Lu}})(?:{WOMEN}|{MEN}) (?:\p{{Lu}}\. )?\p{{Lu}}"
+HINT = rf"[0-9@]|(?i:{LABELS})|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}|(?=\p{{Lu}})(?:{WOMEN}|{MEN}) (?:\p{{Lu}}\. )?\p{{Lu}}"
 _SYLLABLES = "ba be bo da de di do fa fe ga go ha hi ja jo ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi za"
 _CYRILLIC = "ба бе бо да де ди до фа фе га го ха хи жа жо ка ке ки ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то ва ве ви за"
 
@@ -121,11 +123,13 @@ def _pick(letters: str, n: Column) -> Column:
 def like(value: Column, digest: Column) -> Column:
     """Characters of the same kind, script and case in place of letters and digits; hex stays hex."""
     is_hex = value.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{12,}$")
+    is_upper_hex = value.rlike("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]{12,}$")
 
     def one(c: Column, i: Column) -> Column:
         n = _number(digest, i)
         return (
             F.when(is_hex, _pick("0123456789abcdef", n))
+            .when(is_upper_hex, _pick("0123456789ABCDEF", n))
             .when(c.rlike("[0-9]"), _pick("0123456789", n))
             .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
             .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))

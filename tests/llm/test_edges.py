@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -197,6 +198,16 @@ def test_surrogates(spark):
     assert first == second and "Mrs. " in out and out.split("called Mr ")[1].split()[0] == out.split("Mrs. ")[1].split()[1]
 
 
+def test_labels_of_secrets_in_any_case(spark):
+    secrets = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "onlyLetters", "xYz/12345+", "lower-case-label"]
+    text = f'TOKEN = "{secrets[0]}" then Password: {secrets[1]} and Api_Key={secrets[2]}, pwd={secrets[3]}.'
+    rows = docs(spark, [(1, text), (2, f"SECRET={secrets[1]}")])
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(rows).collect()}
+    assert not [s for s in secrets for x in out.values() if s in x]
+    assert len(out[1]) == len(text) and re.match(r'TOKEN = "[0-9A-F]{40}" then Password: ', out[1])
+    assert out == {r["doc_id"]: r["text"] for r in pii.without_pii(rows).collect()}
+
+
 def test_automaton_matches_brute_force():
     terms = [("idiot", False), ("worthless", False), ("lowei", True)]
     automaton = toxicity.LexiconAutomaton(terms)
