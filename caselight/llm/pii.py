@@ -170,13 +170,13 @@ def _name_part(digest: Column, syllables: int, cyrillic: Column, ending: Column)
     return F.initcap(F.concat(F.array_join(parts, ""), ending))
 
 
-def _name(value: Column, given: Column, family: Column) -> Column:
+def _name(value: Column, given: Column, family: Column, syllables: int = 3) -> Column:
     """Given name by gender and surname, each from a digest of its own word, so a surname alone maps alike."""
     gender, words = F.substring(value, 1, 1), _name_words(value)
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     end = F.when(gender == "f", F.when(cyrillic, "на").otherwise("na")).when(gender == "m", F.when(cyrillic, "р").otherwise("r")).otherwise(F.when(cyrillic, "н").otherwise("n"))
     surname_end = F.when(cyrillic, F.when(gender == "f", "ева").otherwise("ев")).otherwise("son")
-    surname = _name_part(family, 3, cyrillic, surname_end)
+    surname = _name_part(family, syllables, cyrillic, surname_end)
     return F.when(F.size(words) > 1, F.concat(_name_part(given, 2, cyrillic, end), F.lit(" "), surname)).otherwise(surname)
 
 
@@ -187,8 +187,10 @@ def _name_words(value: Column) -> Column:
 def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     """Adds surrogate, the replacement of a canonical entity at some attempt, canonical but for names' case.
 
-    The digests are columns first, so each is worked out once and the plan stays small.
+    The digests are columns first, so each is worked out once and the plan stays small. Surnames
+    and the hosts of addresses grow with the attempt, so there are always enough of them.
     """
+    longer = attempt // 4
     kind, value, n = F.col("kind"), F.col("canonical"), F.lit(attempt)
     words = _name_words(value)
     digests = {
@@ -200,7 +202,7 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     at = F.instr(value, "@")
     local, host = F.substring(value, F.lit(1), at - 1), F.substring(value, at + 1, F.length(value))
     zone = F.get(F.array(*map(F.lit, ("com", "net", "org"))), (_number(d, 40) % 3).cast("int"))
-    label = like(F.regexp_extract(host, r"^([^.]*)", 1), _turned(d, 50))
+    label = like(F.concat(F.regexp_extract(host, r"^([^.]*)", 1), F.lit("x" * longer)), _turned(d, 50))
     email = F.concat(like(local, d), F.lit("@"), F.regexp_replace(label, "-", "x"), F.lit(".example."), zone)
     ip = F.concat_ws(".", *[(_number(d, i * 3) % 254 + 1).cast("string") for i in range(4)])
     key_ = F.concat(F.substring(value, 1, 4), like(F.substring(value, F.lit(5), F.length(value)), d))
@@ -211,7 +213,7 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
         .when(kind == "card", _card(value, d))
         .when(kind == "key", key_)
         .when(kind == "iban", iban)
-        .when(kind == "name", _name(value, F.col("_given"), F.col("_family")))
+        .when(kind == "name", _name(value, F.col("_given"), F.col("_family"), 3 + longer))
         .otherwise(like(value, d))
     )
     return entities_.withColumns(digests).withColumn("surrogate", chosen).drop(*digests)

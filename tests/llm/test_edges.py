@@ -208,6 +208,23 @@ def test_labels_of_secrets_in_any_case(spark):
     assert out == {r["doc_id"]: r["text"] for r in pii.without_pii(rows).collect()}
 
 
+def test_more_entities_than_short_surrogates(spark, monkeypatch):
+    tried = pii.with_surrogates
+
+    def bounded(rows, attempt, key):
+        assert attempt < 16, "the surrogates are used up"
+        return tried(rows, attempt, key)
+
+    monkeypatch.setattr(pii, "with_surrogates", bounded)
+    monkeypatch.setattr(pii, "_SYLLABLES", "ba be")
+    rows = [("name", f"m {chr(97 + i // 26)}{chr(97 + i % 26)}x") for i in range(40)]
+    out = pii.assign(spark.createDataFrame(rows, "kind string, canonical string")).collect()
+    assert len({r["canonical"] for r in out}) == len({r["surrogate"] for r in out}) == len(rows)
+    emails = spark.createDataFrame([("a@b.com", 0)], "canonical string, n int").selectExpr("'email' AS kind", "canonical")
+    hosts = [tried(emails, k, "key").first()["surrogate"].split("@")[1].split(".")[0] for k in (0, 3, 4, 8)]
+    assert [len(h) for h in hosts] == [1, 1, 2, 3]
+
+
 def test_automaton_matches_brute_force():
     terms = [("idiot", False), ("worthless", False), ("lowei", True)]
     automaton = toxicity.LexiconAutomaton(terms)
