@@ -13,6 +13,7 @@ without labels of both kinds every score is that of the prior; an empty table gi
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +33,6 @@ STEM_LETTERS = (4, 5, 6, 7)
 #: A term has to be so many times likelier in a toxic text than in another.
 LIKELIER = 15.0
 COPY_SIGNS = 3
-#: Share of other texts with a word like a term, beyond which the term allows no errors.
-RESEMBLING = 0.0005
 CONTEXT_WORDS = 6
 MEMO_ENTRIES = 500_000
 #: Letters that digits and signs stand for, marks and words of quotation.
@@ -49,20 +48,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def allowed_errors(term: str, stem: bool, exact: frozenset[str] = frozenset()) -> int:
-    return 0 if len(term) < 5 or stem or term in exact else 1 if len(term) < 9 else 2
+def allowed_errors(term: str, stem: bool) -> int:
+    return 0 if len(term) < 5 or stem else 1 if len(term) < 9 else 2
 
 
 class LexiconAutomaton:
     """The lexicon's trie met with Levenshtein automata; states are made as words reach them."""
 
-    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[str] = frozenset()) -> None:
-        """exact: terms that allow no errors, as other words look like them."""
+    def __init__(self, terms: list[tuple[str, bool]]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[bool, bool]] = [(False, False)]  # of a whole term; of a stem
         self.budget: list[int] = [0]  # most errors that any term below allows
         for term, stem in terms:
-            node, budget = 0, allowed_errors(term, stem, exact)
+            node, budget = 0, allowed_errors(term, stem)
             self.budget[0] = max(self.budget[0], budget)
             for letter in term:
                 if letter not in self.children[node]:
@@ -80,7 +78,7 @@ class LexiconAutomaton:
             node = 0
             for letter in term:
                 node = self.children[node][letter]
-            self.own_budget[node] = max(self.own_budget.get(node, 0), allowed_errors(term, stem, exact))
+            self.own_budget[node] = max(self.own_budget.get(node, 0), allowed_errors(term, stem))
             self.term_of[node] = term
         self.states: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
@@ -141,13 +139,21 @@ class LexiconAutomaton:
         return best, term
 
 
+def readings(word: str) -> tuple[str, ...]:
+    """What a word may stand for: itself, its runs of letters, and with letters for digits and signs."""
+    bare = word.strip(EDGE)
+    return (bare,) if bare.isalpha() else (bare, *LETTERS.findall(bare), bare.translate(LOOKALIKES))
+
+
 class Matcher:
     """Counts of a text's matches: uttered and cited ones, exact and misspelled."""
 
     FEATURES = ("uttered", "misspelled", "cited")
 
-    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[str] = frozenset()) -> None:
-        self.automaton = LexiconAutomaton(terms, exact)
+    def __init__(self, terms: list[tuple[str, bool]], ordinary: frozenset[str] = frozenset()) -> None:
+        """ordinary: words that look like a term but are none."""
+        self.automaton = LexiconAutomaton(terms)
+        self.ordinary = ordinary
         self.memo: dict[str, int] = {}
 
     def _errors(self, word: str) -> int:
@@ -155,11 +161,8 @@ class Matcher:
         if found is None:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            bare = word.strip(EDGE)
-            found = self.automaton.errors(bare)
-            if found and not bare.isalpha():
-                parts = [self.automaton.errors(x) for x in (*LETTERS.findall(bare), bare.translate(LOOKALIKES))]
-                found = min((x for x in (found, *parts) if x >= 0), default=-1)
+            read = (-1 if x in self.ordinary else self.automaton.errors(x) for x in readings(word))
+            found = min((x for x in read if x >= 0), default=-1)
             self.memo[word] = found
         return found
 
@@ -195,7 +198,7 @@ def inputs(counts: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[tuple[str, bool], ...]
-    exact: frozenset[str]
+    ordinary: frozenset[str]
     weights: tuple[float, ...]
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -234,7 +237,18 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") >= least)
     likelier = (F.col("t") + 0.5) / bad / ((F.col("c") + 0.5) / good)
     found = counted.where((likelier >= LIKELIER) & (F.col("c") * 10 <= F.col("t"))).orderBy(F.desc("t"), "term").limit(CANDIDATES).collect()
-    return shortest_marks({r["term"]: r["t"] for r in found})
+    marks = shortest_marks({r["term"]: r["t"] for r in found})
+    return marks + forms(texts, [term for term, stem in marks if stem])
+
+
+def forms(texts: DataFrame, stems: list[str]) -> list[tuple[str, bool]]:
+    """The words of toxic texts under the stems, as terms of their own that allow errors."""
+    if not stems:
+        return []
+    word = F.explode("words").alias("word")
+    under = [F.substring("word", 1, n).isin(some) for n in STEM_LETTERS if (some := [x for x in stems if len(x) == n])]
+    found = texts.where("toxic = 1").select(word).distinct().where(functools.reduce(Column.__or__, under)).collect()
+    return [(r["word"], False) for r in sorted(found)]  # words of the bounded sample
 
 
 def shortest_marks(counts: dict[str, int]) -> list[tuple[str, bool]]:
@@ -259,39 +273,40 @@ def shortest_marks(counts: dict[str, int]) -> list[tuple[str, bool]]:
     return list(dict.fromkeys(out))
 
 
-def lookalikes(sample: DataFrame, terms: list[tuple[str, bool]]) -> frozenset[str]:
-    """Terms that other texts' words resemble too often for misspellings of them to tell anything."""
+def ordinary_words(sample: DataFrame, terms: list[tuple[str, bool]]) -> frozenset[str]:
+    """Words of other texts that resemble a term and do not mark toxic texts themselves."""
 
     def resembling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = LexiconAutomaton(terms)
         for batch in batches:
             found = []
-            for text in batch["text"]:
-                near = {automaton.nearest(w.strip(EDGE)) for w in set(text.lower().split())}
-                found += [term for errors, term in near if errors > 0]
-            yield pd.DataFrame({"term": pd.Series(found, dtype=object)})
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                read = {x for w in set(text.lower().split()) for x in readings(w)}
+                found += [(x, toxic) for x in read if automaton.errors(x) > 0]
+            yield pd.DataFrame(found, columns=["word", "toxic"])
 
-    good = sample.where("toxic = 0").select("text")
-    counted = good.mapInPandas(resembling, "term string").groupBy("term").count()
-    limit = max(1.0, RESEMBLING * good.count())
-    return frozenset(r["term"] for r in counted.where(F.col("count") > limit).collect())  # terms of the lexicon
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    counted = sample.where("toxic is not null").mapInPandas(resembling, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    likelier = (F.col("t") + 0.5) / max(bad, 1) / ((F.col("c") + 0.5) / max(good, 1))
+    return frozenset(r["word"] for r in counted.where((F.col("c") > 0) & (likelier < LIKELIER)).collect())  # words of the bounded sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
     """Learns terms and weights from the bounded sample."""
     sample = keep_lineage_short(labelled_sample(docs, labels, limit))
     terms = learn_terms(sample)
-    exact = lookalikes(sample, terms) if terms else frozenset()
+    ordinary = ordinary_words(sample, terms) if terms else frozenset()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(terms, exact)
+        matcher = Matcher(terms, ordinary)
         for batch in batches:
             out = pd.DataFrame([matcher.counts(x) for x in batch["text"]], columns=list(Matcher.FEATURES), dtype=float)
             yield out.assign(toxic=batch["toxic"].to_numpy())
 
     rows = sample.mapInPandas(count, "uttered double, misspelled double, cited double, toxic int").toPandas()
     counts = rows[list(Matcher.FEATURES)].to_numpy(float).reshape(-1, 3)
-    return Model(tuple(terms), exact, tuple(map(float, logistic(inputs(counts), rows["toxic"].to_numpy(float)))))
+    return Model(tuple(terms), ordinary, tuple(map(float, logistic(inputs(counts), rows["toxic"].to_numpy(float)))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> np.ndarray:
@@ -317,7 +332,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, and the match counts of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(list(model.terms), model.exact)
+        matcher = Matcher(list(model.terms), model.ordinary)
         for batch in batches:
             counts = np.array([matcher.counts(x) for x in batch["text"]], float).reshape(-1, 3)
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.score(counts)})

@@ -246,6 +246,16 @@ def test_automaton_matches_brute_force():
         assert automaton.errors(word) == min(best, default=-1), word
 
 
+def test_misspelled_forms_of_stems_and_of_terms_with_ordinary_neighbours(spark):
+    rnd = random.Random(4)
+    own = lambda: " ".join("".join(rnd.choice("bcfghkpqvwxz") for _ in range(9)) for _ in range(4))
+    rows = [(i, f"{own()} {('idiot', 'idiots')[i // 2 % 2]} moron") if i % 2 else (i, f"{own()} oron") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS)
+    asked = [(1000, "what an idjot"), (1001, "two ldiots here"), (1002, "a moran"), (1003, "an oron here"), (1004, "idiotische rede")]
+    found = {r["doc_id"]: (r["uttered"], r["misspelled"]) for r in toxicity.score_toxicity(docs(spark, rows + asked), labels).collect()}
+    assert [found[i] for i, _ in asked] == [(0, 1), (0, 1), (0, 1), (0, 0), (1, 0)]
+
+
 def test_quotation_weighs_less():
     matcher = toxicity.Matcher([("idiot", False)])
     assert matcher.counts("you idiot go away") == (1.0, 0.0, 0.0)
