@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +25,44 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def keep_lineage_short(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster shares (spark.checkpoint.dir).
+@lru_cache(maxsize=8)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="caselight-")
+
 
-    Where no folder is set, as in tests, one on this machine is taken.
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir.
+
+    Where it is not set, a local session, as in tests, takes a folder of its own; on a cluster
+    that is an error, as the executors would not see each other's files.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+def keep_lineage_short(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caselight-"))
+        context.setCheckpointDir(shared_top(spark))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables that the driver and all executors read."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caselight-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "written") -> DataFrame:
+    """The table as written to the shared folder: without lineage, and without the orders that joins left in its plan."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -1,14 +1,17 @@
 """Line dedup: later copies of repeated line runs are deleted.
 
 Method: a suffix array over the documents' sequences of line ids, by distributed prefix
-doubling. A round ranks the suffixes that still share a prefix by the ranks of their first and
-second halves; suffixes whose prefix is unique leave. Ranks are places in the array, worked out
-by range partitions and running sums, so equal ranks at depth d are an interval of common
-prefixes of d lines. The runs of LEAST_LINES lines and more that occur again are covered by
-such intervals at that depth, and no deeper order is needed to find what they cover. Where a
-number of words is given, a shorter run counts too if it has so many words: the intervals at
-each smaller depth show those. The first occurrence (by doc_id, then line) stays. Only DataFrame
-functions are used.
+doubling, run to its end. A round orders the suffixes that still share a prefix by the ranks of
+their two halves; those whose prefix is unique leave with their place in the array. A line that
+occurs once, and the end of a document, are symbols of their own, smaller than all others.
+
+Neighbours in the array give the longest common prefixes. Where the lines before two neighbours
+are equal too, the prefix is that of the suffix one line earlier less one; only for the others
+it is worked out, from the ranks that both had in the rounds. Intervals of prefixes of
+LEAST_LINES lines and more are the runs that occur again, and their longest prefixes the maximal
+runs. The first occurrence (by doc_id, then line) stays. Where a number of words is given, a run
+of fewer lines counts too if it has so many words, by the intervals of smaller prefixes. Only
+DataFrame functions are used.
 
 Defined cases: a null text is empty, with one empty line; a text shorter than the run stays;
 rows that repeat doc_id and text are one document; rows that repeat a doc_id alone are ordered
@@ -22,13 +25,14 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, keep_lineage_short
+from .common import WORD, free_name, written
 
 #: Fewest consecutive lines that count as a repeated run.
 LEAST_LINES = 3
 #: Fewest words of a run that counts with fewer lines, where long passages are to go as well.
 LEAST_WORDS = 50
 NO_ID = -(1 << 63)
+SUFFIX = ("doc", "mark", "n")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,52 +42,130 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_ids(keyed: DataFrame) -> DataFrame:
-    """doc, mark, n (from 0), and id, the line's hash; repeated rows once."""
+    """doc, mark, n (from 0), id (the line's hash) and before (that of the line before it); repeated rows once."""
     hashed = keyed.select("doc", "mark", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("ids"))
     once = hashed.groupBy("doc", "mark").agg(F.first("ids").alias("ids"))
-    return once.select("doc", "mark", F.posexplode("ids").alias("n", "id"))
+    pairs = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.when(i > 0, F.get("ids", i - 1)).alias("before")))
+    return once.select("doc", "mark", F.posexplode(pairs).alias("n", "line")).select("doc", "mark", "n", "line.id", "line.before")
 
 
-def _following(by: int) -> Column:
-    """The rank of the suffix so many lines on, if it is still in."""
-    w = Window.partitionBy("doc", "mark").orderBy("n").rowsBetween(Window.currentRow, by)
-    ahead = F.filter(F.collect_list(F.struct("n", "rank")).over(w), lambda x: x["n"] == F.col("n") + by)
-    return F.get(ahead, 0)["rank"]
+def _in_order(rows: DataFrame, *order: str) -> tuple[DataFrame, Column, Column]:
+    """Rows in this order over all partitions, written so; each row's partition, and its place in it."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return written(sorted_), F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
 
 
-def _ranked(keys: DataFrame) -> DataFrame:
-    """Adds rank, the place in the suffix array where each (a, b) begins, to a, b and size."""
-    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = keep_lineage_short(keys.repartitionByRange(tasks, "a", "b").withColumn("part", F.spark_partition_id()))
-    before = Window.partitionBy("part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("part").agg(F.sum("size").alias("total"))
-    # one row for each range, as many as there are shuffle partitions
-    earlier = sums.alias("x").join(F.broadcast(sums.alias("y")), F.expr("y.part < x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.total"), F.lit(0)).alias("base"))
-    return parts.join(F.broadcast(earlier), "part").select("a", "b", (F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("rank"))
+def _by_part(rows: DataFrame, part: Column, *before: Column) -> DataFrame:
+    """part, and sums over all parts before it: one row for each partition, as few as those are."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(part.alias("part")).agg(*[c.alias(f"sum{i}") for i, c in enumerate(before)])
+    return totals.select("part", *[F.coalesce(F.sum(f"sum{i}").over(earlier), F.lit(0)).alias(f"base{i}") for i in range(len(before))])
 
 
-def _deeper(suffixes: DataFrame, by: int) -> DataFrame:
-    """Suffixes (doc, mark, n, rank) that still share a prefix, `by` lines deeper, with new ranks."""
-    pairs = suffixes.withColumn("b", _following(by)).where("b is not null").withColumnRenamed("rank", "a")
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("size")).where("size > 1")
-    return keep_lineage_short(pairs.join(_ranked(shared), ["a", "b"]).select("doc", "mark", "n", "rank"))
+def _ranked(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds place, where a row stands in the order of keys and suffixes, and size and first, those of its keys' group."""
+    sorted_, part, index = _in_order(rows, *keys, *SUFFIX)
+    based = sorted_.withColumn("part", part).join(F.broadcast(_by_part(sorted_, part, F.count("*"))), "part")
+    placed = based.withColumn("place", F.col("base0") + index).drop("part", "base0", "at")
+    # written first, so that a very common key's partition can be split in the join
+    groups = written(placed.groupBy(*keys).agg(F.count("*").alias("size"), F.min("place").alias("first")))
+    return placed.join(groups, list(keys))
 
 
-def shared_runs(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
-    """(doc, mark, n, rank): runs of `least` lines that occur again; equal runs have equal ranks."""
-    # written first, so that a very common line's partition can be split in the join
-    shared = keep_lineage_short(lines.groupBy("id").agg(F.count("*").alias("size")).where("size > 1").select("id"))
-    now = keep_lineage_short(lines.join(shared, "id").select("doc", "mark", "n", F.col("id").alias("rank")))
-    depth = 1
-    while depth * 2 <= least:
-        now, depth = _deeper(now, depth), depth * 2
-    return _deeper(now, least - depth) if least > depth else now
+def suffix_array(lines: DataFrame) -> DataFrame:
+    """doc, mark, n, before, ranks and place of every suffix whose first line occurs again.
 
-
-def _later(runs: DataFrame, depth: int) -> DataFrame:
-    """doc, mark, n and stop of all runs of `depth` lines but the first of each rank."""
-    first = keep_lineage_short(runs.groupBy("rank").agg(F.min(F.struct("doc", "mark", "n")).alias("first")))
-    return runs.join(first, "rank").where(F.struct("doc", "mark", "n") != F.col("first")).select("doc", "mark", "n", (F.col("n") + depth).alias("stop"))
+    place orders the suffixes. ranks[k] is the place of the first suffix with the same 2^k lines,
+    for as many rounds as the suffix shared those with another.
+    """
+    shared = written(lines.groupBy("id").agg(F.count("*").alias("n_lines")).where("n_lines > 1").select("id"))
+    first = _ranked(lines.join(shared, "id"), ("id",))
+    state = written(first.select(*SUFFIX, "before", F.array("first").alias("ranks"), F.col("first").alias("place"), F.lit(True).alias("open")))
+    by = 1
+    while not state.where("open").isEmpty():
+        # the suffix `by` lines on; none: the text ends there, or a line that occurs once stands there
+        ahead = F.first("place").over(Window.partitionBy("doc", "mark").orderBy("n").rangeBetween(by, by))
+        halves = state.withColumn("next", F.coalesce(ahead, F.lit(-1))).where("open").drop("open").withColumnRenamed("place", "rank")
+        ranked = _ranked(halves, ("rank", "next"))
+        # places count the open suffixes alone; from its start on, a group keeps its own places
+        starts = written(ranked.groupBy("rank").agg(F.min("place").alias("start")))
+        stays = (F.col("next") >= 0) & (F.col("size") > 1)
+        at = F.col("rank") - F.col("start") + F.when(stays, F.col("first")).otherwise(F.col("place"))
+        ranks = F.when(stays, F.concat("ranks", F.array(at))).otherwise(F.col("ranks"))
+        now = ranked.join(starts, "rank").select(*SUFFIX, "before", ranks.alias("ranks"), at.alias("place"), stays.alias("open"))
+        state = written(state.where("not open").union(now))
+        by *= 2
+    return state.drop("open")
+
+
+def _equal_rounds(a: Column, b: Column) -> Column:
+    """In how many rounds, from the first on, two suffixes had equal ranks."""
+    same = F.zip_with(F.coalesce(a, F.array().cast("array<long>")), F.coalesce(b, F.array().cast("array<long>")), lambda x, y: x == y)
+    return F.size(F.filter(same, lambda s: F.coalesce(s, F.lit(False))))
+
+
+def _extended(pairs: DataFrame, array: DataFrame) -> DataFrame:
+    """doc, mark, n and lcp, the lines that the suffix shares with its neighbour (other: doc, mark, n).
+
+    rounds: in how many rounds their ranks were equal. The prefix grows by the largest power of
+    two that the suffixes behind it still share, as long as there is one.
+    """
+    grown = F.expr("if(rounds > 0, shiftleft(1, rounds - 1), 0)")
+    now, done = pairs.withColumn("lcp", grown), None
+    while True:
+        now = written(now, "line-prefixes")
+        closed = now.where("rounds <= 1").select(*SUFFIX, "lcp")
+        done = closed if done is None else done.union(closed)
+        now = now.where("rounds > 1")
+        if now.isEmpty():
+            return done
+        for k, (doc, mark, n) in enumerate((("doc", "mark", "n"), ("other.doc", "other.mark", "other.n"))):
+            behind = array.select(F.col("doc").alias("d"), F.col("mark").alias("m"), F.col("n").alias("i"), F.col("ranks").alias(f"ranks{k}"))
+            now = now.join(behind, (F.col(doc) == F.col("d")) & (F.col(mark) == F.col("m")) & (F.col(n) + F.col("lcp") == F.col("i")), "left").drop("d", "m", "i")
+        less = F.least(_equal_rounds(F.col("ranks0"), F.col("ranks1")), F.col("rounds") - 1)
+        now = now.withColumn("rounds", less).drop("ranks0", "ranks1").withColumn("lcp", F.col("lcp") + grown)
+
+
+def common_prefixes(lines: DataFrame) -> DataFrame:
+    """doc, mark, n, part, at, lcp and ahead of the suffix array's rows.
+
+    lcp: lines shared with the suffix before; ahead: those shared with the one behind. at orders
+    the rows, over all partitions; part is the partition's number.
+    """
+    array = suffix_array(lines)
+    sorted_, part, _ = _in_order(array, "place")
+    sorted_ = sorted_.withColumn("part", part)
+    mine, parts = Window.partitionBy("part").orderBy("at"), Window.orderBy("part")
+    suffix = F.struct(*SUFFIX, "before", "ranks")
+    ends = sorted_.groupBy("part").agg(F.max_by(suffix, "at").alias("end")).select("part", F.lag("end").over(parts).alias("end"))  # a row for each partition
+    near = sorted_.join(F.broadcast(ends), "part").withColumn("other", F.coalesce(F.lag(suffix).over(mine), F.col("end")))
+    rounds = _equal_rounds(F.col("ranks"), F.col("other.ranks"))
+    # where the lines before are equal too, the prefix is that of the suffix one line earlier less one
+    derived = F.coalesce(F.col("before") == F.col("other.before"), F.lit(False)) & (F.col("rounds") > 1)
+    near = written(near.withColumn("rounds", rounds).select(*SUFFIX, "part", "at", "rounds", F.struct("other.doc", "other.mark", "other.n").alias("other"), derived.alias("derived")))
+    found = near.where("not derived and rounds > 1").select(*SUFFIX, "rounds", "other")
+    grown = near.drop("other").join(_extended(found, array), list(SUFFIX), "left")
+    direct = F.when(F.col("rounds") < 2, F.col("rounds")).otherwise(F.col("lcp"))
+    reach = F.last(F.when(~F.col("derived"), F.col("n") + direct), ignorenulls=True).over(Window.partitionBy("doc", "mark").orderBy("n"))
+    known = written(grown.withColumn("lcp", (reach - F.col("n")).cast("int")).select(*SUFFIX, "part", "at", "lcp"))
+    heads = known.groupBy("part").agg(F.min_by("lcp", "at").alias("head")).select("part", F.lead("head").over(parts).alias("head"))  # a row for each partition
+    ahead = F.coalesce(F.lead("lcp").over(mine), F.col("head"), F.lit(0))
+    return written(known.join(F.broadcast(heads), "part").withColumn("ahead", ahead).drop("head"))
+
+
+def later_copies(prefixes: DataFrame, least: int) -> DataFrame:
+    """doc, mark, n, stop and longest of the runs of `least` lines that occurred before.
+
+    A run that occurs again is an interval of the array in which all prefixes are so long; its
+    first suffix by document and line stays. longest: the lines of the maximal run from n on.
+    """
+    opens = F.when(F.col("lcp") < least, 1).otherwise(0)
+    upto = F.sum(opens).over(Window.partitionBy("part").orderBy("at"))
+    numbered = prefixes.join(F.broadcast(_by_part(prefixes, F.col("part"), F.sum(opens))), "part").withColumn("interval", F.col("base0") + upto)
+    runs = numbered.where((F.col("lcp") >= least) | (F.col("ahead") >= least))
+    first = written(runs.groupBy("interval").agg(F.min(F.struct(*SUFFIX)).alias("first")))
+    later = runs.join(first, "interval").where(F.struct(*SUFFIX) != F.col("first"))
+    return later.select(*SUFFIX, (F.col("n") + least).alias("stop"), F.greatest("lcp", "ahead").alias("longest"))
 
 
 def long_windows(docs_keyed: DataFrame, depth: int, words: int) -> DataFrame:
@@ -94,33 +176,23 @@ def long_windows(docs_keyed: DataFrame, depth: int, words: int) -> DataFrame:
     return counted.select("doc", "mark", F.explode(F.array_compact(F.transform("words", lambda _, i: F.when(held(i) >= words, i)))).alias("n")).distinct()
 
 
-def _later_passages(docs_keyed: DataFrame, least: int, words: int) -> list[DataFrame]:
-    """Later copies of runs of `least` lines, and of shorter ones of so many words."""
-    lines = line_ids(docs_keyed)
-    shared = keep_lineage_short(lines.groupBy("id").agg(F.count("*").alias("size")).where("size > 1").select("id"))
-    now = keep_lineage_short(lines.join(shared, "id").select("doc", "mark", "n", F.col("id").alias("rank")))
-    out = []
-    for depth in range(1, least):
-        out.append(_later(now.join(long_windows(docs_keyed, depth, words), ["doc", "mark", "n"], "left_semi"), depth))
-        now = _deeper(now, 1)
-    return [*out, _later(now, least)]
-
-
 def spans_to_delete(docs_keyed: DataFrame, least: int = LEAST_LINES, words: int | None = None) -> DataFrame:
-    """doc, mark and spans (array of start and stop in lines, disjoint and in order) of later copies.
+    """doc, mark and spans (start and stop in lines, and longest) of later copies, disjoint and in order.
 
     words: the number from which a run counts with fewer lines than `least`; none: never.
+    longest: the lines of the longest maximal run that begins in the span.
     """
-    if words is None:
-        later = _later(shared_runs(line_ids(docs_keyed), least), least)
-    else:
-        parts = _later_passages(docs_keyed, least, words)
-        later = functools.reduce(DataFrame.union, parts)
+    prefixes = common_prefixes(line_ids(docs_keyed))
+    found = [later_copies(prefixes, least)]
+    for depth in range(1, least if words is not None else 1):
+        found.append(later_copies(prefixes, depth).join(long_windows(docs_keyed, depth, words), list(SUFFIX), "left_semi"))
+    later = functools.reduce(DataFrame.union, found)
     w = Window.partitionBy("doc", "mark").orderBy("n", "stop")
     reached = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.when(F.col("n") > reached, 1).otherwise(0)
-    spans = later.withColumn("apart", apart).withColumn("span", F.sum("apart").over(w)).groupBy("doc", "mark", "span").agg(F.min("n").alias("start"), F.max("stop").alias("stop"))
-    return spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    united = later.withColumn("apart", apart).withColumn("span", F.sum("apart").over(w)).groupBy("doc", "mark", "span")
+    spans = united.agg(F.min("n").alias("start"), F.max("stop").alias("stop"), F.max("longest").alias("longest"))
+    return spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "longest"))).alias("spans"))
 
 
 def _kept_lines(lines: Column, spans: Column) -> Column:
