@@ -3,6 +3,8 @@
 Method: bounded-space online best-fit. A fixed number of bins is open at a time. A bitset
 with one bit per amount of free space finds the fullest bin that still takes a piece (the
 lowest set bit at or above its length); when too many bins are open, the fullest closes.
+Pieces arrive in the order of a hash and pass a buffer of a fixed size, which hands on its
+longest first; so a packer holds OPEN_BINS bins and REORDERED pieces, whatever its input.
 
 Defined cases: a null or empty text is a document of one token (the end mark); repeated
 rows are packed each for itself; a null doc_id is kept; an empty table gives no rows.
@@ -23,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import BPE_RANKS, doc_texts, file_partitions
 
 SEQUENCE_TOKENS = 2048
-OPEN_BINS = 1 << 17
+#: Bins that a packer has open, at most.
+OPEN_BINS = 1024
+#: Pieces that are put in order together, longest first, before they are placed.
+REORDERED = 4096
 END_ID = 0
 #: The vocabulary's one special token; its string in a text is read as that token.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -47,10 +53,20 @@ def encoding(ranks_path: str) -> tiktoken.Encoding:
 
 def token_ids(text: str, ranks_path: str = BPE_RANKS) -> np.ndarray:
     """A document's ids, the end mark included."""
-    ids = encoding(ranks_path).encode_to_numpy(text, allowed_special="all")
+    try:
+        ids = encoding(ranks_path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # white space so long that the library's pattern gives up
+        ids = np.array(_own_ids(text, ranks_path), "<u4")
     return np.append(ids, END_ID).astype("<u4")
 
 
+def _own_ids(text: str, ranks_path: str) -> list[int]:
+    """The same ids by the encoder of op5, whose pattern takes texts of any length."""
+    ((mark, number),) = SPECIAL.items()
+    first, *rest = [bpe.load(ranks_path).encode(part) for part in text.split(mark)]
+    return first + [i for ids in rest for i in (number, *ids)]
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, behind a first that may be shorter."""
     head = n % size
@@ -107,24 +123,36 @@ def pieces(docs: DataFrame, size: int = SEQUENCE_TOKENS, ranks_path: str = BPE_R
     return doc_texts(docs).mapInPandas(split, PIECES)
 
 
-def pack(found: DataFrame, packers: int, size: int = SEQUENCE_TOKENS, limit: int = OPEN_BINS) -> DataFrame:
+def _longest_first(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows in buffers of one size, each with its longest pieces first; equals keep their order."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(map(len, held)) >= size:
+            rows = pd.concat(held, ignore_index=True)
+            yield rows[:size].sort_values("length", ascending=False, kind="stable")
+            held = [rows[size:]]
+    if held:
+        yield pd.concat(held, ignore_index=True).sort_values("length", ascending=False, kind="stable")
+
+
+def pack(found: DataFrame, packers: int, size: int = SEQUENCE_TOKENS, limit: int = OPEN_BINS, reordered: int = REORDERED) -> DataFrame:
     """Adds sequence_id and offset to pieces. Each packer fills sequences of its own.
 
-    The pieces are dealt round, whatever their document or source. Inside a packer the longest
-    come first, so short ones fill what is left; equals are ordered by a hash, so a packer that
-    runs again makes the same sequences.
+    The pieces are dealt round, whatever their document or source, and come to a packer in the
+    order of a hash, so one that runs again makes the same sequences.
     """
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins = OpenBins(size, limit)
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _longest_first(batches, reordered):
             places = [bins.place(n) for n in batch["length"].tolist()]
             batch["sequence_id"] = [first + b for b, _ in places]
             batch["offset"] = [at for _, at in places]
             yield batch.astype({"doc_id": "Int64"})
 
-    dealt = found.repartition(packers).sortWithinPartitions(F.desc("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
+    dealt = found.repartition(packers).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32", "length")
     return dealt.mapInPandas(fill, PACKED)
 
 
