@@ -27,14 +27,16 @@ from .common import doc_texts, keep_lineage_short
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Candidate terms that reach the driver, at most.
-CANDIDATES = 20_000
 STEM_LETTERS = (4, 5, 6, 7)
 #: A term has to be so many times likelier in a toxic text than in another.
 LIKELIER = 15.0
 COPY_SIGNS = 3
 CONTEXT_WORDS = 6
 MEMO_ENTRIES = 500_000
+#: States of an automaton that are kept; beyond, they are made anew.
+STATES = 200_000
+#: What a cited match weighs as long as the sample does not say otherwise; an uttered one is learned from zero.
+CITED_WEIGHT = 1.0
 #: Letters that digits and signs stand for, marks and words of quotation.
 LOOKALIKES = str.maketrans("01345@$", "oieasas")
 QUOTES = "\"“”„«»‘’"
@@ -80,6 +82,9 @@ class LexiconAutomaton:
                 node = self.children[node][letter]
             self.own_budget[node] = max(self.own_budget.get(node, 0), allowed_errors(term, stem))
             self.term_of[node] = term
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -125,6 +130,8 @@ class LexiconAutomaton:
 
     def nearest(self, word: str) -> tuple[int, str]:
         """Those errors, and the term; -1 and nothing if there is no match."""
+        if len(self.states) > STATES:
+            self._begin()
         state = self.start
         for letter in word:
             to = self.steps[state].get(letter)
@@ -236,7 +243,7 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
     least = max(3, bad // 80)
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") >= least)
     likelier = (F.col("t") + 0.5) / bad / ((F.col("c") + 0.5) / good)
-    found = counted.where((likelier >= LIKELIER) & (F.col("c") * 10 <= F.col("t"))).orderBy(F.desc("t"), "term").limit(CANDIDATES).collect()
+    found = counted.where((likelier >= LIKELIER) & (F.col("c") * 10 <= F.col("t"))).collect()  # words of the bounded sample
     marks = shortest_marks({r["term"]: r["t"] for r in found})
     return marks + forms(texts, [term for term, stem in marks if stem])
 
@@ -310,16 +317,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> np.ndarray:
-    """Weights, the constant first, by Newton's method; both kinds of label weigh the same."""
+    """Weights of the constant, uttered and cited matches, by Newton's method from a prior.
+
+    Both kinds of label weigh the same. A citation, which a sample may hardly have, keeps the prior's weight then.
+    """
     x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
+    prior = np.array([0.0, 0.0, CITED_WEIGHT])
+    w = prior.copy()
     if not len(y) or y.min() == y.max():
-        return w
+        return np.zeros(len(w))
     share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     penalty = ridge * np.diag([0.0] + [1.0] * (len(w) - 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (share * (p - y)) + penalty @ w
+        slope = x.T @ (share * (p - y)) + penalty @ (w - prior)
         curve = (x * (share * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
         move = np.linalg.solve(curve, slope)
         w -= move
