@@ -17,8 +17,9 @@ passage) is dealt by windows instead: a sample of documents only names such anch
 that it misses are dealt by windows after step 2.
 
 Defined cases: a null text is empty; texts under 100 bytes stay whole; rows that repeat a
-doc_id and a text are one document, those that repeat a doc_id alone are ordered by a hash of
-the text; a null doc_id comes before all others; an empty table gives no rows.
+doc_id and a text are one document, those that repeat a doc_id alone are told apart and ordered
+by 31 bits of a hash of the text; a null doc_id comes before all others; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 
 #: known: the row is a part already known to be a copy, and its anchor holds where it stops.
-SNIPPETS = "deal long, anchor long, content long, doc_id long, place long, known boolean"
+SNIPPETS = "anchor long, content long, doc_id long, mark int, place long, known boolean"
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -100,38 +101,33 @@ def snippets(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def chunks(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Documents in pieces of about CHUNK_BYTES, a document in one piece."""
+    """Documents in pieces of about CHUNK_BYTES, a document in one piece. ids: one row each; pieces have a column each."""
     own: list[bytes] = []
     first = size = 0
     for k, text in enumerate(texts):
         own.append(text.encode("utf-8", "surrogatepass"))
         size += len(own[-1])
         if size > CHUNK_BYTES or k == len(texts) - 1:
-            yield ids[first : k + 1], own
+            yield ids[first : k + 1].T, own
             own, first, size = [], k + 1, 0
 
 
-def text_marks(texts: list[bytes]) -> np.ndarray:
-    """16 bits of each text's hash, to tell rows that repeat a doc_id apart."""
-    return np.array([xxhash.xxh3_64_intdigest(x) & 0xFFFF for x in texts], np.int64)
+def _pack(start: np.ndarray, count: np.ndarray, gram: np.ndarray | int = 0) -> np.ndarray:
+    """One number that sorts by start. gram: where in the snippet its anchor stands."""
+    return (start << 15) | (gram << 8) | count
 
 
-def _pack(mark: np.ndarray, start: np.ndarray, count: np.ndarray, gram: np.ndarray | int = 0) -> np.ndarray:
-    """One number that sorts by mark, then start. gram: where in the snippet its anchor stands."""
-    return (mark << 47) | (start << 15) | (gram << 8) | count
-
-
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 47, (place >> 15) & ((1 << 32) - 1), place & 255
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> 15, place & 255
 
 
 def _windows(data: bytes, start: int, count: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(data[a : a + WINDOW]) for a in range(start, start + count)]
 
 
-def _earliest_first(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _earliest_first(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, mark: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key and then by document and place; whether each row heads its key."""
-    order = np.lexsort((place, ids, content, anchor))
+    order = np.lexsort((place, mark, ids, content, anchor))
     a, c = anchor[order], content[order]
     return order, np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]))) if len(order) else np.zeros(0, bool)
 
@@ -143,9 +139,8 @@ def _snippet_rows(wide: frozenset[int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for ids, texts in chunks(batch["doc_id"].to_numpy(np.int64), batch["text"].tolist()):
+            for (ids, marks), texts in chunks(batch[["doc_id", "mark"]].to_numpy(np.int64), batch["text"].tolist()):
                 doc, start, count, gram, anchor, content = snippets(texts)
-                marks = text_marks(texts)
                 common = np.isin(anchor, wide_ids) if len(wide_ids) else np.zeros(len(anchor), bool)
                 if common.any():
                     some = [x[common] for x in (doc, start, count)]
@@ -156,18 +151,18 @@ def _snippet_rows(wide: frozenset[int]):
                     doc, start = np.concatenate((doc[~common], doc2)), np.concatenate((start[~common], start2))
                     count, gram = np.concatenate((count[~common], np.ones(len(many), np.int64))), np.concatenate((gram[~common], np.zeros(len(many), np.int64)))
                     anchor, content = np.concatenate((anchor[~common], many)), np.concatenate((content[~common], ~many))
-                parts.append((ids[doc], _pack(marks[doc], start, count, gram), anchor, content))
+                parts.append((ids[doc], marks[doc], _pack(start, count, gram), anchor, content))
             if not parts:
                 continue
-            ids, place, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, head = _earliest_first(anchor, content, ids, place)
+            ids, mark, place, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, head = _earliest_first(anchor, content, ids, mark, place)
             # repeated rows are one document: both are heads or neither is
             first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            ids, place, anchor, content = ids[order], place[order], anchor[order], content[order]
-            again = ~head & (ids == ids[first]) & (place == place[first])
+            ids, mark, place, anchor, content = ids[order], mark[order], place[order], anchor[order], content[order]
+            again = ~head & (ids == ids[first]) & (mark == mark[first]) & (place == place[first])
             keep = ~again
             copy = (~head)[keep]
-            out = pd.DataFrame({"deal": anchor[keep], "anchor": anchor[keep], "content": content[keep], "doc_id": ids[keep], "place": place[keep], "known": False})
+            out = pd.DataFrame({"anchor": anchor[keep], "content": content[keep], "doc_id": ids[keep], "mark": mark[keep], "place": place[keep], "known": False})
             yield out[~copy]
             yield _merged(out[copy])[list(out.columns)]
 
@@ -175,10 +170,10 @@ def _snippet_rows(wide: frozenset[int]):
 
 
 def _merged(copies: pd.DataFrame) -> pd.DataFrame:
-    """Copies (doc_id, place) that touch or overlap in a document as one known row each."""
-    mark, start, count = _unpack(copies["place"].to_numpy(np.int64))
+    """Copies (doc_id, mark, place) that touch or overlap in a document as one known row each."""
+    start, count = _unpack(copies["place"].to_numpy(np.int64))
     stop = start + count + WINDOW - 1
-    ids = copies["doc_id"].to_numpy(np.int64)
+    ids, mark = copies["doc_id"].to_numpy(np.int64), copies["mark"].to_numpy(np.int64)
     order = np.lexsort((start, mark, ids))
     ids, mark, start, stop = ids[order], mark[order], start[order], stop[order]
     new = np.ones(len(ids), bool)
@@ -188,30 +183,31 @@ def _merged(copies: pd.DataFrame) -> pd.DataFrame:
     new[1:] = other | (start[1:] > reach[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(ids))[: len(first)] - 1
-    place = _pack(mark[first], start[first], np.zeros(len(first), np.int64))
-    return pd.DataFrame({"deal": ids[first] * 2_654_435_761 + start[first], "anchor": reach[last], "content": 0, "doc_id": ids[first], "place": place, "known": True})
+    place = _pack(start[first], np.zeros(len(first), np.int64))
+    return pd.DataFrame({"anchor": reach[last], "content": 0, "doc_id": ids[first], "mark": mark[first], "place": place, "known": True})
 
 
 #: What is known of a part of a document. kind: "copy" (remove start to stop), "open" (compare
 #: the snippet's bytes with others of its key) or "wide" (compare its windows one by one).
-PARTS = "kind string, key long, doc_id long, mark long, start long, stop long, gram long"
+PARTS = "kind string, key long, doc_id long, mark int, start long, stop long, gram long"
 
 
-def _parts(kind: str, key, ids, place=None, mark=None, start=None, stop=None) -> pd.DataFrame:
+def _parts(kind: str, key, ids, mark, place=None, start=None, stop=None) -> pd.DataFrame:
     gram = 0
     if place is not None:
-        mark, start, count = _unpack(place)
+        start, count = _unpack(place)
         stop, gram = start + count + WINDOW - 1, (place >> 8) & 127
     return pd.DataFrame({"kind": kind, "key": key, "doc_id": ids, "mark": mark, "start": start, "stop": stop, "gram": gram})
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """PARTS from rows SNIPPETS sorted by anchor, content, doc_id, place.
+    """PARTS from rows SNIPPETS sorted by anchor, content, doc_id, mark, place.
 
     Streams: all it holds is the heads of at most WIDE different snippets of one anchor.
     """
-    held = pd.DataFrame({"anchor": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "place": np.zeros(0, np.int64)})
-    last = wide = None  # last: (anchor, content, doc_id, place) of the latest head; wide: an anchor
+    columns = ("anchor", "doc_id", "mark", "place")
+    held = pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
+    last = wide = None  # last: (anchor, content, doc_id, mark, place) of the latest head; wide: an anchor
 
     def settled(heads: pd.DataFrame) -> Iterator[pd.DataFrame]:
         size = heads.groupby("anchor")["place"].transform("size").to_numpy()
@@ -219,29 +215,28 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for kind, pick in (("wide", many), ("open", ~many & (size > 1))):
             some = heads[pick]
             if len(some):
-                yield _parts(kind, some["anchor"].to_numpy(), some["doc_id"].to_numpy(), some["place"].to_numpy())
+                yield _parts(kind, *(some[c].to_numpy() for c in columns))
 
     for batch in batches:
         known = batch["known"].to_numpy()
         if known.any():
             some = batch[known]
-            mark, start, _ = _unpack(some["place"].to_numpy(np.int64))
-            yield _parts("copy", 0, some["doc_id"].to_numpy(), None, mark, start, some["anchor"].to_numpy())
+            start, _ = _unpack(some["place"].to_numpy(np.int64))
+            yield _parts("copy", 0, some["doc_id"].to_numpy(), some["mark"].to_numpy(), None, start, some["anchor"].to_numpy())
             batch = batch[~known]
         if not len(batch):
             continue
-        anchor, content, ids, place = (batch[x].to_numpy(np.int64) for x in ("anchor", "content", "doc_id", "place"))
+        anchor, content, ids, mark, place = (batch[x].to_numpy(np.int64) for x in ("anchor", "content", "doc_id", "mark", "place"))
         head = np.ones(len(batch), bool)
         head[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
         head[0] = last is None or (anchor[0], content[0]) != last[:2]
         first = np.maximum.accumulate(np.where(head, np.arange(len(head)), -1))
-        head_id = np.where(first >= 0, ids[first], 0 if last is None else last[2])
-        head_place = np.where(first >= 0, place[first], 0 if last is None else last[3])
-        copy = ~head & ((ids != head_id) | (place != head_place))
+        own = [np.where(first >= 0, x[first], 0 if last is None else last[k]) for k, x in ((2, ids), (3, mark), (4, place))]
+        copy = ~head & ((ids != own[0]) | (mark != own[1]) | (place != own[2]))
         if copy.any():
-            yield _parts("copy", 0, ids[copy], place[copy])
-        last = (anchor[-1], content[-1], head_id[-1], head_place[-1])
-        held = pd.concat([held, pd.DataFrame({"anchor": anchor[head], "doc_id": ids[head], "place": place[head]})], ignore_index=True)
+            yield _parts("copy", 0, ids[copy], mark[copy], place[copy])
+        last = (anchor[-1], content[-1], *(x[-1] for x in own))
+        held = pd.concat([held, pd.DataFrame(dict(zip(columns, (anchor[head], ids[head], mark[head], place[head]), strict=True)))], ignore_index=True)
         going_on = (held["anchor"] == anchor[-1]).to_numpy()
         yield from settled(held[~going_on])
         held = held[going_on]
@@ -372,11 +367,10 @@ def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     # repeated rows are one document, whose first window is no copy in either
     pick = order[(ids[order] != ids[head]) | (mark[order] != mark[head]) | (start[order] != start[head])]
-    rows = pd.DataFrame({"doc_id": ids[pick], "place": _pack(mark[pick], start[pick], np.ones(len(pick), np.int64))})
-    merged = _merged(rows)
-    mark, start, _ = _unpack(merged["place"].to_numpy(np.int64))
+    merged = _merged(pd.DataFrame({"doc_id": ids[pick], "mark": mark[pick], "place": _pack(start[pick], np.ones(len(pick), np.int64))}))
+    start, _ = _unpack(merged["place"].to_numpy(np.int64))
     stop = merged["anchor"].to_numpy() if len(merged) else np.zeros(0, np.int64)
-    return _parts("copy", 0, merged["doc_id"].to_numpy(), None, mark, start, stop)
+    return _parts("copy", 0, merged["doc_id"].to_numpy(), merged["mark"].to_numpy(), None, start, stop)
 
 
 FETCHED = PARTS + ", bytes binary"
@@ -386,14 +380,11 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of the parts that are to be compared; copies among wide windows of a batch."""
     for batch in batches:
         rows, windows = [], []
-        for doc_id, text, parts in zip(batch["doc_id"].tolist(), batch["text"], batch["parts"], strict=True):
+        for doc_id, mark, text, parts in zip(batch["doc_id"].tolist(), batch["mark"].tolist(), batch["text"], batch["parts"], strict=True):
             if parts is None:
                 continue
             data = text.encode("utf-8", "surrogatepass")
-            mark = int(text_marks([data])[0])
             for p in parts:
-                if p["mark"] != mark:
-                    continue
                 start, stop = p["start"], p["stop"]
                 if p["kind"] == "open":
                     rows.append(("open", p["key"], doc_id, mark, start, stop, p["gram"], data[start:stop]))
@@ -447,12 +438,13 @@ def wide_anchors(docs: DataFrame) -> frozenset[int]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, stop) of bytes to remove; spans may overlap. docs: doc_id and text, no nulls."""
+    """(doc_id, mark, start, stop) of bytes to remove; spans may overlap. docs: doc_id, mark and text, no nulls."""
     rows = docs.mapInPandas(_snippet_rows(wide_anchors(docs)), SNIPPETS)
-    order = ("anchor", "content", "doc_id", "place")
-    met = keep_lineage_short(rows.repartition("deal").sortWithinPartitions(*order).mapInPandas(_meet, PARTS))
-    unsettled = met.where("kind <> 'copy'").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "mark", "start", "stop", "gram")).alias("parts"))
-    fetched = docs.join(unsettled, "doc_id", "left").mapInPandas(_fetch, FETCHED)
+    order = ("anchor", "content", "doc_id", "mark", "place")
+    deal = F.when(F.col("known"), F.xxhash64("doc_id", "mark", "place")).otherwise(F.col("anchor"))
+    met = keep_lineage_short(rows.repartition(deal).sortWithinPartitions(*order).mapInPandas(_meet, PARTS))
+    unsettled = met.where("kind <> 'copy'").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("kind", "key", "start", "stop", "gram")).alias("parts"))
+    fetched = docs.join(unsettled, ["doc_id", "mark"], "left").mapInPandas(_fetch, FETCHED)
     compared = fetched.repartition("key").sortWithinPartitions("key").mapInPandas(_compare, PARTS)
     return met.where("kind = 'copy'").union(compared).select("doc_id", "mark", "start", "stop")
 
@@ -469,16 +461,14 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    texts = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    spans = repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("spans"))
-    return texts.join(spans, "doc_id", "left")
+    mark = F.xxhash64("text").bitwiseAND((1 << 31) - 1).cast("int")
+    texts = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("mark", mark)
+    spans = repeated_spans(texts).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.join(spans, ["doc_id", "mark"], "left")
 
 
-def _own_spans(data: bytes, spans) -> list[tuple[int, int]]:
-    if spans is None or not len(spans):
-        return []
-    mark = int(text_marks([data])[0])
-    return union_of([(s["start"], s["stop"]) for s in spans if s["mark"] == mark])
+def _own_spans(spans) -> list[tuple[int, int]]:
+    return [] if spans is None else union_of([(s["start"], s["stop"]) for s in spans])
 
 
 def _cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -494,7 +484,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, spans in zip(batch["doc_id"].tolist(), batch["text"], batch["spans"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                own = _own_spans(data, spans)
+                own = _own_spans(spans)
                 rows.append((None if doc_id == NO_ID else doc_id, [{"start": a, "stop": b} for a, b in own], _cut_out(data, own).decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["doc_id", "spans", "text"]).astype({"doc_id": "Int64"})
 
@@ -509,7 +499,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, spans in zip(batch["doc_id"].tolist(), batch["text"], batch["spans"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                own = _own_spans(data, spans)
+                own = _own_spans(spans)
                 removed = sum(b - a for a, b in own)
                 rows.append((None if doc_id == NO_ID else doc_id, len(data), removed, len(own), hashlib.sha256(_cut_out(data, own)).hexdigest()))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in REMOVED.split(", ")]).astype({"doc_id": "Int64"})
