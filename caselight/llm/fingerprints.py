@@ -5,17 +5,20 @@ bases. Any two spans are compared in constant time, and the longest common exten
 positions is found by binary search. A document's fingerprint is made from such span hashes:
 the hash of the whole text, and the least hash among all windows of 12 code points in each of
 128 bins, shortened to eight bits. The likeness of two fingerprints is the share of bins that
-agree among those which either has filled; it estimates the share of windows in common.
+agree among those which either has filled; it estimates the share of windows in common. How
+far a text and its edited form agree from their starts and from their ends are two extensions.
 
 Defined cases: a null text is empty; two empty texts are alike (1.0), an empty and another are
-not (0.0); rows with the same doc_id follow each other by text; a null doc_id comes after all
-others; with one document, the next is itself; an empty table gives no rows.
+not (0.0); rows with the same doc_id follow each other by a hash of their texts; null doc_ids
+come after all others, in the same order; with one document, the next is itself; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,10 +31,13 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 WINDOW, BINS = 12, 128
 NO_ID = -(1 << 63)
-#: Ranges of ids for each task; as they are dealt by hash, many of them even the tasks out.
-RANGES_A_TASK = 6
+#: Ranges of ids for each task, as they are dealt by hash; the driver gets a row for each range, and so many at most.
+RANGES_A_TASK, MOST_RANGES = 6, 60_000
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+    "common_prefix long, common_suffix long"
+)
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -96,21 +102,32 @@ class PrefixHash:
         return (parts[0] << np.uint64(31)) | parts[1]
 
     def span(self, start: int, length: int) -> int:
-        return int(self.spans(np.array([start]), length)[0])
+        """The hash of one span."""
+        first, second = (
+            (int(sums[start + length]) - int(sums[start])) % PRIME * int(powers.to(self.n + 1)[1][start]) % PRIME
+            for powers, sums in zip(_POWERS, self.sums, strict=True)
+        )
+        return first << 31 | second
 
     def equal(self, start: int, other: PrefixHash, other_start: int, length: int) -> bool:
         return self.span(start, length) == other.span(other_start, length)
 
     def common_extension(self, start: int, other: PrefixHash, other_start: int) -> int:
         """How many code points from both places on are the same."""
-        low, high = 0, min(self.n - start, other.n - other_start)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if self.equal(start, other, other_start, mid):
-                low = mid
-            else:
-                high = mid - 1
-        return low
+        return _most(min(self.n - start, other.n - other_start), lambda k: self.equal(start, other, other_start, k))
+
+    def common_suffix(self, other: PrefixHash) -> int:
+        """How many code points at the ends of both texts are the same."""
+        return _most(min(self.n, other.n), lambda k: self.equal(self.n - k, other, other.n - k, k))
+
+
+def _most(high: int, holds: Callable[[int], bool]) -> int:
+    """The largest number up to `high` for which something holds that holds for all smaller ones, by halves."""
+    low = 0
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if holds(mid) else (low, mid - 1)
+    return low
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,8 +136,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str) -> str:
+    return fingerprint_of(PrefixHash(code_points(text)))
+
+
+def fingerprint_of(hashed: PrefixHash) -> str:
     """Hex digits: 16 of the whole text's hash, then two for each bin (00: empty)."""
-    hashed = PrefixHash(code_points(text))
     whole = (hashed.span(0, hashed.n) * 31 + hashed.n) & ((1 << 64) - 1)
     bins = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
     if hashed.n:
@@ -159,52 +179,62 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 def with_following(docs: DataFrame, per_pair, schema: str) -> DataFrame:
     """Applies per_pair(doc_id, text, next text, carry) to each document and the next by descending id.
 
-    The ids alone are dealt into ranges first; a range's last id is all the driver
-    gets, a few for each task. Then each text moves once, to its range, and the document
-    that heads a range goes to the range above as well, where it ends the sequence.
+    The keys alone (id, hash of the text) are dealt into ranges first; a range's last key is all
+    the driver gets. Then each text moves once, to its range, and the document that heads a range
+    goes to the range above as well, where it ends the sequence.
     """
     tasks = file_partitions(docs)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"))
-    ranges = ids.repartitionByRange(tasks * RANGES_A_TASK, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).orderBy("top").collect()
-    tops = np.array([r["top"] for r in ranges], np.int64)
+    keyed = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    order = (F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "mark")
+    ranges = keyed.select(*order).repartitionByRange(min(tasks * RANGES_A_TASK, MOST_RANGES), "named", "id", "mark")
+    found = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("named", "id", "mark")).alias("top")).collect()
+    tops = sorted(tuple(r["top"]) for r in found)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(np.int64)
-            block = np.searchsorted(tops, ids)
-            yield pd.DataFrame({"block": block, "last": False, "doc_id": ids, "text": batch["text"]})
-            heads = np.flatnonzero(tops[block] == ids)
-            if len(heads):
-                yield pd.DataFrame({"block": (block[heads] + 1) % len(tops), "last": True, "doc_id": ids[heads], "text": batch["text"].iloc[heads]})
+            keys = list(zip(batch["named"].tolist(), batch["id"].tolist(), batch["mark"].tolist(), strict=True))
+            block = np.array([bisect_left(tops, k) for k in keys], np.int64)
+            yield batch.assign(block=block, last=False)[names]
+            heads = [i for i, k in enumerate(keys) if tops[block[i]] == k]
+            if heads:
+                yield batch.iloc[heads].assign(block=(block[heads] + 1) % len(tops), last=True)[names]
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, carry, rows = None, None, []
         for batch in batches:
-            for block, last, doc_id, text in zip(batch["block"].tolist(), batch["last"].tolist(), batch["doc_id"].tolist(), batch["text"], strict=True):
+            for block, last, named, doc_id, text in zip(*(batch[x].tolist() for x in ("block", "last", "named", "id", "text")), strict=True):
                 if held is not None and held[0] == block:
                     row, carry = per_pair(held[1], held[2], text, carry)
-                    rows.append((None if held[1] == NO_ID else held[1], *row))
+                    rows.append((held[1], *row))
                 else:
                     carry = None
-                held = None if last else (block, doc_id, text)
+                held = None if last else (block, doc_id if named else None, text)
             if rows:
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
                 yield out.astype({"doc_id": "Int64"})
                 rows = []
 
-    keyed = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    dealt = keyed.mapInPandas(deal, "block int, last boolean, doc_id long, text string").repartition(tasks, "block")
-    order = ("block", "last", F.desc("doc_id"), "text")
-    return dealt.sortWithinPartitions(*order).mapInPandas(pairs, schema)
+    names = ["block", "last", "named", "id", "mark", "text"]
+    dealt = keyed.select(*order, "text").mapInPandas(deal, "block int, last boolean, named boolean, id long, mark long, text string").repartition(tasks, "block")
+    down = ("block", "last", F.desc("named"), F.desc("id"), F.desc("mark"), "text")
+    return dealt.sortWithinPartitions(*down).mapInPandas(pairs, schema)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited form (columns EDITED)."""
 
-    def compare(doc_id: int, text: str, following: str, carry: str | None) -> tuple[tuple, str]:
-        own, after, changed = carry or fingerprint(text), fingerprint(following), edited(text, following)
-        other = fingerprint(changed)
+    def compare(doc_id: int | None, text: str, following: str, carry: tuple | None) -> tuple[tuple, tuple]:
+        hashed, own = carry or _with_fingerprint(text)
+        after = _with_fingerprint(following)
+        changed = edited(text, following)
+        other, other_print = _with_fingerprint(changed)
         digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return (len(text), digest, own, other, likeness(own, other), likeness(own, after)), after
+        near = (likeness(own, other_print), likeness(own, after[1]))
+        return (len(text), digest, own, other_print, *near, hashed.common_extension(0, other, 0), hashed.common_suffix(other)), after
 
     return with_following(docs, compare, EDITED)
+
+
+def _with_fingerprint(text: str) -> tuple[PrefixHash, str]:
+    hashed = PrefixHash(code_points(text))
+    return hashed, fingerprint_of(hashed)
