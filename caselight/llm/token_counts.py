@@ -2,9 +2,9 @@
 
 A batch of changes (inserts, deletes, revised counts) becomes one signed delta per group: an
 insert adds a document and its tokens, a delete takes them away, a revision adds the difference
-of the counts. A batch is committed by writing its deltas to a folder named after its id and a
-marker behind them; a batch with a marker is skipped, and one without is written anew, so a
-retry or a replay changes nothing. Totals are the sums over committed batches.
+of the counts. A batch is written beside the others and then committed by one rename to a
+folder named after its id, which fails where that is there already; so a retry, a replay or a
+second writer of the same batch changes nothing. Totals are the sums over committed batches.
 
 Defined cases: null source, language or text are groups and empty texts of their own right; a
 change whose kind is unknown or null adds nothing; a null count is zero; a group whose
@@ -13,18 +13,32 @@ documents have all gone stays with zeros; an empty batch can be committed.
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD
+from . import bpe
+from .common import BPE_RANKS, WORD
 
-#: Tokenizer versions that SQL can count: words between white space, and words and signs apart.
+#: The byte-level BPE vocabulary of op5 as a tokenizer version.
+BPE_50K = "bpe-50k"
+#: Versions that a pattern counts: words between white space, and words and signs apart.
 TOKENIZERS = {"words-1": rf"({WORD})", "words-2": r"([A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D])"}
 GROUP = ("source", "lang", "tokenizer")
 
 
+def _bpe_counts(texts: pd.Series) -> pd.Series:
+    encode = bpe.load(BPE_RANKS).encode_bytes
+    return pd.Series([len(encode(x)) // 4 for x in texts], dtype="int64")
+
+
 def count_tokens(text: Column, tokenizer: str) -> Column:
     """Tokens of a text under a tokenizer version; a null text has none."""
+    if tokenizer == BPE_50K:
+        return F.pandas_udf(_bpe_counts, "long")(F.coalesce(text, F.lit("")))
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKENIZERS[tokenizer])).cast("long")
 
 
@@ -65,37 +79,45 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = hadoop
-        self._fs = hadoop(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path, self._conf = hadoop.Path, spark._jsc.hadoopConfiguration()
+        self._fs = hadoop.Path(self.folder).getFileSystem(self._conf)
+        self._renames = hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        self._no_options = spark._sc._gateway.new_array(hadoop.Options.Rename, 0)
 
     def _batch(self, batch_id: str) -> str:
         return f"{self.folder}/batch={batch_id}"
 
     def is_committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self._batch(batch_id)}/_SUCCESS"))
+        return self._fs.exists(self._path(self._batch(batch_id)))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Adds a batch once; False if it was committed before.
-
-        The job's committer sets the marker after all files are in place.
-        """
+        """Adds a batch once; False if it was committed before, here or by another writer meanwhile."""
         if self.is_committed(batch_id):
             return False
-        deltas(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._batch(batch_id))
+        own = f"{self.folder}/_open-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(own)
+        try:
+            self._renames.rename(self._path(own), self._path(self._batch(batch_id)), self._no_options)
+        except Py4JJavaError as error:
+            self._fs.delete(self._path(own), True)
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens over the committed batches."""
-        found = [x.getPath().toString() for x in self._fs.listStatus(self._path(self.folder)) if self._fs.exists(self._path(x.getPath(), "_SUCCESS"))] if self._fs.exists(self._path(self.folder)) else []
+        found = [x.getPath().toString() for x in self._fs.listStatus(self._path(self.folder))] if self._fs.exists(self._path(self.folder)) else []
+        committed = sorted(x for x in found if x.rsplit("/", 1)[-1].startswith("batch="))
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-        rows = self.spark.read.schema(schema).parquet(*sorted(found)) if found else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*committed) if committed else self.spark.createDataFrame([], schema)
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-#: What op7 leaves: every document under words-2, and those of other languages than English
-#: under words-1 as well, whose English rows were inserted and taken back.
-ORACLE_SQL = r"""
+#: What op7 leaves under the two patterns: every document under words-2, and those of other
+#: languages than English under words-1 as well, whose English rows were inserted and taken back.
+PATTERN_SQL = r"""
 WITH counted AS (
   SELECT source, lang, 'words-1' AS tokenizer,
          CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS n,
