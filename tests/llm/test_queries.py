@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caselight.llm import fingerprints, packing, registry
+from caselight.llm import packing, registry, token_counts, toxicity
 from caselight.llm.common import BPE_JSON, BPE_RANKS, table
 
 from ..both_engines import comparable, connect
@@ -139,19 +139,104 @@ def test_suffix_dedup(spark, sf_dir, texts):
     assert found == removed(texts)
 
 
+def plain_fingerprint(text):
+    """The fingerprint by its definition: every window's polynomial on its own."""
+    prime, mask = 2**31 - 1, 2**64 - 1
+
+    def span(points):
+        first, second = (sum((c + 1) * pow(base, i, prime) for i, c in enumerate(points)) % prime for base in (1_000_003, 998_244_353))
+        return first << 31 | second
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        return x ^ x >> 27
+
+    points = [ord(c) for c in text]
+    bins = [None] * 128
+    width = min(12, len(points))
+    for i in range(len(points) - width + 1 if points else 0):
+        m = mixed(span(points[i : i + width]))
+        bins[m & 127] = min(m >> 7, bins[m & 127] if bins[m & 127] is not None else m >> 7)
+    return f"{span(points) * 31 + len(points) & mask:016x}" + "".join("00" if x is None else f"{1 + mixed(x) % 255:02x}" for x in bins)
+
+
 def test_fingerprints(spark, sf_dir, texts):
     found = {r["doc_id"]: r for r in rows(spark, sf_dir, "op9_document_fingerprints")}
     ids = sorted(texts, reverse=True)
-    for d, after in zip(ids, ids[1:] + ids[:1], strict=True):
+    prints = {}
+    for k, (d, after) in enumerate(zip(ids, ids[1:] + ids[:1], strict=True)):
         own, following, r = texts[d], texts[after], found[d]
         n = len(own) // 3
         edited = own[: len(own) - n] + following[:n]
         assert (r["n_chars"], r["edited_sha256"]) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
-        assert r["fingerprint"] == fingerprints.fingerprint(own) and r["edited_fingerprint"] == fingerprints.fingerprint(edited)
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        prefix = next((i for i, (x, y) in enumerate(zip(own, edited, strict=False)) if x != y), min(len(own), len(edited)))
+        suffix = next((i for i, (x, y) in enumerate(zip(own[::-1], edited[::-1], strict=False)) if x != y), min(len(own), len(edited)))
+        assert (r["common_prefix"], r["common_suffix"]) == (prefix, suffix)
+        if len(own) < 3000 and k % 3 == 0:
+            assert r["fingerprint"] == plain_fingerprint(own) and r["edited_fingerprint"] == plain_fingerprint(edited)
+        prints[d] = r["fingerprint"]
+        for other, near in ((r["edited_fingerprint"], r["near_edited"]), (found[after]["fingerprint"], r["near_next"])):
+            pairs = [(a, b) for a, b in zip(re.findall("..", r["fingerprint"][16:]), re.findall("..", other[16:]), strict=True) if (a, b) != ("00", "00")]
+            expected = 1.0 if other == r["fingerprint"] else sum(a == b for a, b in pairs) / len(pairs) if pairs else 0.0
+            assert near == pytest.approx(expected)
     assert sum(r["near_edited"] > r["near_next"] for r in found.values()) > 0.95 * len(found)
 
 
+def test_token_counts(spark, sf_dir, texts):
+    found = registry.QUERIES["op7_token_counts"](spark, sf_dir).toPandas()
+    encode = packing.encoding(BPE_RANKS).encode_ordinary
+    own = found["tokenizer"] == "bpe-50k"
+    assert comparable(found[~own]) == comparable(connect(sf_dir).sql(token_counts.PATTERN_SQL).df())
+    expected = Counter()
+    for r in table(spark, sf_dir, "documents").collect():
+        expected[r["source"], r["lang"], "docs"] += 1
+        expected[r["source"], r["lang"], "tokens"] += len(encode(r["text"] or ""))
+    got = Counter()
+    for r in found[own].itertuples():
+        got[r.source, r.lang, "docs"], got[r.source, r.lang, "tokens"] = r.n_docs, r.n_tokens
+    assert got == expected
+
+
+def test_toxicity_scores_by_brute_force(spark, sf_dir, texts):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    def errors(word):
+        hits = []
+        for x in toxicity.readings(word):
+            if x in model.ordinary:
+                continue
+            for term, stem in model.terms:
+                allowed = toxicity.allowed_errors(term, stem)
+                if stem and x.startswith(term):
+                    hits.append(0)
+                elif not stem and abs(len(x) - len(term)) <= allowed and (d := distance(x, term)) <= allowed:
+                    hits.append(d)
+        return min(hits, default=-1)
+
+    known = {}
+    for d, text in list(texts.items())[:60]:
+        words = text.lower().split()
+        z = uttered = cited = 0.0
+        for i, w in enumerate(words):
+            if w not in known:
+                known[w] = errors(w)
+            if known[w] >= 0:
+                share = toxicity.Matcher._citation(words, i)
+                cited, uttered = cited + share, uttered + 1 - share
+        z = model.weights[0] + model.weights[1] * np.log1p(uttered) + model.weights[2] * np.log1p(cited)
+        assert found[d]["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_line_dedup_deletes_something(spark, sf_dir):
     assert sum(r["n_deleted"] for r in rows(spark, sf_dir, "op10_line_dedup")) > 0
 
@@ -171,7 +256,7 @@ def test_pii_is_gone_and_stays_apart(spark, sf_dir):
     from caselight.llm import pii
 
     docs = table(spark, sf_dir, "documents")
-    after = pii.replace_pii(docs).cache()
+    after = pii.replace_pii(docs, "a key of tests").cache()
     old, new = (pii.entities(x).select("kind", "canonical").distinct() for x in (docs, after))
     assert old.count() == new.count() and old.intersect(new).count() == 0
     assert after.agg(F.sum("n_entities")).first()[0] == pii.entities(docs).count()
