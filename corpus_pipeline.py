@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates."""
-    return _documents(pii.without_pii(docs))
+    return _documents(pii.without_pii(docs, spark.conf.get(pii.KEY_SETTING, pii.EXAMPLE_KEY)))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
