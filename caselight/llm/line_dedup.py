@@ -63,13 +63,33 @@ def _by_part(rows: DataFrame, part: Column, *before: Column) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Adds place, where a row stands in the order of keys and suffixes, and size and first, those of its keys' group."""
+    """Adds place, where a row stands in the order of keys and suffixes; first and start, where the
+    rows of its keys and of its first key begin; and shared, whether another row has its keys.
+
+    Rows are compared with their neighbours inside each partition. A row for each partition, its
+    ends, tells what goes on from one partition to the next, however many one key fills.
+    """
     sorted_, part, index = _in_order(rows, *keys, *SUFFIX)
-    based = sorted_.withColumn("part", part).join(F.broadcast(_by_part(sorted_, part, F.count("*"))), "part")
-    placed = based.withColumn("place", F.col("base0") + index).drop("part", "base0", "at")
-    # written first, so that a very common key's partition can be split in the join
-    groups = written(placed.groupBy(*keys).agg(F.count("*").alias("size"), F.min("place").alias("first")))
-    return placed.join(groups, list(keys))
+    inside = Window.partitionBy("part").orderBy("index")
+    key, lead = F.struct(*keys), F.col(keys[0])
+    local = sorted_.withColumn("part", part).withColumn("index", index).drop("at")
+    local = local.withColumn("prior", F.lag(key).over(inside)).withColumn("following", F.lead(key).over(inside))
+    begins = lambda now, before: F.max(F.when(before.isNull() | (now != before), F.col("index"))).over(inside)
+    local = local.withColumn("first", begins(key, F.col("prior"))).withColumn("start", begins(lead, F.col(f"prior.{keys[0]}")))
+    ends = local.groupBy("part").agg(F.count("*").alias("n_rows"), F.min_by(key, "index").alias("head"), F.max_by(key, "index").alias("tail"), F.max("first").alias("first"), F.max("start").alias("start"))
+    parts = Window.orderBy("part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("base", F.coalesce(F.sum("n_rows").over(before), F.lit(0))).withColumn("last_tail", F.lag("tail").over(parts)).withColumn("next_head", F.lead("head").over(parts))
+    ends = ends.withColumn("goes_on", F.coalesce(F.col("head") == F.col("last_tail"), F.lit(False)))
+    ends = ends.withColumn("lead_goes_on", F.coalesce(F.col(f"head.{keys[0]}") == F.col(f"last_tail.{keys[0]}"), F.lit(False)))
+    for name, flag in (("first", "goes_on"), ("start", "lead_goes_on")):
+        own = F.when((F.col(name) > 0) | ~F.col(flag), F.col("base") + F.col(name))
+        ends = ends.withColumn(f"{name}_before", F.last(own, ignorenulls=True).over(before))
+    ends = ends.select("part", "base", "last_tail", "next_head", "goes_on", "lead_goes_on", "first_before", "start_before")
+    met = local.join(F.broadcast(ends), "part")
+    at = lambda name, flag: F.when((F.col(name) == 0) & F.col(flag), F.col(f"{name}_before")).otherwise(F.col("base") + F.col(name))
+    same = [F.coalesce(key == c, F.lit(False)) for c in (F.coalesce("prior", "last_tail"), F.coalesce("following", "next_head"))]
+    return met.select(*rows.columns, (F.col("base") + F.col("index")).alias("place"), at("first", "goes_on").alias("first"), at("start", "lead_goes_on").alias("start"), (same[0] | same[1]).alias("shared"))
 
 
 def suffix_array(lines: DataFrame) -> DataFrame:
@@ -78,21 +98,18 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     place orders the suffixes. ranks[k] is the place of the first suffix with the same 2^k lines,
     for as many rounds as the suffix shared those with another.
     """
-    shared = written(lines.groupBy("id").agg(F.count("*").alias("n_lines")).where("n_lines > 1").select("id"))
-    first = _ranked(lines.join(shared, "id"), ("id",))
+    first = _ranked(lines, ("id",)).where("shared")
     state = written(first.select(*SUFFIX, "before", F.array("first").alias("ranks"), F.col("first").alias("place"), F.lit(True).alias("open")))
     by = 1
     while not state.where("open").isEmpty():
         # the suffix `by` lines on; none: the text ends there, or a line that occurs once stands there
         ahead = F.first("place").over(Window.partitionBy("doc", "mark").orderBy("n").rangeBetween(by, by))
         halves = state.withColumn("next", F.coalesce(ahead, F.lit(-1))).where("open").drop("open").withColumnRenamed("place", "rank")
-        ranked = _ranked(halves, ("rank", "next"))
+        stays = (F.col("next") >= 0) & F.col("shared")
         # places count the open suffixes alone; from its start on, a group keeps its own places
-        starts = written(ranked.groupBy("rank").agg(F.min("place").alias("start")))
-        stays = (F.col("next") >= 0) & (F.col("size") > 1)
         at = F.col("rank") - F.col("start") + F.when(stays, F.col("first")).otherwise(F.col("place"))
         ranks = F.when(stays, F.concat("ranks", F.array(at))).otherwise(F.col("ranks"))
-        now = ranked.join(starts, "rank").select(*SUFFIX, "before", ranks.alias("ranks"), at.alias("place"), stays.alias("open"))
+        now = _ranked(halves, ("rank", "next")).select(*SUFFIX, "before", ranks.alias("ranks"), at.alias("place"), stays.alias("open"))
         state = written(state.where("not open").union(now))
         by *= 2
     return state.drop("open")
