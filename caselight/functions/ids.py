@@ -36,12 +36,22 @@ def prefixed_id(prefix: str, kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256), 1, 32))
 
 
+def fragment_id(version: Column, page: int, section: Column, anchor: Column, text_hash: Column) -> Column:
+    """The id of a fragment on one page, from its version, section, anchor and the hash of its text."""
+    body = F.concat_ws(",", F.lit('"fragment"'), _quoted(version), F.lit(str(page)), F.lit(str(page)), *map(_quoted, (section, anchor, text_hash)))
+    return F.concat(F.lit("frag_"), F.substring(F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256), 1, 32))
+
+
+#: The bytes of a text that the single-byte Cyrillic code page can write, or nothing.
+def _as_bytes(text: str) -> bytes:
+    found = text.encode("cp1251", "ignore")
+    return found if len(found) == len(text) else b""
+
+
 def repaired_text(text: str) -> str:
-    """UTF-8 that was read as a single-byte Cyrillic code page, read right."""
-    try:
-        return text.encode("cp1251").decode("utf-8") or text
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return text
+    """UTF-8 that was read as a single-byte Cyrillic code page, read right; any other text as it is."""
+    read = _as_bytes(text).decode("utf-8", "replace")
+    return text if not read or "\ufffd" in read else read
 
 
 def _hashes(texts: pd.Series) -> pd.Series:

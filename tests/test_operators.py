@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselight import schemas
+from caselight.functions import ids
 from caselight.operators import cases, chunking, evidence, grouping, quality, ranking, retrieval
 from caselight.sources import sinks, tables
 
@@ -165,19 +166,27 @@ def test_json_text_takes_strings_only(spark):
     assert [r[0] for r in df.select(cases.json_text(F.col("p"), "text")).collect()] == ["a", None, None, None, None]
 
 
-def test_fragments_of_a_page():
-    text = "1. Setup\n\nOne line.\nSecond line.\n\n• First step\nWarning: hot\n\n1.1 Details\nMore text."
-    got = chunking.page_fragments(text)
-    assert [k for k, _, _ in got] == ["paragraph", "procedure_step", "warning", "paragraph"]
-    assert got[0][2] == "Section: 1. Setup\nOne line.\nSecond line."
-    assert got[3][1] == "1. Setup / 1.1 Details"
-    assert chunking.page_fragments("") == [] and chunking.page_fragments("TITLE ONLY") == [("definition", "TITLE ONLY", "Section: TITLE ONLY")]
+def fragments_of(spark, *texts):
+    rows = chunking.fragments(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[r for r in sorted(rows, key=lambda r: r["place"]) if r["doc_id"] == i] for i in range(len(texts))]
 
 
-def test_packing_of_units():
-    unit = ("paragraph", "", "x" * 1000)
-    assert len(chunking.packed([unit] * 3)) == 3 and len(chunking.packed([("paragraph", "", "x" * 800)] * 2)) == 1
-    assert [k for k, _, _ in chunking.packed([("paragraph", "", "a"), ("definition", "", "b"), ("warning", "", "c")])] == ["paragraph", "warning"]
+def test_fragments_of_a_page(spark):
+    text = "1. Setup\n\nOne line.\nSecond line.\n\n• First step\nWarning: hot\n\n1.1 Details\nMore text.\n2. End\nLast."
+    first, empty, title, none, deep = fragments_of(spark, text, "", "TITLE ONLY", None, "1.2.3 Deep\nbody\nCAPITALS HERE\nrest\n1. One\n1.1 Two\n2 Three\nend")
+    assert [r["kind"] for r in first] == ["paragraph", "procedure_step", "warning", "paragraph"]
+    assert first[0]["text"] == "Section: 1. Setup\nOne line.\nSecond line." and first[0]["heading"] == "1. Setup"
+    assert first[3]["text"] == "Section: 1. Setup / 1.1 Details\nMore text.\nSection: 2. End\nLast."
+    assert empty == none == [] and [(r["kind"], r["heading"], r["text"], r["review_status"]) for r in title] == [("definition", "TITLE ONLY", "Section: TITLE ONLY", "NEEDS_REVIEW")]
+    assert [r["text"] for r in deep] == ["Section: 1.2.3 Deep\nbody\nSection: CAPITALS HERE\nrest\nSection: 2 Three\nend"]
+    assert first[0]["fragment_id"] == "frag_" + ids.digest("fragment", "0", 1, 1, "1. Setup", "page:1;unit:0;bbox:None", ids.text_digest(first[0]["text"]))[:32]
+    assert all(r["excerpt"] == r["text"][:240] and r["review_status"] == "VERIFIED" for r in first)
+
+
+def test_packing_of_units(spark):
+    long, half = "x" * 1000, "x" * 800
+    found = fragments_of(spark, "\n\n".join([long] * 3), f"{half}\n\n{half}", "a\n\nb - c\n\nwarning d\n\ne")
+    assert [[r["kind"] for r in rows] for rows in found] == [["paragraph"] * 3, ["paragraph"], ["paragraph", "warning", "paragraph"]]
 
 
 def test_lines_tables_and_boxes(spark):
