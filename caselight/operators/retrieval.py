@@ -71,19 +71,25 @@ def token_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
 def exact_hits(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int = 6) -> DataFrame:
     """(query_id, doc_id) of documents that contain a query's text, whatever the case and spaces.
 
-    A document meets a query by a hash of the query's first words, so no pair is formed in vain.
+    A document that contains a query has all its words but the first and the last as words of its
+    own, so it meets the query by a hash of the first of those, and no pair is formed in vain. A
+    query of one or two words, such as a code, can stand inside words; all texts are searched for it.
     """
     folded = lambda c: F.lower(T.fold_spaces(c))
     q = queries.select("query_id", folded(F.col("text")).alias("q_text")).withColumn("q_words", F.split("q_text", " "))
-    q = q.withColumn("head", F.xxhash64(F.slice("q_words", 1, words))).where(F.size("q_words") >= words)
-    d = docs.select(F.col(doc_id).alias("doc_id"), folded(F.col(text)).alias("d_text")).withColumn("d_words", F.split("d_text", " "))
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("d_words") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("d_words", i, words)))
-    known = q.select("head").distinct().limit(FEW_HEADS + 1).collect()
+    q = q.withColumn("inner", F.least(F.lit(words), F.size("q_words") - 2))
+    asked = q.where("inner > 0").select("query_id", "q_text", F.col("inner"), F.xxhash64(F.slice("q_words", F.lit(2), F.greatest("inner", F.lit(0)))).alias("head"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), folded(F.col(text)).alias("d_text"))
+    sizes = sorted(r["inner"] for r in asked.select("inner").distinct().collect())  # `words` numbers at most
+    spans = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("d_words") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("d_words", i, n)))
+    heads = F.concat(F.array().cast("array<long>"), *[spans(n) for n in sizes])
+    known = asked.select("head").distinct().limit(FEW_HEADS + 1).collect()
     if len(known) <= FEW_HEADS:  # few queries: other heads leave inside the scan
         heads = F.filter(heads, lambda h: h.isin([r["head"] for r in known]))
-    flat = d.select("doc_id", "d_text", F.explode(F.array_distinct(heads)).alias("head"))
-    met = flat.join(small(q.select("query_id", "q_text", "head")), "head")
-    return met.where(F.col("d_text").contains(F.col("q_text"))).select("query_id", "doc_id").distinct()
+    flat = d.withColumn("d_words", F.split("d_text", " ")).select("doc_id", "d_text", F.explode(F.array_distinct(heads)).alias("head"))
+    met = flat.join(small(asked.select("query_id", "q_text", "head")), "head").where(F.col("d_text").contains(F.col("q_text")))
+    short = d.join(small(q.where("inner < 1").select("query_id", "q_text")), F.col("d_text").contains(F.col("q_text")))
+    return met.select("query_id", "doc_id").union(short.select("query_id", "doc_id")).distinct()
 
 
 def trigram_scores(pairs: DataFrame, query: str, text: str) -> DataFrame:

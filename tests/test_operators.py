@@ -243,3 +243,13 @@ def test_running_sums_do_not_depend_on_ranges(spark):
     assert wide == narrow
     for k, o, _, s in wide:
         assert s == sum(1 for x, y, z in rows if x == k and y < o and z)
+
+
+def test_exact_hits_of_short_queries_and_inside_words(spark):
+    texts = ["see rdik-12 now", "pre(two words, and a long tail of them)", "ALL  of\nthese words stand here in one row today", "other", None, ""]
+    asked = ["RDIK-12", "wo wor", "words, and", "two words, and a long tail of th", "of these words stand here in one row tod", "these words stand", "missing", "two words, or"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    fold = lambda t: " ".join((t or "").lower().split())
+    expected = {(i, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if t is not None and fold(q) in fold(t)}
+    assert {tuple(r) for r in retrieval.exact_hits(queries, docs, "doc_id", "text").collect()} == expected and len(expected) == 6
