@@ -71,7 +71,7 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sufficiency for each passage over its ten candidates; other languages than English are no members."""
     langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     no_card = F.lit(None).cast("struct<applicable: boolean, score: double, missing: array<string>, reasons: array<string>>")
-    found = _candidates(spark, sf_dir).join(langs, "doc_id").select("query_id", "place", "text", (F.col("lang") != "xx").alias("valid"), no_card.alias("card"))
+    found = _candidates(spark, sf_dir).join(langs, "doc_id").select("query_id", "place", "text", (F.col("lang") == "en").alias("valid"), no_card.alias("card"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return evidence.gate(asked, found)
 
