@@ -227,6 +227,19 @@ def history_form(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(out, F.lit("([a-zа-яё0-9]+)"), F.lit(1)), " ")
 
 
+#: Words that say nothing of a past question's matter.
+HISTORY_STOP_WORDS = (
+    "а без более бы был была были в во для до его ее их из или как мне мой моя на над не нет но о об от по под при с со так у уже что это я "
+    "нужно можно пожалуйста подскажите помогите покажите здравствуйте"
+).split()
+
+
+def history_terms(text: Column) -> Column:
+    """Stems of the words of a past question, repeats included."""
+    words = F.filter(F.split(history_form(text), " "), lambda t: (F.length(t) >= 2) & ~t.isin(*HISTORY_STOP_WORDS))
+    return stems(words, 6)
+
+
 #: Words that deny each other.
 OPPOSITES = (("можно", "нельзя"), ("обязательно", "не обязательно"), ("сохраняется", "не сохраняется"))
 

@@ -99,27 +99,35 @@ def trigram_scores(pairs: DataFrame, query: str, text: str) -> DataFrame:
 
 #: Vectors of one block; a pair of blocks is one multiplication in a task.
 BLOCK_VECTORS = 2_000
+#: Queries are broadcast up to so many bytes of vectors; beyond, each task reads them block by block.
+BROADCAST_BYTES = 64 << 20
 
 
-def _blocks(vectors: DataFrame, ids: str, values: str, out_ids: str, out_values: str, size: int) -> DataFrame:
-    """Vectors packed into rows of about `size`, dealt by a hash of their ids."""
-    n = max(1, -(-vectors.count() // size))
-    return vectors.groupBy(F.pmod(F.xxhash64(ids), F.lit(n)).alias("_b")).agg(F.collect_list(ids).alias(out_ids), F.flatten(F.collect_list(values)).alias(out_values)).drop("_b")
+def _blocks(vectors: DataFrame, ids: str, values: str, out_ids: str, out_values: str, n: int) -> DataFrame:
+    """Vectors packed into n rows and more by a hash of their ids, those of one length together."""
+    whole = vectors.where(F.col(ids).isNotNull() & F.col(values).isNotNull() & (F.size(values) > 0) & ~F.exists(values, lambda x: x.isNull()))
+    packed = whole.groupBy(F.pmod(F.xxhash64(ids), F.lit(n)).alias("_b"), F.size(values).alias("_d"))
+    return packed.agg(F.collect_list(ids).alias(out_ids), F.flatten(F.collect_list(values)).alias(out_values)).drop("_b", "_d")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5, block: int = BLOCK_VECTORS) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar other vectors of each query, exactly.
 
-    queries: query_id, query; vectors: vec_id, embedding, of one length. Blocks of queries meet
-    blocks of vectors; a task multiplies two blocks and keeps the k best of each query, so what
-    is shuffled grows with queries and blocks, not with pairs of rows.
+    queries: query_id, query; vectors: vec_id, embedding. Vectors that are null, empty or hold a
+    null match nothing, and only those of one length match each other; a vector of zeros has a
+    similarity of zero. Each vector is shuffled once, into its block, and blocks stay where they
+    are: those of the queries come to them, by broadcast where their counted size allows it. Of
+    a pair of blocks a task keeps the k best of each query.
     """
+    sizes = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("query")), F.lit(0)).alias("values")).first()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q_ids, q, v_ids, v in zip(batch["q_ids"], batch["q"], batch["v_ids"], batch["v"], strict=True):
                 q_ids, v_ids = np.asarray(q_ids, np.int64), np.asarray(v_ids, np.int64)
                 q, v = np.asarray(q, np.float64).reshape(len(q_ids), -1), np.asarray(v, np.float64).reshape(len(v_ids), -1)
+                if q.shape[1] != v.shape[1]:
+                    continue
                 norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
                 close = np.round(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), digits)
                 close[q_ids[:, None] == v_ids[None, :]] = -np.inf
@@ -127,7 +135,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5,
                 rows = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "vec_id": v_ids[order].ravel(), "similarity": np.take_along_axis(close, order, axis=1).ravel()})
                 yield rows[np.isfinite(rows["similarity"])]
 
-    asked = _blocks(queries, "query_id", "query", "q_ids", "q", block)
-    pairs = asked.crossJoin(_blocks(vectors, "vec_id", "embedding", "v_ids", "v", block))  # of blocks
-    found = pairs.repartition(F.xxhash64("q_ids", "v_ids")).mapInPandas(best, "query_id long, vec_id long, similarity double")
+    asked = _blocks(queries, "query_id", "query", "q_ids", "q", max(1, -(-sizes["n"] // block)))
+    asked = F.broadcast(asked) if 8 * sizes["values"] <= BROADCAST_BYTES else asked
+    pairs = _blocks(vectors, "vec_id", "embedding", "v_ids", "v", max(1, -(-vectors.count() // block))).crossJoin(asked)  # of blocks
+    found = pairs.mapInPandas(best, "query_id long, vec_id long, similarity double")
     return best_per_query(found, "query_id", [F.desc("similarity"), F.col("vec_id")], k)

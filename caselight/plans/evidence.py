@@ -88,17 +88,13 @@ def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def historical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Past records (the lines of all documents) for each passage: set overlap and alignment over
-    the three lines that share most tokens with it."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """Past records (the lines of all documents) for each passage: the three of best score, in order."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    lines = lines.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("line_id"), "text")
-    wanted = asked.withColumnRenamed("query", "text")
-    scored = retrieval.token_scores(wanted, retrieval.postings(lines, "line_id", "text", retrieval.query_terms(wanted)))
-    best = ranking.best_per_query(scored, "query_id", [F.desc("coverage"), F.desc("tf"), F.col("doc_id")], 3).select("query_id", F.col("doc_id").alias("line_id"))
-    pairs = best.join(lines, "line_id").join(asked, "query_id")
-    rated = evidence.history_scores(pairs, "query", "text", "text")
-    return rated.select("query_id", "line_id", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"), "score", "strong")
+    line_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string"))
+    found = evidence.history_matches(asked, lines.select(line_id.alias("item_id"), F.struct("doc_id", "line").alias("order"), "text"))
+    rounded = [F.round(c, 6).alias(c) for c in ("containment", "jaccard")]
+    return found.select("query_id", F.col("item_id").alias("line_id"), *rounded, "score", "strong", "rank")
 
 
 @query(r"""
