@@ -137,11 +137,17 @@ def test_gate(spark):
         ("Оферту смотрите на https://example.com/x.", "UNKNOWN_URL"),
         ("Нажмите «Удалить всё» в оферту", "INVENTED_ACTION_OR_STATUS"),
         ("Совсем другое содержание", "LOW_TEXT_GROUNDING"),
+        ("Оферту загружают кнопкой", ""),
+        ("Оферту загружают, кнопка Отправить", "INVENTED_ACTION_OR_STATUS"),
+        ("Статус оферту загружают", ""),
+        ("Оферту загружают, статус документ Подписана", "INVENTED_ACTION_OR_STATUS"),
+        ("Здесь ошибка", ""),  # general words count by whole words, so the stem of a long one is none
+        ("Here the portal", "LOW_TEXT_GROUNDING"),
     ],
 )
 def test_claims(spark, claim, reason):
     claims = spark.createDataFrame([("c", claim, ["f"])], "claim_id string, text string, fragment_ids array<string>")
-    fragments = spark.createDataFrame([("f", "Оферту загружают за 5 минут, ошибка RDIK_5 при загрузке")], "fragment_id string, text string")
+    fragments = spark.createDataFrame([("f", "Оферту загружают за 5 минут, ошибка RDIK_5 при загрузке на portal")], "fragment_id string, text string")
     row = evidence.verify_claims(claims, fragments).first()
     expected = reason
     assert (row["reasons"], row["supported"]) == (expected, expected == "")
