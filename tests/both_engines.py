@@ -18,6 +18,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def comparable(df: pd.DataFrame) -> tuple[list[str], list[tuple[str, ...]]]:
     names = sorted(df.columns)
+    df = df.convert_dtypes(convert_string=False)  # whole numbers beside nulls are integers in both engines
 
     def text(value) -> str:
         if pd.isna(value):
