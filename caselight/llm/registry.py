@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_in_middle, fingerprints, line_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import bpe, fill_in_middle, fingerprints, line_dedup, packing, periodic_runs, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.cut_digests(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
