@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_in_middle, fingerprints, line_dedup, packing, periodic_runs, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import bpe, fill_in_middle, fingerprints, jaccard_join, line_dedup, packing, periodic_runs, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.cut_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": line_dedup.ORACLE_SQL,
