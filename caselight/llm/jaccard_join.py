@@ -9,11 +9,11 @@ enough to be linked to a large one. For every class of sizes, the pairs of shing
 would list are weighed against the entries that their lists hold, and the boundary is where the
 sum is least.
 
-Members of a bucket are compared in rounds, each followed by the components of all links found.
-The first takes neighbours by size, the second one member of each component; the last takes every
-pair of members of different components in a bucket, so no link between components is lost, while
-the copies of one group are never paired with each other all over. A pair is verified once, by the
-whole sets.
+Members of a bucket are compared in two rounds, each followed by the components of all links found.
+The first takes neighbours by size, the second every pair of members of different components, so no
+link between components is lost, while the copies of one group are not paired with each other all
+over. A pair goes on only if its sizes and a parity map of the sets (where two maps differ, so do
+the sets) allow a link, and is then verified by the whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than a shingle has one, its whole sequence; repeated rows and texts
@@ -29,9 +29,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import bucketed
 from .common import doc_texts, keep_lineage_short, written
 from .components import component_roots
 
@@ -118,25 +119,35 @@ def _needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-SETS = "doc_id long, n long, set_key binary, rare array<long>, list_cost double"
+#: Bits of a set's parity map: a bit tells whether an odd number of its shingles fall on it.
+MAP_BITS = 512
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    counts = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits(counts & 1).view(np.int64)
+
+
+SETS = "doc_id long, n long, set_key binary, rare array<long>, list_cost double, bits array<long>"
 
 
 def _sets(texts: DataFrame, rarity: np.ndarray, width: int) -> DataFrame:
     """The columns SETS: size and key of each text's set, its first shingles, and the entries that their lists hold."""
     shared = texts.sparkSession.sparkContext.broadcast(np.log2(1 + rarity).astype(np.float16))
     usual = float(rarity.mean())
+    usual += 3 * usual**0.5  # what a cell may hold of other shingles
 
     def one(own: np.ndarray) -> tuple:
         n = len(own)
         counts = shared.value[_cells(own)]
         pick = np.lexsort((own, counts))[: min(n, n - _needed(n) + SUBSET)]
         lists = np.maximum(np.exp2(counts[pick[: n - _needed(n) + 1]].astype(np.float64)) - 1 - usual, 1.0)
-        return n, xxhash.xxh3_128_digest(own.tobytes()), own[pick].view(np.int64), float(lists.sum())
+        return n, xxhash.xxh3_128_digest(own.tobytes()), own[pick].view(np.int64), float(lists.sum()), _parity(own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for some in _batches(batch):
-                rows = pd.DataFrame([one(x) for x in shingle_sets(some["text"].tolist(), width)], columns=["n", "set_key", "rare", "list_cost"])
+                rows = pd.DataFrame([one(x) for x in shingle_sets(some["text"].tolist(), width)], columns=["n", "set_key", "rare", "list_cost", "bits"])
                 rows.insert(0, "doc_id", some["doc_id"].astype("Int64").values)
                 yield rows
 
@@ -164,37 +175,44 @@ def boundary(sets: DataFrame) -> int:
 
 
 def buckets(sets: DataFrame, large: int) -> DataFrame:
-    """(bucket, id, n): small sets by subsets; large ones, and small ones within their reach, by single shingles."""
+    """(bucket, id): small sets by subsets; large ones, and small ones within their reach, by single shingles."""
     small = sets.where((F.col("n") < large) & (F.col("n") > 1))
     first = F.slice("rare", F.lit(1), _prefix(SUBSET))
     pairs = F.flatten(F.transform(first, lambda t, i: F.transform(F.slice(first, i + 2, F.greatest(F.size(first) - i - 1, F.lit(0))), lambda u: F.xxhash64(t, u))))
-    by_subset = small.select(F.explode(pairs).alias("bucket"), "id", "n")
+    by_subset = small.select(F.explode(pairs).alias("bucket"), "id")
     reach = sets.where(F.col("n") * 100 >= PERCENT * large)
-    by_list = reach.select(F.explode(F.slice("rare", F.lit(1), _prefix(1))).alias("bucket"), "id", "n")
+    by_list = reach.select(F.explode(F.slice("rare", F.lit(1), _prefix(1))).alias("bucket"), "id")
     return by_subset.union(by_list)
 
 
-def _linkable(less: str, more: str) -> Column:
-    """Whether sizes allow a link; less is not above more."""
-    return F.coalesce(F.col(less) * 100 >= PERCENT * F.col(more), F.lit(False))
+def _plausible(one: str, other: str) -> Column:
+    """Whether the sizes and the parity maps of two sets (structs of n and bits) allow a link."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    apart = F.lit(0)
+    for k in range(MAP_BITS // 64):
+        apart = apart + F.bit_count(F.col(f"{one}.bits")[k].bitwiseXOR(F.col(f"{other}.bits")[k]))
+    # the sets differ in `apart` shingles at least
+    allowed = (F.least(n, m) * 100 >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * (n + m - apart) >= 2 * PERCENT * (n + m))
+    return F.coalesce(allowed, F.lit(False))
 
 
-def members(listed: DataFrame, part_members: int = PART_MEMBERS) -> DataFrame:
-    """Of (bucket, id, n) the rows that have a neighbour by size, as (bucket, id, n, before): before may be linked with id.
+def members(listed: DataFrame, sets: DataFrame, part_members: int = PART_MEMBERS) -> DataFrame:
+    """Of (bucket, id) those with company, as (bucket, own, before, pair, members).
 
-    Within a bucket, or a part of a large one, before is the id of the next smaller set; the
-    first of a part meets that of the part before it.
+    own and before are structs of n, id and bits; before is the next smaller set of the bucket, or
+    of the id's part of a large bucket, where the first of a part meets that of the part before
+    it. pair tells whether they may be linked. A bucket of two that may not is left out.
     """
     several = listed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    rows = listed.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / part_members)))
-    by_size = Window.partitionBy("bucket", "part").orderBy("n", "id")
-    chained = rows.withColumn("before", F.lag(F.struct("n", "id")).over(by_size)).withColumn("after", F.lead("n").over(by_size))
-    heads = chained.where("before is null and members > %d" % part_members)
-    parts = heads.withColumn("before", F.lag(F.struct("n", "id")).over(Window.partitionBy("bucket").orderBy("n", "id")))
-    both = chained.where("before is not null or members <= %d" % part_members).union(parts)
-    fits = both.withColumn("small", F.col("before.n"))
-    near = fits.where(_linkable("small", "n") | _linkable("n", "after") | (F.col("members") > part_members))
-    return near.select("bucket", "id", "n", F.when(_linkable("small", "n"), F.col("before.id")).alias("before"))
+    rows = listed.join(several, "bucket").join(sets.select("id", F.struct("n", "id", "bits").alias("own")), "id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / part_members)))
+    by_size = Window.partitionBy("bucket", "part").orderBy("own.n", "own.id")
+    chained = rows.withColumn("before", F.lag("own").over(by_size))
+    large = F.col("members") > part_members
+    heads = chained.where(F.col("before").isNull() & large)
+    heads = heads.withColumn("before", F.lag("own").over(Window.partitionBy("bucket").orderBy("own.n", "own.id")))
+    both = chained.where(F.col("before").isNotNull() | ~large).unionByName(heads).withColumn("pair", _plausible("own", "before"))
+    return both.where("pair or members > 2").select("bucket", "own", "before", "pair", "members")
 
 
 def _tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -236,31 +254,25 @@ def _pairs(u: Column, v: Column) -> list[Column]:
 
 
 def set_components(sets: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, root) of every set that has a smaller one in its component; sets: id, set_key, n, rare, list_cost."""
-    found = written(members(buckets(sets, boundary(sets))), "jaccard-members")
-    wanted = found.select("id").distinct().join(sets.select("id", "set_key"), "id")
-    tokens = written(_tokens(texts, wanted, width), "jaccard-sets")
-    tested = keep_lineage_short(found.where("before is not null").select(*_pairs(F.col("id"), F.col("before"))).distinct())
+    """(u, root) of every set that has a smaller one in its component; sets: id, set_key, n, rare, list_cost, bits."""
+    found = written(members(buckets(sets, boundary(sets)), sets), "jaccard-members")
+    tested = keep_lineage_short(found.where("pair").select(*_pairs(F.col("own.id"), F.col("before.id"))).distinct())
+    crowded = found.where("members > 2")
+    wanted = tested.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("own.id")).distinct()
+    tokens = bucketed(_tokens(texts, wanted.join(sets.select("id", "set_key"), "id"), width), "jaccard_sets", "id", _shuffle_partitions(texts.sparkSession), [])
     links = keep_lineage_short(_verified(tested, tokens))
-    roots = component_roots(links)
-    for every in (False, True):
-        named = found.select("bucket", "id", "n").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-        still = keep_lineage_short(named.join(mixed, "bucket"))
-        if every:
-            other = still.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            met = still.join(other, "bucket").where((F.col("root") < F.col("root2")) & (F.least("n", "n2") * 100 >= PERCENT * F.greatest("n", "n2")))
-            pairs = met.select(*_pairs(F.col("id"), F.col("id2")))
-        else:
-            one = still.groupBy("bucket", "root").agg(F.min(F.struct("n", "id")).alias("r")).select("bucket", "r.*")
-            before = F.lag(F.struct("n", "id")).over(Window.partitionBy("bucket").orderBy("n", "id"))
-            near = one.withColumn("before", before).withColumn("small", F.col("before.n")).where(_linkable("small", "n"))
-            pairs = near.select(*_pairs(F.col("id"), F.col("before.id")))
-        pairs = keep_lineage_short(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
-        tested = tested.union(pairs)
-        links = keep_lineage_short(links.union(_verified(pairs, tokens)))
-        roots = component_roots(links)
-    return roots.select(F.col("u").alias("id"), "root")
+    roots = component_roots(links).withColumnRenamed("u", "id")
+    named = crowded.select("bucket", "own", F.col("own.id").alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    still = named.join(mixed, "bucket").select("bucket", "own", "root")
+    other = still.select("bucket", F.col("own").alias("other"), F.col("root").alias("root2"))
+    met = still.join(other, "bucket").where((F.col("root") < F.col("root2")) & _plausible("own", "other"))
+    more = met.select(*_pairs(F.col("own.id"), F.col("other.id"))).distinct().join(tested, ["u", "v"], "left_anti")
+    return component_roots(links.union(_verified(keep_lineage_short(more), tokens)))
+
+
+def _shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -272,9 +284,9 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame
             yield from shingle_sets(some["text"].tolist(), width)
 
     rows = written(_sets(texts, count_table(texts, hashes), width), "jaccard-rows")
-    once = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "rare", "list_cost")])
+    once = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "rare", "list_cost", "bits")])
     sets = written(once.withColumn("id", F.monotonically_increasing_id()), "jaccard-distinct")
-    roots = set_components(sets, texts, width)
+    roots = set_components(sets, texts, width).withColumnRenamed("u", "id")
     classed = sets.select("id", "set_key", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = classed.join(least, "root").select("set_key", "component_id")
