@@ -264,10 +264,13 @@ def set_components(sets: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS
     roots = component_roots(links).withColumnRenamed("u", "id")
     named = crowded.select("bucket", "own", F.col("own.id").alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    still = named.join(mixed, "bucket").select("bucket", "own", "root")
-    other = still.select("bucket", F.col("own").alias("other"), F.col("root").alias("root2"))
-    met = still.join(other, "bucket").where((F.col("root") < F.col("root2")) & _plausible("own", "other"))
-    more = met.select(*_pairs(F.col("own.id"), F.col("other.id"))).distinct().join(tested, ["u", "v"], "left_anti")
+    still = keep_lineage_short(named.join(mixed, "bucket").select("bucket", "id", "own", "root"))
+    still = still.join(still.groupBy("id").agg(F.collect_set("bucket").alias("held")), "id")
+    other = still.select("bucket", F.col("own").alias("other"), F.col("root").alias("root2"), F.col("held").alias("held2"))
+    # a pair is made in the first of the buckets that hold both
+    first = F.array_min(F.array_intersect("held", "held2")) == F.col("bucket")
+    met = still.join(other, "bucket").where((F.col("root") < F.col("root2")) & _plausible("own", "other") & first)
+    more = met.select(*_pairs(F.col("own.id"), F.col("other.id"))).join(tested, ["u", "v"], "left_anti")
     return component_roots(links.union(_verified(keep_lineage_short(more), tokens)))
 
 
