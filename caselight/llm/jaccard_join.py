@@ -10,9 +10,9 @@ would list are weighed against the entries that their lists hold, and the bounda
 sum is least.
 
 Members of a bucket are compared in two rounds, each followed by the components of all links found.
-The first takes neighbours by size, the second every pair of members of different components, so no
-link between components is lost, while the copies of one group are not paired with each other all
-over. A pair goes on only if its sizes and a parity map of the sets (where two maps differ, so do
+The first takes neighbours by size, the second every pair of different components that shares a
+shingle of its lists, so no link between components is lost, while the copies of one group are not
+paired with each other all over. A pair goes on only if its sizes and a parity map of the sets (where two maps differ, so do
 the sets) allow a link, and is then verified by the whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
@@ -47,6 +47,8 @@ CELLS, SLICES = 1 << 21, 64
 PART_MEMBERS = 10_000
 #: Letters of texts that are hashed together.
 BATCH_LETTERS = 6_000_000
+#: Pairs of sets with lists of up to so many shingles are made once, those with longer ones are made distinct.
+SHORT_LIST = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -264,13 +266,14 @@ def set_components(sets: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS
     roots = component_roots(links).withColumnRenamed("u", "id")
     named = crowded.select("bucket", "own", F.col("own.id").alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    still = keep_lineage_short(named.join(mixed, "bucket").select("bucket", "id", "own", "root"))
-    still = still.join(still.groupBy("id").agg(F.collect_set("bucket").alias("held")), "id")
-    other = still.select("bucket", F.col("own").alias("other"), F.col("root").alias("root2"), F.col("held").alias("held2"))
-    # a pair is made in the first of the buckets that hold both
-    first = F.array_min(F.array_intersect("held", "held2")) == F.col("bucket")
-    met = still.join(other, "bucket").where((F.col("root") < F.col("root2")) & _plausible("own", "other") & first)
-    more = met.select(*_pairs(F.col("own.id"), F.col("other.id"))).join(tested, ["u", "v"], "left_anti")
+    unsettled = named.join(mixed, "bucket").select("id", "root").distinct()
+    rows = unsettled.join(sets.select("id", F.struct("n", "id", "bits").alias("own"), F.slice("rare", F.lit(1), _prefix(1)).alias("first")), "id")
+    one = keep_lineage_short(rows.select("root", "own", F.when(F.size("first") <= SHORT_LIST, F.col("first")).alias("first"), F.explode("first").alias("shingle")))
+    other = one.select("shingle", F.col("own").alias("other"), F.col("root").alias("root2"), F.col("first").alias("first2"))
+    # a pair is made at the first of the shingles that both are listed by; long lists would take longer to compare than to make distinct
+    where = F.col("first").isNull() | F.col("first2").isNull() | (F.array_intersect("first", "first2")[0] == F.col("shingle"))
+    met = one.join(other, "shingle").where((F.col("root") < F.col("root2")) & _plausible("own", "other") & where)
+    more = met.select(*_pairs(F.col("own.id"), F.col("other.id"))).distinct().join(tested, ["u", "v"], "left_anti")
     return component_roots(links.union(_verified(keep_lineage_short(more), tokens)))
 
 
