@@ -36,10 +36,18 @@ def evaluate_ranks(expected: DataFrame, hits: DataFrame, depths: tuple[int, ...]
     expected: query_id, item_id; hits: query_id, item_id, rank. A query counts by its first hit.
     """
     found = expected.join(hits, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    deepest = max(depths)
+    return found.agg(F.count("*").alias("n_queries"), *_measures(depths))
+
+
+def _measures(depths: tuple[int, ...]) -> list[Column]:
     recalls = [F.avg(F.when(F.col("rank") <= d, 1.0).otherwise(0.0)).alias(f"recall_at_{d}") for d in depths]
-    reciprocal = F.avg(F.when(F.col("rank") <= deepest, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr")
-    return found.agg(F.count("*").alias("n_queries"), *recalls, reciprocal)
+    return [*recalls, F.avg(F.when(F.col("rank") <= max(depths), 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr")]
+
+
+def evaluate_subsets(expected: DataFrame, hits: DataFrame, subsets: DataFrame, depths: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """evaluate_ranks for each subset of queries; subsets: query_id, subset, a row for each that a query is in."""
+    first = expected.join(hits, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return first.join(subsets, "query_id").groupBy("subset").agg(F.count("*").alias("n_queries"), *_measures(depths))
 
 
 #: Groups of more rows are narrowed to the values about a percentile before these are ordered.

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import word_similarity
 from .ranking import best_per_query
 
 TRIGRAM_LEAST = 0.40
@@ -41,18 +40,6 @@ def any_channel(channels: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, channels, F.lit(False))
 
 
-def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """term, doc_id and tf; only of some terms if those are given (column term).
-
-    The whole index is to be written once and reused where many queries run; for few queries
-    the words that none of them asks for leave before anything is shuffled.
-    """
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.tokens(F.col(text))).alias("term"))
-    if terms is not None:
-        words = words.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, n_terms and term of each distinct token of queries (query_id, text)."""
     terms = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
@@ -92,11 +79,6 @@ def exact_hits(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, word
     return met.select("query_id", "doc_id").union(short.select("query_id", "doc_id")).distinct()
 
 
-def trigram_scores(pairs: DataFrame, query: str, text: str) -> DataFrame:
-    """Candidates with word_similarity of at least the threshold."""
-    return pairs.withColumn("similarity", word_similarity(F.col(query), F.col(text))).where(F.col("similarity") >= TRIGRAM_LEAST)
-
-
 #: Vectors of one block; a pair of blocks is one multiplication in a task.
 BLOCK_VECTORS = 2_000
 #: Queries are broadcast up to so many bytes of vectors; beyond, each task reads them block by block.

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.similarity import is_unit
 from ..operators import evidence, ranking, retrieval
 from ..sources.tables import table
+from .lexical import index_of
 from .registered import query
 
 _FOLD_Q = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
@@ -35,7 +36,7 @@ _TOP_SQL = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverag
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _queries(spark, sf_dir)
-    return retrieval.token_scores(asked, retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text", retrieval.query_terms(asked)))
+    return retrieval.token_scores(asked, index_of(spark, sf_dir).postings(retrieval.query_terms(asked)))
 
 
 def _top_tokens(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -63,21 +64,6 @@ def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_tokens(spark, sf_dir).select("query_id", "doc_id", "n_shared", "tf", F.round("coverage", 6).alias("coverage"), "rank")
 
 
-@query()
-def trigram_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelled names (a letter left out) find the name they came from. Names are few and distinct."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    typos = names.select(F.col("p_name").alias("wanted"), F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 100)).alias("query"))
-    # candidates share a token's first two letters with the query
-    heads = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 2)))
-    left = typos.select("*", F.explode(heads(F.col("query"))).alias("head"))
-    right = names.select("p_name", F.explode(heads(F.col("p_name"))).alias("head"))
-    pairs = left.join(right, "head").select("wanted", "query", "p_name").distinct()
-    scored = retrieval.trigram_scores(pairs, "query", "p_name")
-    best = ranking.best_per_query(scored, "query", [F.desc("similarity"), F.col("p_name")], 3)
-    return best.select("query", "wanted", "p_name", F.round("similarity", 6).alias("similarity"), "rank")
-
-
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 is a query, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -136,19 +122,6 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
 
 
-@query(f"""
-WITH hits AS (SELECT query_id, doc_id FROM ({_TOP_SQL}) WHERE rank <= 10)
-SELECT d.source, count(*) AS n_missed, string_agg(CAST(e.query_id AS VARCHAR), ',' ORDER BY e.query_id, e.doc_id) AS queries
-FROM ({_EXACT_SQL}) e JOIN documents d ON d.doc_id = e.doc_id LEFT JOIN hits h ON h.query_id = e.query_id AND h.doc_id = e.doc_id WHERE h.doc_id IS NULL GROUP BY 1
-""")
-def retrieval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected documents that the token channel missed, by source."""
-    hits = _top_tokens(spark, sf_dir).select("query_id", "doc_id")
-    missed = _exact(spark, sf_dir).join(hits, ["query_id", "doc_id"], "left_anti").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "doc_id"))), lambda x: x["query_id"].cast("string")), ",")
-    return missed.groupBy("source").agg(F.count("*").alias("n_missed"), listed.alias("queries"))
-
-
 @query("""
 WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, any_value(n) AS n_values, round_even(max(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0)), 3) AS p50, round_even(max(value) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)), 3) AS p95,

@@ -2,28 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-@lru_cache(maxsize=8)
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="caselight-")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares, spark.checkpoint.dir.
-
-    Where that is not set, a local session takes a folder of its own; on a cluster it is an
-    error, as executors would not see each other's files.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
-    return f"{(top or _own_folder(spark.sparkContext.applicationId)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.written import shared_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
