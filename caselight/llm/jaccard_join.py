@@ -10,9 +10,9 @@ would list are weighed against the entries that their lists hold, and the bounda
 sum is least.
 
 Members of a bucket are compared in two rounds, each followed by the components of all links found.
-The first takes neighbours by size, the second every pair of different components that shares a
-shingle of its lists, so no link between components is lost, while the copies of one group are not
-paired with each other all over. A pair goes on only if its sizes and a parity map of the sets (where two maps differ, so do
+The first takes neighbours by size, and all pairs of a bucket of few; the second, for the other
+buckets, every pair of different components that shares a shingle of its lists. So no link between
+components is lost, while the copies of one group are not paired with each other all over. A pair goes on only if its sizes and a parity map of the sets (where two maps differ, so do
 the sets) allow a link, and is then verified by the whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.written import bucketed
@@ -47,6 +47,8 @@ CELLS, SLICES = 1 << 21, 64
 PART_MEMBERS = 10_000
 #: Letters of texts that are hashed together.
 BATCH_LETTERS = 6_000_000
+#: Buckets of so many members are compared all with all at once.
+FEW_MEMBERS = 8
 #: Pairs of sets with lists of up to so many shingles are made once, those with longer ones are made distinct.
 SHORT_LIST = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -177,16 +179,21 @@ def boundary(sets: DataFrame) -> int:
 
 
 def buckets(sets: DataFrame, large: int) -> DataFrame:
-    """(bucket, id): small sets by subsets; large ones, and small ones within their reach, by single shingles."""
+    """(bucket, id, n): small sets by subsets; large ones, and small ones within their reach, by single shingles."""
     small = sets.where((F.col("n") < large) & (F.col("n") > 1))
     first = F.slice("rare", F.lit(1), _prefix(SUBSET))
     pairs = F.flatten(F.transform(first, lambda t, i: F.transform(F.slice(first, i + 2, F.greatest(F.size(first) - i - 1, F.lit(0))), lambda u: F.xxhash64(t, u))))
-    by_subset = small.select(F.explode(pairs).alias("bucket"), "id")
+    by_subset = small.select(F.explode(pairs).alias("bucket"), "id", "n")
     reach = sets.where(F.col("n") * 100 >= PERCENT * large)
-    by_list = reach.select(F.explode(F.slice("rare", F.lit(1), _prefix(1))).alias("bucket"), "id")
+    by_list = reach.select(F.explode(F.slice("rare", F.lit(1), _prefix(1))).alias("bucket"), "id", "n")
     return by_subset.union(by_list)
 
 
+def _linkable(n: Column, m: Column) -> Column:
+    """Whether the sizes of two sets allow a link."""
+    return F.coalesce(F.least(n, m) * 100 >= PERCENT * F.greatest(n, m), F.lit(False))
+
+
 def _plausible(one: str, other: str) -> Column:
     """Whether the sizes and the parity maps of two sets (structs of n and bits) allow a link."""
     n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
@@ -194,39 +201,51 @@ def _plausible(one: str, other: str) -> Column:
     for k in range(MAP_BITS // 64):
         apart = apart + F.bit_count(F.col(f"{one}.bits")[k].bitwiseXOR(F.col(f"{other}.bits")[k]))
     # the sets differ in `apart` shingles at least
-    allowed = (F.least(n, m) * 100 >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * (n + m - apart) >= 2 * PERCENT * (n + m))
-    return F.coalesce(allowed, F.lit(False))
+    return _linkable(n, m) & ((100 + PERCENT) * (n + m - apart) >= 2 * PERCENT * (n + m))
 
 
-def members(listed: DataFrame, sets: DataFrame, part_members: int = PART_MEMBERS) -> DataFrame:
-    """Of (bucket, id) those with company, as (bucket, own, before, pair, members).
+def members(listed: DataFrame, part_members: int = PART_MEMBERS) -> DataFrame:
+    """Of (bucket, id, n) those with company, as (bucket, id, n, members, before): before may be linked with id.
 
-    own and before are structs of n, id and bits; before is the next smaller set of the bucket, or
-    of the id's part of a large bucket, where the first of a part meets that of the part before
-    it. pair tells whether they may be linked. A bucket of two that may not is left out.
+    Within a bucket, or a part of a large one, before is the id of the next smaller set; the
+    first of a part meets that of the part before it.
     """
     several = listed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    rows = listed.join(several, "bucket").join(sets.select("id", F.struct("n", "id", "bits").alias("own")), "id")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / part_members)))
-    by_size = Window.partitionBy("bucket", "part").orderBy("own.n", "own.id")
-    chained = rows.withColumn("before", F.lag("own").over(by_size))
+    rows = listed.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / part_members)))
+    last = F.lag(F.struct("n", "id"))
+    chained = rows.withColumn("last", last.over(Window.partitionBy("bucket", "part").orderBy("n", "id")))
     large = F.col("members") > part_members
-    heads = chained.where(F.col("before").isNull() & large)
-    heads = heads.withColumn("before", F.lag("own").over(Window.partitionBy("bucket").orderBy("own.n", "own.id")))
-    both = chained.where(F.col("before").isNotNull() | ~large).unionByName(heads).withColumn("pair", _plausible("own", "before"))
-    return both.where("pair or members > 2").select("bucket", "own", "before", "pair", "members")
+    heads = chained.where(F.col("last").isNull() & large)
+    heads = heads.withColumn("last", last.over(Window.partitionBy("bucket").orderBy("n", "id")))
+    both = chained.where(F.col("last").isNotNull() | ~large).unionByName(heads)
+    before = F.when(_linkable(F.col("n"), F.col("last.n")), F.col("last.id"))
+    return both.select("bucket", "id", "n", "members", before.alias("before")).where("members > 2 or before is not null")
+
+
+def _id_of(key: bytes, half: int) -> int:
+    return int.from_bytes(key[8 * half : 8 * half + 8], "little", signed=True)
+
 
+def numbered(once: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct sets with id, the half of their keys that tells all of them apart; and which half that is."""
+    for half in (0, 1):
+        id_of = F.pandas_udf(lambda keys, half=half: keys.map(lambda k: _id_of(k, half)).astype("int64"), "long")
+        sets = written(once.withColumn("id", id_of("set_key")), "jaccard-distinct")
+        if sets.groupBy("id").count().where("count > 1").isEmpty():
+            return sets, half
+    raise ValueError("two sets share both a half of their keys")
 
-def _tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, tokens): the whole sets of the wanted ones (id, set_key).
 
-    A count table of their keys lets most others leave where texts are read.
+def _tokens(texts: DataFrame, wanted: DataFrame, width: int, half: int) -> DataFrame:
+    """(id, tokens): the whole sets of the wanted ids, in buckets by id.
+
+    A count table of the ids lets most others leave where texts are read.
     """
 
-    def halves(batch: pd.DataFrame) -> Iterator[np.ndarray]:
-        yield np.array([int.from_bytes(k[:8], "little") for k in batch["set_key"]], np.uint64)
+    def ids(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        yield batch["id"].to_numpy(np.int64).view(np.uint64)
 
-    keep = texts.sparkSession.sparkContext.broadcast(np.packbits(count_table(wanted.select("set_key"), halves) > 0))
+    keep = texts.sparkSession.sparkContext.broadcast(np.packbits(count_table(wanted.select("id"), ids) > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, seen = np.unpackbits(keep.value), set()
@@ -234,14 +253,15 @@ def _tokens(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for some in _batches(batch):
                 rows = []
                 for own in shingle_sets(some["text"].tolist(), width):
-                    key = xxhash.xxh3_128_digest(own.tobytes())
-                    if key not in seen and known[_cells(np.frombuffer(key[:8], np.uint64))[0]]:
-                        seen.add(key)
-                        rows.append((key, own.view(np.int64)))
-                yield pd.DataFrame(rows, columns=["set_key", "tokens"])
+                    own_id = _id_of(xxhash.xxh3_128_digest(own.tobytes()), half)
+                    if own_id not in seen and known[_cells(np.array([own_id]).view(np.uint64))[0]]:
+                        seen.add(own_id)
+                        rows.append((own_id, own.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["id", "tokens"])
 
-    found = texts.mapInPandas(run, "set_key binary, tokens array<long>").join(wanted, "set_key")
-    return found.groupBy("id").agg(F.first("tokens").alias("tokens"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = texts.mapInPandas(run, "id long, tokens array<long>").repartition(n, "id").dropDuplicates(["id"])
+    return bucketed(found, "jaccard_sets", "id", n, [])
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -255,16 +275,26 @@ def _pairs(u: Column, v: Column) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def set_components(sets: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(u, root) of every set that has a smaller one in its component; sets: id, set_key, n, rare, list_cost, bits."""
-    found = written(members(buckets(sets, boundary(sets)), sets), "jaccard-members")
-    tested = keep_lineage_short(found.where("pair").select(*_pairs(F.col("own.id"), F.col("before.id"))).distinct())
-    crowded = found.where("members > 2")
-    wanted = tested.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("own.id")).distinct()
-    tokens = bucketed(_tokens(texts, wanted.join(sets.select("id", "set_key"), "id"), width), "jaccard_sets", "id", _shuffle_partitions(texts.sparkSession), [])
+def _plausible_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) whose sizes and parity maps allow a link."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.struct("n", "bits").alias(f"of_{c}"))
+    return pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(_plausible("of_u", "of_v")).select("u", "v")
+
+
+def set_components(sets: DataFrame, texts: DataFrame, half: int = 0, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(u, root) of every set that has a smaller one in its component; sets: id, n, rare, list_cost, bits."""
+    found = written(members(buckets(sets, boundary(sets))), "jaccard-members")
+    few = found.where(F.col("members").between(3, FEW_MEMBERS)).select("bucket", "id", "n")
+    others = few.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    all_of_few = few.join(others, "bucket").where((F.col("id") < F.col("id2")) & _linkable(F.col("n"), F.col("n2"))).select(F.col("id").alias("u"), F.col("id2").alias("v"))
+    chains = found.where("before is not null").select(*_pairs(F.col("id"), F.col("before")))
+    tested = keep_lineage_short(_plausible_pairs(chains.union(all_of_few), sets))
+    crowded = found.where(F.col("members") > FEW_MEMBERS)
+    wanted = tested.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("id")).distinct()
+    tokens = _tokens(texts, wanted, width, half)
     links = keep_lineage_short(_verified(tested, tokens))
     roots = component_roots(links).withColumnRenamed("u", "id")
-    named = crowded.select("bucket", "own", F.col("own.id").alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = crowded.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
     unsettled = named.join(mixed, "bucket").select("id", "root").distinct()
     rows = unsettled.join(sets.select("id", F.struct("n", "id", "bits").alias("own"), F.slice("rare", F.lit(1), _prefix(1)).alias("first")), "id")
@@ -277,10 +307,6 @@ def set_components(sets: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS
     return component_roots(links.union(_verified(keep_lineage_short(more), tokens)))
 
 
-def _shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles (size of the set) and component_id (the smallest doc_id reachable by links)."""
     texts = doc_texts(docs)
@@ -291,8 +317,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame
 
     rows = written(_sets(texts, count_table(texts, hashes), width), "jaccard-rows")
     once = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "rare", "list_cost", "bits")])
-    sets = written(once.withColumn("id", F.monotonically_increasing_id()), "jaccard-distinct")
-    roots = set_components(sets, texts, width).withColumnRenamed("u", "id")
+    sets, half = numbered(once)
+    roots = set_components(sets, texts, half, width).withColumnRenamed("u", "id")
     classed = sets.select("id", "set_key", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = classed.join(least, "root").select("set_key", "component_id")
