@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import keyed
+from ..streaming import keyed, machine
 from ..streaming.runs import read_stream, run_once
 from .registered import query
 
@@ -42,3 +42,35 @@ def session_stream_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts with a watermark; in complete mode, so the last windows are there too."""
     counted = run_once(keyed.spikes(read_stream(spark, sf_dir, "events")), "complete")
     return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:00").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+#: Stand-in commands: views start turns, clicks publish and errors fail a revision, large purchases complete the case.
+_COMMAND = "CASE event_type WHEN 'view' THEN 'START' WHEN 'click' THEN 'PUBLISH' WHEN 'error' THEN 'FAIL' WHEN 'purchase' THEN 'COMPLETE' END"
+_TTL_MINUTES = 720
+
+
+@query(f"""
+WITH c AS (SELECT user_id AS case_id, event_id, epoch_ms(ts) AS ms, {_COMMAND} AS command, 1 + CAST(json_extract(props, '$.k') AS BIGINT) % 8 AS target FROM events
+           WHERE event_type <> 'signup' AND (event_type <> 'purchase' OR value > 60)),
+done AS (SELECT (SELECT max(epoch_ms(ts)) FROM events) AS now),
+n AS (SELECT *, coalesce(sum(CASE WHEN command = 'COMPLETE' THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS closed FROM c, done WHERE ms < now),
+r AS (SELECT *, sum(CASE WHEN command = 'START' AND NOT closed THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS revision FROM n),
+t AS (SELECT case_id, revision, event_id AS turn, ms AS opened, lead(ms) OVER (PARTITION BY case_id ORDER BY revision) AS next_at FROM r WHERE command = 'START' AND NOT closed),
+h AS (SELECT r.*, t.turn, t.opened, t.next_at, command IN ('PUBLISH', 'FAIL') AND target = r.revision AND ms < opened + {_TTL_MINUTES * 60_000} AS hit FROM r LEFT JOIN t ON t.case_id = r.case_id AND t.revision = r.revision),
+f AS (SELECT *, coalesce(hit, FALSE) AND row_number() OVER (PARTITION BY case_id, revision, hit ORDER BY ms, event_id) = 1 AS first FROM h),
+e AS (SELECT t.*, bool_or(coalesce(f.first, FALSE)) AS answered FROM t LEFT JOIN f ON f.case_id = t.case_id AND f.revision = t.revision GROUP BY ALL)
+SELECT case_id, event_id, CAST(revision AS BIGINT) AS revision, CASE WHEN command = 'START' THEN CASE WHEN closed THEN 'REJECTED' ELSE 'STARTED' END WHEN command = 'COMPLETE' THEN CASE WHEN closed THEN 'IGNORED' ELSE 'COMPLETED' END
+       WHEN first THEN CASE command WHEN 'PUBLISH' THEN 'PUBLISHED' ELSE 'FAILED' END ELSE 'IGNORED' END AS outcome FROM f
+UNION ALL
+SELECT case_id, turn, CAST(revision AS BIGINT), CASE WHEN next_at < opened + {_TTL_MINUTES * 60_000} THEN 'SUPERSEDED' ELSE 'STALE' END FROM e, done
+WHERE NOT answered AND (next_at < opened + {_TTL_MINUTES * 60_000} OR opened + {_TTL_MINUTES * 60_000} < now)
+""")
+def case_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases as a state machine with timers over the stream of events; the SQL folds the same commands in batch."""
+    kind = F.col("event_type")
+    command = F.when(kind == "view", "START").when(kind == "click", "PUBLISH").when(kind == "error", "FAIL").when((kind == "purchase") & (F.col("value") > 60), "COMPLETE")
+    target = 1 + F.get_json_object("props", "$.k").cast("long") % 8
+    at = F.col("ts").cast("timestamp")
+    # rows without a command go along for the time they tell
+    commands = read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "event_id", at.alias("at"), command.alias("command"), target.alias("target"))
+    return run_once(machine.case_machine(commands, _TTL_MINUTES), state_store=machine.ROCKS)

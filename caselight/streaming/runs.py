@@ -25,15 +25,26 @@ def _watched(spark: SparkSession, path: str) -> str:
     return folder
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there goes through; the result is read back from the shared folder."""
+def run_once(stream: DataFrame, mode: str = "append", state_store: tuple[str, str] | None = None) -> DataFrame:
+    """All that is there goes through; the result is read back from the shared folder.
+
+    state_store: a setting that the query is started under.
+    """
     spark = stream.sparkSession
     out, marks = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-marks")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    before = spark.conf.get(state_store[0], None) if state_store else None
+    if state_store:
+        spark.conf.set(*state_store)
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
+    try:
+        started.awaitTermination()
+    finally:
+        if state_store:
+            spark.conf.unset(state_store[0]) if before is None else spark.conf.set(state_store[0], before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], stream.schema)
