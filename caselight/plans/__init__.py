@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import evidence, lexical, operations, quality, retrieval, streams, texts
+from . import evidence, lexical, operations, quality, retrieval, streams, texts, vectors
 from .registered import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "lexical", "operations", "quality", "retrieval", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "lexical", "operations", "quality", "retrieval", "streams", "texts", "vectors"]
