@@ -74,3 +74,19 @@ def case_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rows without a command go along for the time they tell
     commands = read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "event_id", at.alias("at"), command.alias("command"), target.alias("target"))
     return run_once(machine.case_machine(commands, _TTL_MINUTES), state_store=machine.ROCKS)
+
+
+@query("""
+WITH done AS (SELECT (max(epoch_ms(ts)) - 600000) AS now FROM events),
+hours AS (SELECT event_type AS kind, epoch_ms(date_trunc('hour', ts)) AS start_ms, count(*) AS n FROM events GROUP BY 1, 2),
+grid AS (SELECT kind, unnest(generate_series(min(start_ms), max(start_ms), 3600000)) AS start_ms FROM hours GROUP BY 1),
+filled AS (SELECT g.kind, g.start_ms, coalesce(h.n, 0) AS n, h.n IS NOT NULL AS seen FROM grid g LEFT JOIN hours h ON h.kind = g.kind AND h.start_ms = g.start_ms),
+w AS (SELECT *, count(*) OVER p AS m, sum(n) OVER p AS s, sum(n * n) OVER p AS q FROM filled WINDOW p AS (PARTITION BY kind ORDER BY start_ms ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, s / m AS mean, CASE WHEN m > 0 THEN sqrt(greatest(q / m - (s / m) * (s / m), 0.0)) END AS deviation FROM w)
+SELECT kind, start_ms, n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, coalesce(m >= 6 AND n > mean + 2.0 * deviation, FALSE) AS spike FROM d, done WHERE seen AND start_ms + 3600000 <= now
+""")
+def spike_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of each kind of event against the day before them, as a stream; the SQL looks back over windows."""
+    events = read_stream(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    found = run_once(machine.spikes(events), state_store=machine.ROCKS)
+    return found.select("kind", "start_ms", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "spike")

@@ -105,3 +105,56 @@ def case_machine(commands: DataFrame, ttl_minutes: int = TTL_MINUTES, late: str
     sound = commands.where("case_id is not null and at is not null and event_id is not null")
     timed = sound.withWatermark("at", late).select("case_id", "at", F.unix_millis("at").alias("at_ms"), "event_id", "command", F.coalesce("target", F.lit(-1)).cast("long").alias("target"))
     return timed.groupBy("case_id").transformWithStateInPandas(CaseMachine(ttl_minutes * 60_000), OUTCOMES, "append", "eventTime")
+
+
+#: Windows of a baseline, how many it needs at least, and deviations above it that make a spike.
+BASELINE, LEAST_WINDOWS, DEVIATIONS = 24, 6, 2.0
+SPIKES = "kind string, start_ms long, n long, mean double, deviation double, spike boolean"
+
+
+class Baselines(StatefulProcessor):
+    """State: the counts of a kind's last windows, those without events as zeros, and the last one's start."""
+
+    def __init__(self, window_ms: int, baseline: int, least: int, deviations: float) -> None:
+        self.window_ms, self.baseline, self.least, self.deviations = window_ms, baseline, least, deviations
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "start_ms long")
+        self.counts = handle.getListState("counts", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        windows = sorted((int(s), int(n)) for batch in rows for s, n in batch[["start_ms", "n"]].itertuples(index=False))
+        last = self.last.get()
+        last, counts, out = last[0] if last else None, [c[0] for c in self.counts.get()], []
+        for start, n in windows:
+            if last is not None:
+                counts += [0] * min(self.baseline, (start - last) // self.window_ms - 1)
+            counts = counts[-self.baseline :]
+            mean = deviation = None
+            if counts:
+                mean = sum(counts) / len(counts)
+                deviation = max(sum(c * c for c in counts) / len(counts) - mean * mean, 0.0) ** 0.5
+            spike = len(counts) >= self.least and n > mean + self.deviations * deviation
+            out.append((key[0], start, n, mean, deviation, spike))
+            counts.append(n)
+            last = start
+        if windows:
+            self.last.update((last,))
+            self.counts.put([(c,) for c in counts[-self.baseline :]])
+        yield pd.DataFrame(out, columns=["kind", "start_ms", "n", "mean", "deviation", "spike"])
+
+    def close(self) -> None:
+        pass
+
+
+def spikes(events: DataFrame, minutes: int = 60, late: str = "10 minutes", baseline: int = BASELINE, least: int = LEAST_WINDOWS, deviations: float = DEVIATIONS) -> DataFrame:
+    """Every closed window of each kind (kind, at), compared with the windows before it.
+
+    mean and deviation are those of the last `baseline` windows, empty ones included; a window with
+    `least` of them or more is a spike if its count is more than so many deviations above the mean.
+    Events without a kind or time are left out. Needs the state store of ROCKS.
+    """
+    timed = events.where("kind is not null and at is not null").withWatermark("at", late)
+    counted = timed.groupBy(F.window("at", f"{minutes} minutes"), "kind").agg(F.count("*").alias("n"))
+    rows = counted.select("kind", F.unix_millis("window.start").alias("start_ms"), "n")
+    return rows.groupBy("kind").transformWithStateInPandas(Baselines(minutes * 60_000, baseline, least, deviations), SPIKES, "append", "none")
