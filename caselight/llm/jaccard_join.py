@@ -1,7 +1,7 @@
 """N-gram Jaccard join: subsets of small sets, inverted lists for large ones, with the boundary chosen by cost.
 
 A text is the set of its distinct shingles, each a 64-bit hash; equal sets are one. Shingles have
-one order for the whole corpus, from rare to common by a count table of fixed width. In it, two
+one order for the whole corpus, from rare to common by a count table of bounded width. In it, two
 linked sets share at least c of their first n - ceil(0.85 n) + c shingles, for any c. Sets below
 the boundary meet in a bucket for each pair (SUBSET = 2) of those, which few others share; sets
 above it meet in the lists of single shingles (c = 1), together with the small ones that are long
@@ -41,8 +41,10 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 #: Shingles of a subset that small sets are listed by.
 SUBSET = 2
-#: Cells of the count tables, and slices that they are added up in. They are broadcast: two bytes a cell.
-CELLS, SLICES = 1 << 21, 64
+#: Letters to a cell of the count table, and its least and greatest width: it is broadcast, two bytes a cell.
+CELL_LETTERS, LEAST_CELLS, MOST_CELLS = 50, 1 << 16, 1 << 24
+#: Slices that count tables are added up in.
+SLICES = 64
 #: The members of larger buckets are ordered in parts of about so many, and the parts linked by their first members.
 PART_MEMBERS = 10_000
 #: Letters of texts that are hashed together.
@@ -84,23 +86,29 @@ def _batches(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield batch[part == k]
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) & (cells - 1)
 
 
-def count_table(rows: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> np.ndarray:
-    """How many hashes of all rows fall in each of CELLS cells.
+def table_cells(texts: DataFrame) -> int:
+    """The width of a count table for all texts, a power of two."""
+    letters = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (letters // CELL_LETTERS).bit_length()))
+
+
+def count_table(rows: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.ndarray]], cells: int) -> np.ndarray:
+    """How many hashes of all rows fall in each cell.
 
     A task adds up its rows and sends compressed slices; these are added up one by one, so
     neither memory nor what the driver gets grows with the input.
     """
-    size = CELLS // SLICES
+    size = cells // SLICES
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(CELLS, np.int64)
+        table = np.zeros(cells, np.uint32)
         for batch in batches:
             for found in hashes(batch):
-                np.add.at(table, _cells(found), 1)
+                np.add.at(table, _cells(found, cells), 1)
         slices = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(table.reshape(SLICES, size)) if x.any()]
         yield pd.DataFrame(slices, columns=["slice", "counts"])
 
@@ -108,7 +116,7 @@ def count_table(rows: DataFrame, hashes: Callable[[pd.DataFrame], Iterator[np.nd
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch["slice"], batch["counts"], strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
         yield pd.DataFrame([(k, zlib.compress(x.tobytes(), 1)) for k, x in sums.items()], columns=["slice", "counts"])
 
     schema = "slice int, counts binary"
@@ -143,7 +151,7 @@ def _sets(texts: DataFrame, rarity: np.ndarray, width: int) -> DataFrame:
 
     def one(own: np.ndarray) -> tuple:
         n = len(own)
-        counts = shared.value[_cells(own)]
+        counts = shared.value[_cells(own, len(shared.value))]
         pick = np.lexsort((own, counts))[: min(n, n - _needed(n) + SUBSET)]
         lists = np.maximum(np.exp2(counts[pick[: n - _needed(n) + 1]].astype(np.float64)) - 1 - usual, 1.0)
         return n, xxhash.xxh3_128_digest(own.tobytes()), own[pick].view(np.int64), float(lists.sum()), _parity(own)
@@ -236,7 +244,7 @@ def numbered(once: DataFrame) -> tuple[DataFrame, int]:
     raise ValueError("two sets share both a half of their keys")
 
 
-def _tokens(texts: DataFrame, wanted: DataFrame, width: int, half: int) -> DataFrame:
+def _tokens(texts: DataFrame, wanted: DataFrame, width: int, half: int, cells: int) -> DataFrame:
     """(id, tokens): the whole sets of the wanted ids, in buckets by id.
 
     A count table of the ids lets most others leave where texts are read.
@@ -245,7 +253,7 @@ def _tokens(texts: DataFrame, wanted: DataFrame, width: int, half: int) -> DataF
     def ids(batch: pd.DataFrame) -> Iterator[np.ndarray]:
         yield batch["id"].to_numpy(np.int64).view(np.uint64)
 
-    keep = texts.sparkSession.sparkContext.broadcast(np.packbits(count_table(wanted.select("id"), ids) > 0))
+    keep = texts.sparkSession.sparkContext.broadcast(np.packbits(count_table(wanted.select("id"), ids, cells) > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, seen = np.unpackbits(keep.value), set()
@@ -254,7 +262,7 @@ def _tokens(texts: DataFrame, wanted: DataFrame, width: int, half: int) -> DataF
                 rows = []
                 for own in shingle_sets(some["text"].tolist(), width):
                     own_id = _id_of(xxhash.xxh3_128_digest(own.tobytes()), half)
-                    if own_id not in seen and known[_cells(np.array([own_id]).view(np.uint64))[0]]:
+                    if own_id not in seen and known[_cells(np.array([own_id]).view(np.uint64), cells)[0]]:
                         seen.add(own_id)
                         rows.append((own_id, own.view(np.int64)))
                 yield pd.DataFrame(rows, columns=["id", "tokens"])
@@ -281,7 +289,7 @@ def _plausible_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(_plausible("of_u", "of_v")).select("u", "v")
 
 
-def set_components(sets: DataFrame, texts: DataFrame, half: int = 0, width: int = SHINGLE_WORDS) -> DataFrame:
+def set_components(sets: DataFrame, texts: DataFrame, half: int, cells: int, width: int = SHINGLE_WORDS) -> DataFrame:
     """(u, root) of every set that has a smaller one in its component; sets: id, n, rare, list_cost, bits."""
     found = written(members(buckets(sets, boundary(sets))), "jaccard-members")
     few = found.where(F.col("members").between(3, FEW_MEMBERS)).select("bucket", "id", "n")
@@ -291,7 +299,7 @@ def set_components(sets: DataFrame, texts: DataFrame, half: int = 0, width: int
     tested = keep_lineage_short(_plausible_pairs(chains.union(all_of_few), sets))
     crowded = found.where(F.col("members") > FEW_MEMBERS)
     wanted = tested.select(F.explode(F.array("u", "v")).alias("id")).union(crowded.select("id")).distinct()
-    tokens = _tokens(texts, wanted, width, half)
+    tokens = _tokens(texts, wanted, width, half, cells)
     links = keep_lineage_short(_verified(tested, tokens))
     roots = component_roots(links).withColumnRenamed("u", "id")
     named = crowded.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -315,10 +323,11 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame
         for some in _batches(batch):
             yield from shingle_sets(some["text"].tolist(), width)
 
-    rows = written(_sets(texts, count_table(texts, hashes), width), "jaccard-rows")
+    cells = table_cells(texts)
+    rows = written(_sets(texts, count_table(texts, hashes, cells), width), "jaccard-rows")
     once = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "rare", "list_cost", "bits")])
     sets, half = numbered(once)
-    roots = set_components(sets, texts, half, width).withColumnRenamed("u", "id")
+    roots = set_components(sets, texts, half, cells, width).withColumnRenamed("u", "id")
     classed = sets.select("id", "set_key", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = classed.join(least, "root").select("set_key", "component_id")
