@@ -251,22 +251,61 @@ def contradict(a: Column, b: Column) -> Column:
     return out
 
 
-def context(text: Column) -> dict[str, Column]:
-    """What a query says of role, process, provider, error code, attempt and duration; null if nothing."""
-    has = lambda pattern: text.rlike(f"(?iu){pattern}")
-    process = (
-        F.when(has(r"исправит[\p{L}]*.*(?:упд|укд)|(?:упд|укд).*исправит"), "UPD correction")
-        .when(has("упд|укд|исполнен"), "contract execution")
-        .when(has("мчд|доверен"), "MCD management")
-        .when(has("yml|прайс"), "YML import")
-        .when(has(r"ste|сте|оферт|импорт[\p{L}]*\s+файл") & has("импорт|загрузк|статус"), "offer import")
-        .when(has(r"ste|сте|оферт|импорт[\p{L}]*\s+файл"), "offer/STE")
-    )
-    role = F.when(has("администрат"), "company administrator").when((process == "MCD management") & has("пользоват|поставщик"), "supplier user").when(has("поставщик"), "supplier").when(has("заказчик"), "customer")
-    provider = F.when(has("еис|эис"), "EIS").when(has(r"портал[\p{L}]*\s+поставщик"), "Supplier Portal").when(has(r"портал[\p{L}]*\s+заказчик"), "Customer Portal")
-    code = F.nullif(F.regexp_extract(text, r"(?iu)((?:rdik|рдик)[_-][a-zа-яё0-9_-]+)", 1), F.lit(""))
-    tried = F.when(has(r"уже\s+(?:пробов|сделал|загрузил)|не\s+помогл"), "already tried")
-    return {"role": role, "process": process, "provider": provider, "error_code": code, "attempted_action": tried, "duration_minutes": duration_minutes(text)}
+#: What a query's words say of process, role, provider and document, the first that fits. Of several patterns all have to; W stands for letters and digits.
+W = r"[\p{L}\p{N}_]*"
+PROCESSES = (
+    (rf"исправит{W}.*(?:упд|укд)|(?:упд|укд).*исправит", "UPD correction"),
+    (("упд|укд|исполнен", rf"тип{W}\s+документ|добавление\s+исполнен"), "contract execution"),
+    (r"упд|укд|исполнен", "UPD execution"),
+    (r"мчд|доверен", "MCD management"),
+    (r"yml|прайс", "YML import"),
+    ((rf"ste|сте|оферт|импорт{W}\s+файл", "импорт|загрузк|статус"), "offer import"),
+    (rf"ste|сте|оферт|импорт{W}\s+файл", "offer/STE"),
+)
+ROLES = (("администрат", "company administrator"), ("поставщик", "supplier"), ("заказчик", "customer"))
+MANDATE_ROLES = (("администрат", "company administrator"), ("пользоват|поставщик", "supplier user"))
+PROVIDERS = (("еис|эис", "EIS"), (rf"портал{W}\s+поставщик", "Supplier Portal"), (rf"портал{W}\s+заказчик", "Customer Portal"))
+DOCUMENTS = (("upd|упд", "UPD"), ("ukd|укд", "UKD"), ("mcd|мчд", "MCD"), ("yml", "YML"), ("ste|сте", "STE"))
+MENTIONS_STATUS, MENTIONS_CATEGORY, MENTIONS_MODEL = "статус|состояние", "категор|category|ppcategory", "модел"
+ERROR_CODE = r"(?iu)((?:rdik|рдик)[_-][a-zа-яё0-9_-]+)"
+ERROR_WORD = r"(?iu)(?<![A-Za-zА-Яа-яЁё0-9_-])((?:rdik|рдик)[a-zа-яё0-9_-]*)"
+ATTEMPTED = r"(?iu)уже\s+(?:пробов|сделал|загрузил)|не\s+помогл"
+
+
+def _first_said(text: Column, table: tuple) -> Column:
+    out = []
+    for patterns, value in table:
+        fits = F.lit(True)
+        for pattern in (patterns,) if isinstance(patterns, str) else patterns:
+            fits = fits & text.rlike(f"(?iu){pattern}")
+        out.append(F.when(fits, F.lit(value)))
+    return F.coalesce(*out)
+
+
+def context(text: Column, statuses: tuple[str, ...] = ()) -> dict[str, Column]:
+    """What a query says of its case; null where it says nothing.
+
+    statuses: those that cards declare, in their order; a status that is only mentioned is "present".
+    """
+    process = _first_said(text, PROCESSES)
+    role = F.when(process == "MCD management", _first_said(text, MANDATE_ROLES)).otherwise(_first_said(text, ROLES))
+    form = F.lower(F.translate(text, "ёЁ", "еЕ"))
+    named = [F.when(form.contains(s.lower().replace("ё", "е")), F.lit(s)) for s in statuses]
+    status = F.coalesce(*named, F.when(text.rlike(f"(?iu){MENTIONS_STATUS}"), "present"))
+    code = F.coalesce(F.nullif(F.regexp_extract(text, ERROR_CODE, 1), F.lit("")), F.nullif(F.lower(F.regexp_extract(text, ERROR_WORD, 1)), F.lit("")))
+    number = F.nullif(F.regexp_extract(text, r"(?<![\p{L}\p{N}_-])([0-9]+)", 1), F.lit(""))
+    return {
+        "role": role,
+        "process": process,
+        "provider": _first_said(text, PROVIDERS),
+        "document_status": status,
+        "error_code": code,
+        "document_type": _first_said(text, DOCUMENTS),
+        "attempted_action": F.when(text.rlike(ATTEMPTED), "already tried"),
+        "duration_minutes": duration_minutes(text),
+        "category_id": F.when(text.rlike(f"(?iu){MENTIONS_CATEGORY}"), number),
+        "model": F.when(text.rlike(f"(?iu){MENTIONS_MODEL}"), "present"),
+    }
 
 
 def scope_reply(text: Column) -> Column:

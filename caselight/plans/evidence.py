@@ -78,10 +78,13 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each passage as a claim, with one number too many in every third, against its best document."""
+    """Each passage as a claim, with one number too many in every third, and some with conditions, quotes and references, against its best document."""
     best = _candidates(spark, sf_dir).where("place = 1").select("query_id", F.array(F.col("doc_id").cast("string")).alias("fragment_ids"))
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit(" 424242"))).otherwise(F.col("text")).alias("text"))
-    claims = texts.join(best, "query_id", "left").withColumnRenamed("query_id", "claim_id")
+    kind, held = F.col("query_id") % 5, F.substring("text", 1, 20)
+    other = F.when(kind == 1, held).when(kind == 2, F.lit("a quote of nobody"))
+    told = [F.when(kind == 3, F.array(held, F.lit("role: nobody"))).alias("applies_if"), other.alias("evidence_quote"), F.when(kind == 4, F.lit("section 0 of nothing")).alias("evidence_reference")]
+    claims = texts.join(best, "query_id", "left").select(F.col("query_id").alias("claim_id"), "text", "fragment_ids", *told)
     fragments = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("fragment_id"), "text")
     return evidence.verify_claims(claims, fragments)
 
@@ -133,3 +136,41 @@ def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array_join(F.transform(T.query_entities(text), lambda x: F.concat_ws(":", x["kind"], x["value"])), ",")
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", kinds.alias("entities"), T.language(text).alias("language"), *[c.alias(n) for n, c in said.items()], T.scope_reply(text).alias("scope"))
+
+
+#: Phrases that questions are put together from, by the number of an event.
+_SUBJECTS = ("исправить УПД", "загрузить УПД", "какой тип документа УКД", "МЧД пользователя", "YML прайс", "загрузка оферты", "моя оферта", "договор", "МЧД", "импорт файла СТЕ", "добавление исполнения")
+_DETAILS = ("", "администратор", "поставщик на портале поставщиков", "заказчик, портал заказчиков", "в ЕИС, статус неизвестен", "уже пробовал 2 часа", "код RDIK-{k}", "категория {k}, модель", "не помогло, прошло больше часа", "рдик{k} на подписи", "ждём {k} мин", "состояние 3 дня", "{k} сек")
+_STATUSES = ("Подписан", "На подписи")
+
+
+def _sql_case(column: str, patterns: tuple) -> str:
+    fits = lambda p: " AND ".join(f"regexp_matches({column}, '(?i){x}')" for x in ((p,) if isinstance(p, str) else p))
+    return "CASE " + " ".join(f"WHEN {fits(p)} THEN '{value}'" for p, value in patterns) + " END"
+
+
+def _sql_words(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_LONG = r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(сек|мин|ч|д|мес)"
+
+
+@query(rf"""
+WITH q AS (SELECT event_id, list_extract({_sql_words(_SUBJECTS)}, CAST(event_id % {len(_SUBJECTS)} + 1 AS INT)) || ' ' || replace(list_extract({_sql_words(_DETAILS)}, CAST(user_id % {len(_DETAILS)} + 1 AS INT)), '{{k}}', CAST(json_extract(props, '$.k') AS VARCHAR)) AS q FROM events),
+p AS (SELECT *, {_sql_case("q", T.PROCESSES)} AS process, regexp_extract(q, '{_LONG}', 1) AS number, lower(regexp_extract(q, '{_LONG}', 2)) AS unit,
+             regexp_extract(q, '(?i)((?:rdik|рдик)[_-][a-zа-яё0-9_-]+)', 1) AS c1, lower(regexp_extract(q, '(?i)(?:^|[^A-Za-zА-Яа-яЁё0-9_-])((?:rdik|рдик)[a-zа-яё0-9_-]*)', 1)) AS c2 FROM q)
+SELECT event_id, q AS question, process, CASE WHEN process = 'MCD management' THEN {_sql_case("q", T.MANDATE_ROLES)} ELSE {_sql_case("q", T.ROLES)} END AS role, {_sql_case("q", T.PROVIDERS)} AS provider,
+       CASE WHEN contains(lower(q), 'подписан') THEN 'Подписан' WHEN contains(lower(q), 'на подписи') THEN 'На подписи' WHEN regexp_matches(q, '(?i){T.MENTIONS_STATUS}') THEN 'present' END AS document_status,
+       coalesce(nullif(c1, ''), nullif(c2, '')) AS error_code, {_sql_case("q", T.DOCUMENTS)} AS document_type, CASE WHEN regexp_matches(q, '(?i)уже\s+(?:пробов|сделал|загрузил)|не\s+помогл') THEN 'already tried' END AS attempted_action,
+       CASE WHEN number <> '' THEN CAST(number AS DOUBLE) * CASE unit WHEN 'сек' THEN 1.0 / 60 WHEN 'мин' THEN 1 WHEN 'ч' THEN 60 WHEN 'д' THEN 1440 ELSE 43200 END WHEN regexp_matches(q, '(?i)больше\s+час') THEN 61.0 END AS duration_minutes,
+       CASE WHEN regexp_matches(q, '(?i){T.MENTIONS_CATEGORY}') THEN nullif(regexp_extract(q, '(?:^|[^\p{{L}}\p{{N}}_-])([0-9]+)', 1), '') END AS category_id, CASE WHEN regexp_matches(q, '(?i){T.MENTIONS_MODEL}') THEN 'present' END AS model
+FROM p
+""")
+def query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What questions say of their case: every process, role, provider, status and detail occurs."""
+    part = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    detail = F.replace(part(_DETAILS, F.col("user_id")), F.lit("{k}"), F.get_json_object("props", "$.k"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(part(_SUBJECTS, F.col("event_id")), F.lit(" "), detail).alias("question"))
+    said = T.context(F.col("question"), _STATUSES)
+    return rows.select("event_id", "question", *[c.alias(n) for n, c in said.items()])

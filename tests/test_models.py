@@ -37,11 +37,44 @@ def test_query_entities(spark):
     assert df.select(T.exact_codes(F.col("t"))).first()[0] == ["УПД", "RDIK_77", "12", "x-5"]
 
 
+NOTHING = dict.fromkeys(("role", "process", "provider", "document_status", "error_code", "document_type", "attempted_action", "duration_minutes", "category_id", "model"))
+CONTEXTS = [
+    ("Поставщик: уже пробовали исправить УПД в ЕИС, прошло 2 часа", {"role": "supplier", "process": "UPD correction", "provider": "EIS", "document_type": "UPD", "attempted_action": "already tried", "duration_minutes": 120.0}),
+    ("как загрузить УПД", {"process": "UPD execution", "document_type": "UPD"}),
+    ("какой тип документа УКД выбрать", {"process": "contract execution", "document_type": "UKD"}),
+    ("добавление исполнения заказчиком, статус неизвестен", {"process": "contract execution", "role": "customer", "document_status": "present", "document_type": "STE"}),
+    ("МЧД для пользователя, документ на подписи", {"process": "MCD management", "role": "supplier user", "document_type": "MCD", "document_status": "На подписи"}),
+    ("МЧД заказчика", {"process": "MCD management", "document_type": "MCD"}),
+    ("администратор, код RDIK-77 и модель", {"role": "company administrator", "error_code": "RDIK-77", "model": "present"}),
+    ("ошибка рдик42 в категории 815", {"error_code": "рдик42", "category_id": "815"}),
+    ("загрузка оферты на портале поставщиков не помогла", {"process": "offer import", "role": "supplier", "provider": "Supplier Portal", "attempted_action": "already tried"}),
+    ("моя оферта", {"process": "offer/STE"}),
+    ("прайс", {"process": "YML import"}),
+    ("nothing", {}),
+]
+
+
 def test_context(spark):
-    df = spark.createDataFrame([("Поставщик: уже пробовали исправить УПД в ЕИС, прошло 2 часа",), ("nothing",)], "t string")
-    rows = [r.asDict() for r in df.select(*[c.alias(n) for n, c in T.context(F.col("t")).items()]).collect()]
-    assert rows[0] == {"role": "supplier", "process": "UPD correction", "provider": "EIS", "error_code": None, "attempted_action": "already tried", "duration_minutes": 120.0}
-    assert set(rows[1].values()) == {None}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CONTEXTS)], "i int, t string")
+    rows = df.orderBy("i").select(*[c.alias(n) for n, c in T.context(F.col("t"), ("Подписан", "На подписи")).items()]).collect()
+    for row, (text, said) in zip(rows, CONTEXTS, strict=True):
+        assert row.asDict() == NOTHING | said, text
+
+
+def test_claims_keep_to_their_evidence(spark):
+    """Conditions, quotes and references have to stand in the evidence; blank fragments do not count."""
+    schema = "claim_id string, text string, fragment_ids array<string>, applies_if array<string>, evidence_quote string, evidence_reference string"
+    text = "Договор подписывает администратор"
+    rows = [
+        ("all", text, ["b", "a", "blank"], ["роль Поставщик"], "подписывает\nроль", "пункт 7"),
+        ("order", text, ["a", "b"], None, "подписывает\nроль", None),
+        ("condition", text, ["a", "b"], ["роль поставщик", "роль заказчик"], None, ""),
+        ("reference", text, ["a", "b"], [], "договор", "пункт 8"),
+        ("none", text, ["a", "b"], None, None, None),
+    ]
+    fragments = spark.createDataFrame([("a", "роль поставщик, пункт 7"), ("b", "Администратор договор подписывает"), ("blank", " ")], "fragment_id string, text string")
+    got = {r["claim_id"]: r["reasons"] for r in evidence.verify_claims(spark.createDataFrame(rows, schema), fragments).collect()}
+    assert got == {"all": "", "order": "QUOTE_NOT_IN_EVIDENCE", "condition": "APPLICABILITY_DROPPED", "reference": "REFERENCE_NOT_IN_EVIDENCE", "none": ""}
 
 
 def test_history_form_and_contradiction(spark):
