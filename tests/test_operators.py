@@ -259,3 +259,12 @@ def test_exact_hits_of_short_queries_and_inside_words(spark):
     fold = lambda t: " ".join((t or "").lower().split())
     expected = {(i, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if t is not None and fold(q) in fold(t)}
     assert {tuple(r) for r in retrieval.exact_hits(queries, docs, "doc_id", "text").collect()} == expected and len(expected) == 6
+
+
+def test_fragments_of_a_long_document(spark):
+    """Thousands of headings in one document of some megabytes: each line takes the path of the heading above it."""
+    n = 40_000
+    text = "\n".join(f"{i % 9 + 1}.{i} Heading number {i}\nsome line of text number {i} that goes on" for i in range(n))
+    rows = chunking.units(chunking.classified_lines(spark.createDataFrame([(1, text, False)], "doc_id long, text string, flagged boolean")))
+    got = rows.agg(F.count("*"), F.count_if(F.element_at("path", -1).endswith(F.concat(F.lit("number "), F.regexp_extract("text", r"text number (\d+)", 1))))).first()
+    assert tuple(got) == (n, n)
