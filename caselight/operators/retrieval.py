@@ -40,6 +40,16 @@ def any_channel(channels: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, channels, F.lit(False))
 
 
+def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
+    """term, doc_id and tf of some terms (column term); words that are not asked for leave before anything is shuffled.
+
+    For many searches over one corpus, term_index writes the postings of all terms once.
+    """
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.tokens(F.col(text))).alias("term"))
+    asked = words.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return asked.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, n_terms and term of each distinct token of queries (query_id, text)."""
     terms = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))

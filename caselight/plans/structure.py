@@ -11,18 +11,18 @@ from .registered import query
 
 
 @query("""
-WITH cards AS (SELECT l_partkey AS card_id, list_distinct(list(l_suppkey)) AS ids FROM lineitem GROUP BY 1),
-evidence AS (SELECT l_orderkey AS answer_id, list_distinct(list(l_suppkey)) AS ids FROM lineitem GROUP BY 1),
-met AS (SELECT DISTINCT c.card_id, e.answer_id FROM (SELECT card_id, unnest(ids) AS i FROM cards) c JOIN (SELECT answer_id, unnest(ids) AS i FROM evidence WHERE len(ids) >= 4) e ON e.i = c.i)
-SELECT card_id, answer_id, n_shared FROM (
-  SELECT m.card_id, m.answer_id, len(list_intersect(c.ids, e.ids)) AS n_shared FROM met m JOIN cards c ON c.card_id = m.card_id JOIN evidence e ON e.answer_id = m.answer_id) WHERE n_shared >= 4
+WITH l AS (SELECT *, l_partkey * 1000000 + l_suppkey AS source FROM lineitem),
+cards AS (SELECT l_partkey AS card_id, list_distinct(list(source)) AS ids FROM l GROUP BY 1),
+answers AS (SELECT l_orderkey AS answer_id, list_distinct(list(source)) AS ids FROM l GROUP BY 1),
+near AS (SELECT DISTINCT l_partkey AS card_id, l_orderkey AS answer_id FROM lineitem)
+SELECT n.card_id, n.answer_id, len(list_intersect(c.ids, a.ids)) AS n_shared FROM near n JOIN cards c ON c.card_id = n.card_id JOIN answers a ON a.answer_id = n.answer_id WHERE list_has_any(c.ids, a.ids)
 """)
 def card_evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards and answers whose sources (suppliers of a part, of an order) share four ids or more."""
-    lines = table(spark, sf_dir, "lineitem")
-    cards = lines.groupBy(F.col("l_partkey").alias("card_id")).agg(F.collect_set("l_suppkey").alias("ids"))
-    answers = lines.groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.collect_set("l_suppkey").alias("ids"))
-    found = overlap.overlap_join(cards, answers, "card_id", "answer_id", "ids", 4)
+    """Cards (parts) and answers (orders) that share a source, a part of one supplier."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("source", F.col("l_partkey") * 1000000 + F.col("l_suppkey"))
+    cards = lines.groupBy(F.col("l_partkey").alias("card_id")).agg(F.collect_set("source").alias("ids"))
+    answers = lines.groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.collect_set("source").alias("ids"))
+    found = overlap.overlap_join(cards, answers, "card_id", "answer_id", "ids")
     return found.withColumn("n_shared", F.col("n_shared").cast("long"))
 
 
