@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_texts, free_name, keep_lineage_short
@@ -53,15 +53,20 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
 
+def text_digest(text: Column) -> Column:
+    """What stands for a whole text where rows meet; a null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every text."""
+    """doc_id, digest of the text and fp, the fingerprint as a signed long, of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(x, shingle_words) for x in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": found})
 
-    return doc_texts(docs).mapInPandas(run, "doc_id long, fp long")
+    return doc_texts(docs).withColumn("digest", text_digest(F.col("text"))).mapInPandas(run, "doc_id long, digest binary, fp long")
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -189,20 +194,39 @@ def spanning_links(distinct_fps: DataFrame, limit: int = SUBTREE_LIMIT) -> DataF
         used += (64 - used) // 4
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id linked with it, over any number of links)."""
-    found = keep_lineage_short(fingerprints(docs, shingle_words))
+def near_duplicate_classes(found: DataFrame) -> DataFrame:
+    """root, one for each component, and first_id, the least doc_id with it, of every fp among fingerprints."""
     firsts = keep_lineage_short(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = component_roots(spanning_links(firsts)).withColumnRenamed("u", "fp")
-    classed = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id linked with it, over any number of links)."""
+    found = keep_lineage_short(fingerprints(docs, shingle_words).select("doc_id", "fp"))
+    classed = near_duplicate_classes(found)
     least = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = classed.join(least, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def first_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents with, of each near-duplicate group, the one of smallest doc_id."""
-    found = near_duplicates(docs, shingle_words)
-    own = free_name(docs, "_kept")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
+    """One document of each near-duplicate group: that of smallest doc_id (null last), then of smallest digest.
+
+    Rows are told apart by id and text, as an id may be null or taken twice; of rows that are equal in both, one stays.
+    """
+    found = keep_lineage_short(fingerprints(docs, shingle_words))
+    rows = found.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")).alias("first")
+    # a fingerprint's own first row comes before the join, so copies do not meet in their component
+    firsts = rows.groupBy("fp").agg(first).join(near_duplicate_classes(found).select("fp", "root"), "fp")
+    own, text = free_name(docs, "_kept"), free_name(docs, "_digest")
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first"))
+    kept = keep_lineage_short(kept.select(F.col("first.doc_id").alias(own), F.col("first.digest").alias(text), "first.n"))
+    marked = docs.withColumn(text, text_digest(F.col("text"))).withColumn(own, F.col("doc_id").cast("long"))
+    same = lambda k: marked[own].eqNullSafe(k[own]) & (marked[text] == k[text])
+    single, repeated = kept.where("n = 1"), kept.where("n > 1")
+    out = marked.join(single, same(single), "left_semi")
+    if not repeated.isEmpty():
+        out = out.union(marked.join(repeated, same(repeated), "left_semi").dropDuplicates([own, text]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
