@@ -105,6 +105,13 @@ def test_near_dedup_of_nulls(spark):
     assert sorted(map(str, kept)) == ["1", "None", "None"]
 
 
+def test_near_dedup_of_taken_and_missing_ids(spark):
+    first, second = "one text of its own under these words", "something else is said in this other place"
+    rows = [(1, first), (1, first), (None, first), (None, second), (None, second), (2, None), (3, ""), (2, second)]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.first_of_each_group(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == [(1, first), (2, second), (2, None)]
+
+
 def test_hot_subtrees_are_dealt_again(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(40)]
@@ -299,6 +306,34 @@ def test_quotation_weighs_less():
     assert matcher.counts("what an idi0t he is")[0:2] == (1.0, 0.0) or matcher.counts("what an idi0t he is")[1] == 1.0
 
 
+def test_quotations_end_with_their_own_mark():
+    def cited(text):
+        words = text.split()
+        return toxicity.quoted(words, next(i for i, w in enumerate(words) if "idiot" in w))
+
+    inside = ['"you idiot" he wrote', '"idiot"', 'he said:"you idiot".', "« sale idiot »", "„du idiot“ rief er", "“you idiot,” he wrote", '" you idiot "', '«er sagte "nein" zu idiot»']
+    outside = ['he said "hello there" you idiot and "bye now" left', "you idiot", '"you idiot', 'you idiot"', "the dogs’ idiot and the cats’ food", 'it\'s "so" idiot']
+    assert all(map(cited, inside)) and not any(map(cited, outside))
+    assert toxicity.Matcher._citation("der idiot sagte er".split(), 1) == pytest.approx(0.3)
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_labels_of_one_kind_decide_by_their_share(spark, toxic):
+    rows = [(i, f"clean words number {i}") for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, 1, toxic) for i, _ in rows], LABELS)
+    found = toxicity.score_toxicity(docs(spark, rows), labels).collect()
+    assert len(found) == 39 and {r["predicted"] for r in found} == {toxic}
+    unlabelled = toxicity.score_toxicity(docs(spark, rows), labels.limit(0)).collect()
+    assert {(r["score"], r["predicted"]) for r in unlabelled} == {(0.25, 0)}
+
+
+def test_words_too_long_for_a_term_give_none(spark):
+    rows = [(i, ("idiot" if i % 2 else "plain") + " text of " + "q" * 41 + f"{'abcdefghij'[i % 10]} w{i}") for i in range(1, 200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS)
+    terms = toxicity.fit(docs(spark, rows), labels).terms
+    assert all("qqq" not in t for t, _ in terms)
+
+
 def test_a_citation_lowers_the_score(spark):
     model = toxicity.Model((("idiot", False),), frozenset(), (-3.0, 8.0, toxicity.CITED_WEIGHT))
     texts = ["nothing here at all", 'she wrote that he said "idiot" to them', "you idiot go away", "you idjot go away"]

@@ -223,6 +223,21 @@ def test_toxicity_scores_by_brute_force(spark, sf_dir, texts):
                     hits.append(d)
         return min(hits, default=-1)
 
+    def citation(words, i):
+        """By characters: the marks before and after the word's letters, each with its own partner."""
+        start = max(0, i - toxicity.CONTEXT_WORDS)
+        near = words[start : i + toxicity.CONTEXT_WORDS + 1]
+        line, at = " ".join(near), len(" ".join(near[: i - start])) + (i > start)
+        inside = False
+        for kind in ('"“”„', "«»", "‘’"):
+            marks = [k for k, x in enumerate(line) if x in kind and (k == 0 or k + 1 == len(line) or not (line[k - 1].isalnum() and line[k + 1].isalnum()))]
+            word_of = {k: line[: k].count(" ") for k in marks}
+            opens = {k: any(x.isalnum() for x in line[k:].split(" ")[0]) and not any(x.isalnum() for x in line[:k].split(" ")[-1]) for k in marks}
+            pairs = [(a, b) for a, b in zip(marks, marks[1:], strict=False) if opens[a] and not opens[b]]
+            inside |= any(word_of[a] <= line[:at].count(" ") <= word_of[b] for a, b in pairs)
+        spoken = any(w.strip(toxicity.EDGE) in toxicity.REPORTING for w in near[: i - start] + near[i - start + 1 :])
+        return 0.6 * inside + 0.3 * spoken
+
     known = {}
     for d, text in list(texts.items())[:60]:
         words = text.lower().split()
@@ -231,7 +246,7 @@ def test_toxicity_scores_by_brute_force(spark, sf_dir, texts):
             if w not in known:
                 known[w] = errors(w)
             if known[w] >= 0:
-                share = toxicity.Matcher._citation(words, i)
+                share = citation(words, i)
                 cited, uttered = cited + share, uttered + 1 - share
         z = model.weights[0] + model.weights[1] * np.log1p(uttered) + model.weights[2] * np.log1p(cited)
         assert found[d]["score"] == pytest.approx(1 / (1 + np.exp(-z)))
