@@ -36,9 +36,9 @@ def prefixed_id(prefix: str, kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256), 1, 32))
 
 
-def fragment_id(version: Column, page: int, section: Column, anchor: Column, text_hash: Column) -> Column:
+def fragment_id(version: Column, page: int | Column, section: Column, anchor: Column, text_hash: Column) -> Column:
     """The id of a fragment on one page, from its version, section, anchor and the hash of its text."""
-    body = F.concat_ws(",", F.lit('"fragment"'), _quoted(version), F.lit(str(page)), F.lit(str(page)), *map(_quoted, (section, anchor, text_hash)))
+    body = F.concat_ws(",", F.lit('"fragment"'), _quoted(version), *[F.lit(page).cast("string")] * 2, *map(_quoted, (section, anchor, text_hash)))
     return F.concat(F.lit("frag_"), F.substring(F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256), 1, 32))
 
 

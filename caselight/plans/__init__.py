@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import evidence, lexical, operations, quality, retrieval, streams, structure, texts, vectors
+from . import evidence, layout, lexical, operations, quality, retrieval, streams, structure, texts, vectors
 from .registered import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "lexical", "operations", "quality", "retrieval", "streams", "structure", "texts", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "layout", "lexical", "operations", "quality", "retrieval", "streams", "structure", "texts", "vectors"]
