@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import feed
+from ..sources.tables import table
+from ..sources.written import shared_folder
 from ..streaming import keyed, machine
 from ..streaming.runs import read_stream, run_once
 from .registered import query
@@ -90,3 +93,19 @@ def spike_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_stream(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
     found = run_once(machine.spikes(events), state_store=machine.ROCKS)
     return found.select("kind", "start_ms", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "spike")
+
+
+@query("""
+WITH cursors AS (SELECT user_id, min(event_id) AS cursor FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT e.event_id, e.user_id AS case_id, e.event_type, e.props AS payload FROM events e JOIN cursors c ON c.user_id = e.user_id AND e.event_id > c.cursor
+""")
+def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events pushed into a feed of messages and polled from it, behind the cursor of each case (here: its first signup)."""
+    columns = "event_id", F.col("user_id").alias("case_id"), "event_type", F.col("props").alias("payload")
+    path = shared_folder(spark, "feed")
+    sent = read_stream(spark, sf_dir, "events").select(*columns)
+    feed.push(sent, path, shared_folder(spark, "feed-marks"))
+    rows = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    cursors = rows.groupBy(F.col("user_id").alias("case_id")).agg(F.min("event_id").alias("cursor"))
+    behind = feed.poll(spark, path, sent.schema).join(cursors, "case_id").where("event_id > cursor")
+    return run_once(behind.select("event_id", "case_id", "event_type", "payload"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -50,6 +51,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return named.select(*rows.columns, F.assert_true(wrong.isNull(), wrong).alias("_ok")).where(F.col("_ok").isNull()).drop("_ok")
 
 
+#: Rows of a workbook that are handed on at once.
+SHEET_BATCH = 10_000
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -82,7 +85,7 @@ def sheet_rows(content: bytes) -> Iterator[dict[str, str]]:
 def read_sheets(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """source_file, source_row (from 2) and the named columns of all workbooks under a path.
 
-    The first row holds the names; a column that is not there is empty. One task reads one file.
+    The first row holds the names; a column that is not there is empty. One task reads one file, and hands its rows on in batches.
     """
     schema = "source_file string, source_row int, " + ", ".join(f"`{c}` string" for c in columns)
 
@@ -91,8 +94,9 @@ def read_sheets(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 rows = sheet_rows(content)
                 places = {v.strip(): k for k, v in next(rows, {}).items()}
-                found = [(name, n, *(r.get(places.get(c, ""), "") for c in columns)) for n, r in enumerate(rows, 2)]
-                yield pd.DataFrame(found, columns=["source_file", "source_row", *columns])
+                found = ((name, n, *(r.get(places.get(c, ""), "") for c in columns)) for n, r in enumerate(rows, 2))
+                for some in itertools.batched(found, SHEET_BATCH):
+                    yield pd.DataFrame(some, columns=["source_file", "source_row", *columns])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
 
