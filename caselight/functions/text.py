@@ -42,6 +42,12 @@ REDACTIONS = (
     (r"(?iu)(?<![\p{L}\p{N}_])(?:ФИО|контактное\s+лицо|заявитель|пользователь)\s*[:№#-]?\s*[А-ЯЁ][а-яё-]+(?:\s+[А-ЯЁ][а-яё-]+){1,2}", "[PERSON]"),
 )
 
+#: Addresses and long numbers alone, wherever they stand. An address begins where its signs begin or the one before ends.
+_SIGNS, _LETTERS = r"A-Za-z\u017F\u212A0-9._%+-", r"A-Za-z\u017F\u212A"
+PLAIN_REDACTIONS = ((rf"(?:\G|(?<![{_SIGNS}]))[{_SIGNS}]+@[{_LETTERS}0-9.-]+\.[{_LETTERS}]{{2,}}", "[EMAIL]"), ("[0-9]{8,}", "[IDENTIFIER]"))
+#: White space in all scripts, and that of ASCII.
+SPACES, ASCII_SPACES = r"(?U)\s+", r"[ \t\n\r\x0b\x0c]+"
+
 #: Signs of lines in documents. A word's ends are where letters and digits end.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 STEP = r"^\s*(?:\d+[.)]|[-–—•])\s+\S"
@@ -99,20 +105,25 @@ def declines(text: Column) -> Column:
 REDACTION_HINT = r"(?iu)[0-9@]|фио|контактное|заявитель|пользовател|логин"
 
 
-def redact(text: Column) -> Column:
+def _plain(text: Column, spaces: str) -> Column:
+    filled = F.coalesce(text, F.lit(""))
+    return F.translate(filled, "\u00a0", " ") if spaces == SPACES else filled
+
+
+def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTIONS, spaces: str = SPACES) -> Column:
     """The text without direct identifiers, single-spaced; a null text is empty."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
+    plain = _plain(text, spaces)
     out = plain
-    for pattern, mark in REDACTIONS:
+    for pattern, mark in rules:
         out = F.regexp_replace(out, pattern, mark)
-    return fold_spaces(F.when(plain.rlike(REDACTION_HINT), out).otherwise(plain))
+    return F.trim(F.regexp_replace(F.when(plain.rlike(REDACTION_HINT), out).otherwise(plain), spaces, " "))
 
 
-def redaction_count(text: Column) -> Column:
+def redaction_count(text: Column, rules: tuple[tuple[str, str], ...] = REDACTIONS, spaces: str = SPACES) -> Column:
     """Replacements that redact makes, each counted on what the ones before it left."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
+    plain = _plain(text, spaces)
     out, total = plain, F.lit(0)
-    for pattern, mark in REDACTIONS:
+    for pattern, mark in rules:
         total = total + F.regexp_count(out, F.lit(pattern))
         out = F.regexp_replace(out, pattern, mark)
     return F.when(plain.rlike(REDACTION_HINT), total).otherwise(F.lit(0)).cast("long")
