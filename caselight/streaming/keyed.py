@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,19 +14,25 @@ INTAKE = "key string, event_id long, status string"
 STATUS = "case_id long, revision long, stage double, specialist string, applied boolean"
 
 
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """A key's rows of one micro-batch by the first column: Arrow cuts a key's rows anywhere, so one batch does not tell their order."""
+    return sorted((row for b in batches for row in zip(*(b[c].tolist() for c in columns), strict=True)), key=itemgetter(0))
+
+
 def intake(facts: DataFrame) -> DataFrame:
     """status of every fact (key, event_id, content): NEW, IDEMPOTENT or CONFLICT with the first of its key."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else None
-        for batch in batches:
-            rows = []
-            for event_id, content in batch.sort_values("event_id")[["event_id", "content"]].itertuples(index=False):
-                status = "NEW" if known is None else "IDEMPOTENT" if content == known else "CONFLICT"
-                known = content if known is None else known
-                rows.append((key[0], event_id, status))
-            yield pd.DataFrame(rows, columns=["key", "event_id", "status"])
-        state.update((known,))
+        known, first, out = state.get[0] if state.exists else None, not state.exists, []
+        for event_id, content in _in_order(batches, ["event_id", "content"]):
+            if first:
+                out.append((key[0], event_id, "NEW"))
+                known, first = content, False
+            else:
+                out.append((key[0], event_id, "IDEMPOTENT" if content is not None and content == known else "CONFLICT"))
+        if out:
+            state.update((known,))
+        yield pd.DataFrame(out, columns=["key", "event_id", "status"])
 
     return facts.groupBy("key").applyInPandasWithState(step, INTAKE, "content string", "append", GroupStateTimeout.NoTimeout)
 
@@ -38,17 +45,16 @@ def status_ingest(updates: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         revision, stage, specialist = state.get if state.exists else (-1, None, None)
-        for batch in batches:
-            rows = []
-            for r, s, p in batch.sort_values("revision")[["revision", "stage", "specialist"]].itertuples(index=False):
-                applied = r > revision
-                if applied:
-                    revision = r
-                    stage = s if pd.notna(s) else stage
-                    specialist = p if p is not None and pd.notna(p) else specialist
-                rows.append((key[0], r, stage, specialist, applied))
-            yield pd.DataFrame(rows, columns=["case_id", "revision", "stage", "specialist", "applied"])
+        out = []
+        for r, s, p in _in_order(batches, ["revision", "stage", "specialist"]):
+            applied = r > revision
+            if applied:
+                revision = r
+                stage = s if pd.notna(s) else stage
+                specialist = p if p is not None and pd.notna(p) else specialist
+            out.append((key[0], r, stage, specialist, applied))
         state.update((int(revision), stage, specialist))
+        yield pd.DataFrame(out, columns=["case_id", "revision", "stage", "specialist", "applied"])
 
     return updates.groupBy("case_id").applyInPandasWithState(step, STATUS, "revision long, stage double, specialist string", "append", GroupStateTimeout.NoTimeout)
 
