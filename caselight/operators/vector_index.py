@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.written import bucketed
 from .ranking import best_per_query
-from .retrieval import dense_topk, small
+from .retrieval import BROADCAST_BYTES, dense_topk
 
 #: Vectors that centres are fitted on, at most; and centres, at most.
 SAMPLE, MOST_CELLS = 50_000, 4_096
@@ -29,6 +29,8 @@ TARGET, MEASURED = 0.92, 500
 ROUNDS, SEED = 10, 42
 #: Vectors of a cell that one task multiplies at once.
 BLOCK = 4_096
+#: Queries of a lot.
+QUERIES = 1_024
 
 
 @dataclass(frozen=True)
@@ -73,36 +75,45 @@ def build(vectors: DataFrame, buckets: int = 16, cells: int | None = None) -> Ve
 def search(index: VectorIndex, queries: DataFrame, k: int, probed: float, digits: int = 5) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar other vectors in the probed share of cells.
 
-    queries: query_id, query. A cell's vectors and the queries that look into it meet in pieces of
-    BLOCK vectors; of each piece a task keeps the k best of a query.
+    queries: query_id, query. Each query is sent once, with a bit for each cell that it looks into,
+    in lots of about QUERIES; a cell's vectors meet them in pieces of BLOCK vectors, and of each
+    piece a task keeps the k best of a query.
     """
     centres = index.centres
     probes = max(1, round(probed * len(centres)))
-    deals = max(1, -(-queries.count() // BLOCK))
+    n = queries.count()
+    deals = max(1, -(-n // QUERIES))
 
     def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                asked = _matrix(batch["vector"])
-                near = np.argsort(-(asked @ centres.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"query_id": np.repeat(batch["vec_id"].to_numpy(), probes), "cell": near.ravel(), "vector": list(np.repeat(asked, probes, axis=0))})
-
-    asked = _sound(queries.select(F.col("query_id").alias("vec_id"), F.col("query").alias("embedding"))).mapInPandas(cells_of, "query_id long, cell long, vector array<double>")
-    per_cell = asked.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(deals)).alias("deal")).agg(F.collect_list("query_id").alias("q_ids"), F.flatten(F.collect_list("vector")).alias("q")).drop("deal")
+            for at in range(0, len(batch), QUERIES):
+                some = batch.iloc[at : at + QUERIES]
+                near = np.argsort(-(_matrix(some["vector"]) @ centres.T), axis=1, kind="stable")[:, :probes]
+                marks = np.zeros((len(some), len(centres)), bool)
+                np.put_along_axis(marks, near, True, axis=1)
+                yield pd.DataFrame({"query_id": some["vec_id"], "vector": some["vector"], "cells": [m.tobytes() for m in np.packbits(marks, axis=1)]})
+
+    asked = _sound(queries.select(F.col("query_id").alias("vec_id"), F.col("query").alias("embedding"))).mapInPandas(cells_of, "query_id long, vector array<double>, cells binary")
+    dealt = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(deals)).alias("deal"))
+    dealt = dealt.agg(F.collect_list("query_id").alias("q_ids"), F.flatten(F.collect_list("vector")).alias("q"), F.collect_list("cells").alias("q_cells")).drop("deal")
+    dealt = F.broadcast(dealt) if n * (8 * centres.shape[1] + len(centres) // 8) <= BROADCAST_BYTES else dealt
     piece = F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("vec_id")) - 1) / BLOCK)
     blocks = index.cells.withColumn("piece", piece).groupBy("cell", "piece").agg(F.collect_list("vec_id").alias("v_ids"), F.flatten(F.collect_list("vector")).alias("v"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q_ids, q, v_ids, v in zip(batch["q_ids"], batch["q"], batch["v_ids"], batch["v"], strict=True):
-                q_ids, v_ids = np.asarray(q_ids, np.int64), np.asarray(v_ids, np.int64)
-                close = np.round(np.asarray(q).reshape(len(q_ids), -1) @ np.asarray(v).reshape(len(v_ids), -1).T, digits)
+            for cell, q_ids, q, q_cells, v_ids, v in zip(*(batch[c] for c in ("cell", "q_ids", "q", "q_cells", "v_ids", "v")), strict=True):
+                looks = np.array([m[cell // 8] >> 7 - cell % 8 & 1 for m in q_cells], bool)
+                if not looks.any():
+                    continue
+                q_ids, v_ids = np.asarray(q_ids, np.int64)[looks], np.asarray(v_ids, np.int64)
+                close = np.round(np.asarray(q).reshape(len(looks), -1)[looks] @ np.asarray(v).reshape(len(v_ids), -1).T, digits)
                 close[q_ids[:, None] == v_ids[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(v_ids, close.shape), -close), axis=1)[:, :k]
                 rows = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "vec_id": v_ids[order].ravel(), "similarity": np.take_along_axis(close, order, axis=1).ravel()})
                 yield rows[np.isfinite(rows["similarity"])]
 
-    found = blocks.join(small(per_cell), "cell").mapInPandas(best, "query_id long, vec_id long, similarity double")
+    found = blocks.crossJoin(dealt).mapInPandas(best, "query_id long, vec_id long, similarity double")
     return best_per_query(found, "query_id", [F.desc("similarity"), F.col("vec_id")], k)
 
 

@@ -34,3 +34,18 @@ def test_no_vectors(spark, vectors):
     index = vector_index.build(vectors.where("vec_id > 4000"), buckets=2)
     asked = vectors.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     assert index.cells.count() == 0 and vector_index.search(index, asked.where("false"), 10, 1.0).count() == 0
+
+
+def test_queries_are_sent_once(spark, vectors, monkeypatch):
+    """However many cells it looks into, a query's vector is in one row; lots and pieces do not show in the result."""
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vector_index.build(vectors, buckets=4)
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    wanted = sorted(map(tuple, vector_index.search(index, asked, 10, 0.8).collect()))
+    assert [df.agg(F.sum(F.size("q"))).first()[0] for df in sent if "q" in df.columns] == [150 * 16]
+    monkeypatch.setattr(vector_index, "QUERIES", 7)
+    monkeypatch.setattr(vector_index, "BLOCK", 5)
+    for limit in (0, vector_index.BROADCAST_BYTES):
+        monkeypatch.setattr(vector_index, "BROADCAST_BYTES", limit)
+        assert sorted(map(tuple, vector_index.search(index, asked, 10, 0.8).collect())) == wanted
