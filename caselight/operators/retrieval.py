@@ -91,6 +91,8 @@ def exact_hits(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, word
 
 #: Vectors of one block; a pair of blocks is one multiplication in a task.
 BLOCK_VECTORS = 2_000
+#: Queries of a block that are multiplied and ordered at once.
+QUERY_ROWS = 256
 #: Queries are broadcast up to so many bytes of vectors; beyond, each task reads them block by block.
 BROADCAST_BYTES = 64 << 20
 
@@ -120,12 +122,15 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 5,
                 q, v = np.asarray(q, np.float64).reshape(len(q_ids), -1), np.asarray(v, np.float64).reshape(len(v_ids), -1)
                 if q.shape[1] != v.shape[1]:
                     continue
-                norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-                close = np.round(np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), digits)
-                close[q_ids[:, None] == v_ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(v_ids, close.shape), -close), axis=1)[:, :k]
-                rows = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "vec_id": v_ids[order].ravel(), "similarity": np.take_along_axis(close, order, axis=1).ravel()})
-                yield rows[np.isfinite(rows["similarity"])]
+                lengths = np.sqrt((v * v).sum(axis=1))
+                for at in range(0, len(q_ids), QUERY_ROWS):
+                    ids, some = q_ids[at : at + QUERY_ROWS], q[at : at + QUERY_ROWS]
+                    norms = np.sqrt((some * some).sum(axis=1))[:, None] * lengths[None, :]
+                    close = np.round(np.divide(some @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), digits)
+                    close[ids[:, None] == v_ids[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(v_ids, close.shape), -close), axis=1)[:, :k]
+                    rows = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": v_ids[order].ravel(), "similarity": np.take_along_axis(close, order, axis=1).ravel()})
+                    yield rows[np.isfinite(rows["similarity"])]
 
     asked = _blocks(queries, "query_id", "query", "q_ids", "q", max(1, -(-sizes["n"] // block)))
     asked = F.broadcast(asked) if 8 * sizes["values"] <= BROADCAST_BYTES else asked

@@ -49,3 +49,12 @@ def test_queries_are_sent_once(spark, vectors, monkeypatch):
     for limit in (0, vector_index.BROADCAST_BYTES):
         monkeypatch.setattr(vector_index, "BROADCAST_BYTES", limit)
         assert sorted(map(tuple, vector_index.search(index, asked, 10, 0.8).collect())) == wanted
+
+
+def test_queries_of_a_block_are_ordered_in_pieces(spark, vectors, monkeypatch):
+    """A task holds similarities of QUERY_ROWS queries at once, and their number does not show in the result."""
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = lambda: sorted(map(tuple, retrieval.dense_topk(asked, vectors, 10, block=500).collect()))
+    wanted = found()
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 7)
+    assert len(wanted) == 1500 and found() == wanted
