@@ -20,6 +20,8 @@ from .ranking import best_per_query
 TRIGRAM_LEAST = 0.40
 #: A side is broadcast up to so many rows of query tokens, and shuffled beyond.
 BROADCAST_ROWS = 100_000
+#: Documents of one partition in which all that is asked of a document meets.
+MEET_DOCS = 2_000
 #: Query heads that are looked for by a list in the plan, at most.
 FEW_HEADS = 500
 
@@ -29,6 +31,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def meeting_places(n_docs: int) -> int:
+    """Partitions in which the rows of so many documents meet by document; a task's share does not grow with them."""
+    return max(1, -(-n_docs // MEET_DOCS))
+
+
 def exact_score(text: Column, codes: list[str]) -> Column:
     """How many of the codes a text contains, in whatever case."""
     hits = [F.when(F.lower(text).contains(c.lower()), 1.0).otherwise(0.0) for c in dict.fromkeys(codes) if c]
@@ -43,11 +50,13 @@ def any_channel(channels: list[Column]) -> Column:
 def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
     """term, doc_id and tf of some terms (column term); words that are not asked for leave before anything is shuffled.
 
-    For many searches over one corpus, term_index writes the postings of all terms once.
+    They meet by document alone, MEET_DOCS documents a partition, so that what follows by document needs no other
+    shuffle and no task holds more than the groups of so many. For many searches over one corpus, term_index writes
+    the postings of all terms once.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.tokens(F.col(text))).alias("term"))
     asked = words.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return asked.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return asked.repartition(meeting_places(docs.count()), "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
