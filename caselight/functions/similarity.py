@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,12 +38,18 @@ def is_unit(vector: Column, tolerance: float = 0.02) -> Column:
     return finite & (F.abs(F.sqrt(dot(vector, vector)) - 1) <= tolerance)
 
 
-def _grams(text: str) -> list[str]:
+@lru_cache(maxsize=16_384)
+def _grams(text: str) -> tuple[str, ...]:
     out = []
     for word in "".join(c if c.isalnum() else " " for c in text.lower()).split():
         padded = f"  {word} "
         out += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return out
+    return tuple(out)
+
+
+@lru_cache(maxsize=4096)
+def _distinct_grams(text: str) -> frozenset[str]:
+    return frozenset(_grams(text))
 
 
 def word_similarity_of(query: str, text: str) -> float:
@@ -50,7 +57,7 @@ def word_similarity_of(query: str, text: str) -> float:
 
     A run counts for |query and run| / |query or run|; runs begin and end at shared grams.
     """
-    wanted = set(_grams(query))
+    wanted = _distinct_grams(query)
     grams = _grams(text)
     spots = [i for i, g in enumerate(grams) if g in wanted]
     best = 0.0

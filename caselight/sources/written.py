@@ -33,9 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int, order: list[str]) -> DataFrame:
-    """The table as written in buckets of a key, sorted within them: joins by the key need no shuffle of it."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, order: list[str], dealt: bool = False) -> DataFrame:
+    """The table as written in buckets of a key, sorted within them: joins by the key need no shuffle of it.
+
+    dealt: the rows are in `buckets` partitions of the key already.
+    """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, key)  # a file a bucket
-    dealt.write.bucketBy(buckets, key).sortBy(key, *order).option("path", shared_folder(spark, name)).saveAsTable(table)
+    rows = df if dealt else df.repartition(buckets, key)  # a file a bucket
+    rows.write.bucketBy(buckets, key).sortBy(key, *order).option("path", shared_folder(spark, name)).saveAsTable(table)
     return spark.table(table)
