@@ -12,11 +12,16 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     Elements are ordered from rare to common by the number of rows on both sides that have them.
     Of two arrays that share `least` elements, one lies among the first n - least + 1 of each, so
     only those meet, common elements hardly ever, and the whole arrays are compared once a pair.
+    Where one shared element is enough, every meeting is of a pair wanted, so they are counted as they are.
     Null and empty arrays, null elements and null ids meet nothing; the ids are taken to be unique.
     """
     sides = [_side(left, left_id, elements).select(F.lit(0).alias("side"), "id", "own"), _side(right, right_id, elements).select(F.lit(1).alias("side"), "id", "own")]
     both = sides[0].unionByName(sides[1]).where(F.size("own") >= least)
     flat = both.select("side", "id", F.size("own").alias("n"), F.explode("own").alias("element"))
+    if least == 1:
+        ids = lambda side, name: sides[side].select(F.col("id").alias(name), F.explode("own").alias("element"))
+        pairs = ids(0, left_id).join(ids(1, right_id), "element").groupBy(left_id, right_id)
+        return pairs.agg(F.count("*").cast("int").alias("n_shared"))
     common = flat.groupBy("element").agg(F.count("*").alias("rows"), F.count_if(F.col("side") == 0).alias("lefts"))
     # an element of one side alone joins nothing, but keeps its place in the order
     placed = flat.join(common, "element").withColumn("place", F.row_number().over(Window.partitionBy("side", "id").orderBy("rows", "element")))
