@@ -200,9 +200,10 @@ def spans_to_delete(docs_keyed: DataFrame, least: int = LEAST_LINES, words: int
     longest: the lines of the longest maximal run that begins in the span.
     """
     prefixes = common_prefixes(line_ids(docs_keyed))
-    found = [later_copies(prefixes, least)]
+    # each is written, so the driver never plans all of them at once
+    found = [written(later_copies(prefixes, least))]
     for depth in range(1, least if words is not None else 1):
-        found.append(later_copies(prefixes, depth).join(long_windows(docs_keyed, depth, words), list(SUFFIX), "left_semi"))
+        found.append(written(later_copies(prefixes, depth).join(long_windows(docs_keyed, depth, words), list(SUFFIX), "left_semi")))
     later = functools.reduce(DataFrame.union, found)
     w = Window.partitionBy("doc", "mark").orderBy("n", "stop")
     reached = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))

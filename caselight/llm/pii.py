@@ -157,6 +157,11 @@ def like(value: Column, digest: Column) -> Column:
     return F.array_join(made, "")
 
 
+def _piece(text: Column, digest: Column) -> Column:
+    """What `like` is to replace, with the digest that it does so by."""
+    return F.struct(text.alias("text"), digest.alias("digest"))
+
+
 def _luhn_sum(digits: Column) -> Column:
     """The check sum of a number whose last digit is the check digit."""
     reversed_ = F.split(F.reverse(digits), "")
@@ -169,12 +174,16 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(reversed_, one), F.lit(0), lambda a, b: a + b)
 
 
-def _card(value: Column, digest: Column) -> Column:
-    """The network's first digit stays; a valid number stays valid."""
-    body = F.concat(F.substring(value, 1, 1), like(F.substring(value, F.lit(2), F.length(value) - 2), digest))
+def _card_parts(value: Column, digest: Column) -> list[Column]:
+    """The network's first digit stays; the last digit is apart, as it may be a check digit."""
+    return [_piece(F.substring(value, F.lit(2), F.length(value) - 2), digest), _piece(F.right(value, F.lit(1)), _turned(digest, 60))]
+
+
+def _card(value: Column, made: Column) -> Column:
+    """A valid number stays valid; made are the pieces in their new signs."""
+    body = F.concat(F.substring(value, 1, 1), F.get(made, 0))
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    plain = like(F.right(value, F.lit(1)), _turned(digest, 60))
-    return F.concat(body, F.when(_luhn_sum(value) % 10 == 0, check).otherwise(plain))
+    return F.concat(body, F.when(_luhn_sum(value) % 10 == 0, check).otherwise(F.get(made, 1)))
 
 
 def _mod97(packed: Column) -> Column:
@@ -183,13 +192,16 @@ def _mod97(packed: Column) -> Column:
     return F.aggregate(F.split(packed, ""), F.lit(0), lambda total, c: (total * F.when(value(c) < 10, 10).otherwise(100) + value(c)) % 97)
 
 
-def _iban(value: Column, digest: Column) -> Column:
+def _iban_parts(value: Column, digest: Column) -> list[Column]:
+    return [_piece(F.substring(value, F.lit(5), F.length(value)), digest), _piece(F.substring(value, 3, 2), _turned(digest, 60))]
+
+
+def _iban(value: Column, made: Column) -> Column:
     """The country stays; the check digits of a valid number are those of its surrogate."""
-    country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
-    made = like(body, digest)
-    check = F.lpad((98 - _mod97(F.concat(made, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(body, F.substring(value, 1, 4))) == 1
-    return F.concat(country, F.when(valid, check).otherwise(like(F.substring(value, 3, 2), _turned(digest, 60))), made)
+    country, body = F.substring(value, 1, 2), F.get(made, 0)
+    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))) == 1
+    return F.concat(country, F.when(valid, check).otherwise(F.get(made, 1)), body)
 
 
 def _name_part(digest: Column, syllables: int, cyrillic: Column, ending: Column) -> Column:
@@ -211,9 +223,10 @@ def name_parts(kind: Column, value: Column) -> Column:
 def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     """Adds surrogate, the replacement of a canonical entity or a name's part at some attempt, canonical but for names' case.
 
-    The digest is a column first, so it is worked out once and the plan stays small; the key is
-    in a row of its own, so no plan shows it. Names and the hosts of addresses grow with the
-    attempt; after ATTEMPTS, everything does.
+    The digest is a column first, so it is worked out once, and so are the pieces that `like`
+    replaces: an entity of any kind is an array of them, so the plan holds `like` once, not once
+    for each kind. The key is in a row of its own, so no plan shows it. Names and the hosts of
+    addresses grow with the attempt; after ATTEMPTS, everything does.
     """
     last = attempt >= ATTEMPTS
     longer = LAST_SIGNS if last else attempt
@@ -225,24 +238,34 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     d, spare = F.col("_d"), F.lit("0" * LAST_SIGNS if last else "")
     at = F.instr(value, "@")
     local, host = F.substring(value, F.lit(1), at - 1), F.substring(value, at + 1, F.length(value))
+    label = F.concat(F.regexp_extract(host, r"^([^.]*)", 1), F.lit("x" * longer))
+    more = _piece(spare, _turned(d, 30))
+    pieces = (
+        F.when(kind == "email", F.array(_piece(local, d), _piece(label, _turned(d, 50))))
+        .when(kind == "card", F.array(*_card_parts(value, d), more))
+        .when(kind == "key", F.array(_piece(F.concat(F.substring(value, F.lit(5), F.length(value)), spare), d)))
+        .when(kind == "iban", F.array(*_iban_parts(value, d), more))
+        .when(~kind.isin("ip", "given", "surname"), F.array(_piece(F.concat(value, spare), d)))
+    )
+    made = F.col("_made")
     zone = F.get(F.array(*map(F.lit, ("com", "net", "org"))), (_number(d, 40) % 3).cast("int"))
-    label = like(F.concat(F.regexp_extract(host, r"^([^.]*)", 1), F.lit("x" * longer)), _turned(d, 50))
-    email = F.concat(like(local, d), F.lit("@"), F.regexp_replace(label, "-", "x"), F.lit(".example."), zone)
+    email = F.concat(F.get(made, 0), F.lit("@"), F.regexp_replace(F.get(made, 1), "-", "x"), F.lit(".example."), zone)
     short_ip = F.concat_ws(".", *[(_number(d, i * 3) % 254 + 1).cast("string") for i in range(4)])
     long_ip = F.concat(F.lit("fd00:"), F.concat_ws(":", *[F.substring(d, i * 4 + 1, 4) for i in range(7)]))
     chosen = (
         F.when(kind == "email", email)
         .when(kind == "ip", long_ip if last else short_ip)
-        .when(kind == "card", F.concat(_card(value, d), like(spare, _turned(d, 30))))
-        .when(kind == "key", F.concat(F.substring(value, 1, 4), like(F.concat(F.substring(value, F.lit(5), F.length(value)), spare), d)))
-        .when(kind == "iban", F.concat(_iban(value, d), like(spare, _turned(d, 30))))
+        .when(kind == "card", F.concat(_card(value, made), F.get(made, 2)))
+        .when(kind == "key", F.concat(F.substring(value, 1, 4), F.get(made, 0)))
+        .when(kind == "iban", F.concat(_iban(value, made), F.get(made, 2)))
         .when(kind == "given", _name_part(d, 2 + longer, cyrillic, end))
         .when(kind == "surname", _name_part(d, 3 + longer, cyrillic, F.when(cyrillic, "ев").otherwise("son")))
-        .otherwise(like(F.concat(value, spare), d))
+        .otherwise(F.get(made, 0))
     )
     # one row, the key
     keyed = entities_.crossJoin(F.broadcast(own_key)).withColumn("_d", _digest(kind, value, F.lit(attempt)))
-    return keyed.withColumn("surrogate", chosen).drop("_key", "_d")
+    keyed = keyed.withColumn("_made", F.transform(pieces, lambda p: like(p["text"], p["digest"])))
+    return keyed.withColumn("surrogate", chosen).drop("_key", "_d", "_made")
 
 
 #: The letters that initials are turned among; the turn is the key's.
@@ -318,8 +341,8 @@ def assign(distinct_parts: DataFrame, key: str) -> DataFrame:
         free = named.join(taken, ["kind", "name"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("kind", "name"), ["kind", "name"], "left_anti")
-        first = free.groupBy("kind", "name").agg(F.min("canonical").alias("canonical"))
-        won = keep_lineage_short(free.join(first, ["kind", "name", "canonical"]).select("kind", "canonical", "surrogate", "name"))
+        # the first of those that share a name takes it, in one grouping: `free` is not worked out twice
+        won = keep_lineage_short(free.groupBy("kind", "name").agg(F.min(F.struct("canonical", "surrogate")).alias("first")).select("kind", "first.*", "name"))
         settled = won if settled is None else settled.union(won)
         open_ = keep_lineage_short(open_.join(won, ["kind", "canonical"], "left_anti"))
         if open_.isEmpty():
