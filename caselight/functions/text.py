@@ -230,12 +230,30 @@ HISTORY_NAMES = (("упд", "upd"), ("укд", "ukd"), ("мчд", "mcd"))
 TOPIC_PREFIX = r"(?iu)^\s*подтема\s+запроса\s*:\s*"
 
 
+#: What stands between the words of a past question's search form.
+HISTORY_GAPS = "[^a-zа-яё0-9]+"
+
+
+def history_plain(text: Column) -> Column:
+    """Past questions with no topic prefix and names in Latin letters; HISTORY_GAPS parts their words.
+
+    A look for one sign comes first, as few texts have a prefix or a name.
+    """
+    out = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ё"), F.lit("е"))
+    out = F.when(out.contains(":"), F.regexp_replace(out, TOPIC_PREFIX, "")).otherwise(out)
+    named = out
+    for name, latin in HISTORY_NAMES:
+        named = F.replace(named, F.lit(name), F.lit(latin))
+    return F.when(out.contains("д"), named).otherwise(out)
+
+
+def history_words(plain: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(plain, F.lit("([a-zа-яё0-9]+)"), F.lit(1)), " ")
+
+
 def history_form(text: Column) -> Column:
     """Search form of past questions: no topic prefix, names in Latin letters, words alone."""
-    out = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), "ёЁ", "еЕ")), TOPIC_PREFIX, "")
-    for name, latin in HISTORY_NAMES:
-        out = F.replace(out, F.lit(name), F.lit(latin))
-    return F.array_join(F.regexp_extract_all(out, F.lit("([a-zа-яё0-9]+)"), F.lit(1)), " ")
+    return history_words(history_plain(text))
 
 
 #: Words that say nothing of a past question's matter.
