@@ -113,8 +113,8 @@ def likely_pairs(queries: pa.Table, best: int, pairs: int) -> Batches:
 def near_pairs(queries: pa.Table, reached: np.ndarray, best: int, pairs: int) -> Batches:
     """For mapInArrow over records (item_id, order, text, plain): pairs that can score what is reached for their query.
 
-    They get least, and most, with a bound of the alignment: 2 * min / (a + b) of the lengths. Of
-    equal texts in a batch the first `best` by order stay.
+    They get least, most, with a bound of the alignment (2 * min / (a + b) of the lengths), and
+    reached. Of equal texts in a batch the first `best` by order stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +128,13 @@ def near_pairs(queries: pa.Table, reached: np.ndarray, best: int, pairs: int) ->
                 most = least[q, row] + 0.25 * (2 * np.minimum(a, b) / np.maximum(a + b, 1))
                 near = most >= reached[q] - NEAR
                 if near.any():
-                    yield placed(batch, codes, asked.texts, q[near], row[near] + at, least[q, row][near], most[near], best)
+                    bounds = {"least": least[q, row][near], "most": most[near], "reached": reached[q][near]}
+                    yield placed(batch, codes, asked.texts, q[near], row[near] + at, bounds, best)
 
     return run
 
 
-def placed(batch: pa.RecordBatch, codes: np.ndarray, texts: pa.Array, q: np.ndarray, code: np.ndarray, least: np.ndarray, most: np.ndarray, best: int) -> pa.RecordBatch:
+def placed(batch: pa.RecordBatch, codes: np.ndarray, texts: pa.Array, q: np.ndarray, code: np.ndarray, bounds: dict[str, np.ndarray], best: int) -> pa.RecordBatch:
     """Pairs of a query and a distinct text as pairs of the query and the first rows of that text."""
     firsts = {c: np.flatnonzero(codes == c) for c in np.unique(code).tolist()}
     for c, same in firsts.items():
@@ -142,8 +143,8 @@ def placed(batch: pa.RecordBatch, codes: np.ndarray, texts: pa.Array, q: np.ndar
             firsts[c] = same[sorted(range(len(same)), key=keys.__getitem__)[:best]]
     pair = np.repeat(np.arange(len(code)), [len(firsts[c]) for c in code.tolist()])
     taken = batch.take(pa.array(np.concatenate([firsts[c] for c in code.tolist()])))
-    names = ["query", "item_id", "order", "text", "least", "most"]
-    return pa.RecordBatch.from_arrays([texts.take(pa.array(q[pair])), *[taken.column(c) for c in names[1:4]], pa.array(least[pair]), pa.array(most[pair])], names)
+    kept = {c: taken.column(c) for c in ("item_id", "order", "text")}
+    return pa.RecordBatch.from_pydict({"query": texts.take(pa.array(q[pair])), **kept, **{c: pa.array(v[pair]) for c, v in bounds.items()}})
 
 
 def longest_common(masks: dict[str, int], n: int, text: str) -> int:
@@ -156,24 +157,25 @@ def longest_common(masks: dict[str, int], n: int, text: str) -> int:
 
 
 def aligned(best: int) -> Batches:
-    """For mapInArrow over pairs (query, q_form, s_form, least, most, ...), by query and falling most: those that can be among the best, with sequence.
+    """For mapInArrow over pairs (query, q_form, s_form, least, most, reached, ...), by query and falling most: those that can be among the best, with sequence.
 
-    A pair is aligned only while its bound reaches the `best` scores met so far. Matching blocks
-    are a common subsequence, so the longest one is a second bound, much cheaper than they are.
+    A pair is aligned only if its bound comes up to what is reached and to the `best` scores met
+    so far. Matching blocks are a common subsequence, so the longest one is a second bound, much
+    cheaper than they are. Each partition stands alone, so a query's pairs can lie in many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query = before = None
         for batch in batches:
-            columns = [batch.column(c) for c in ("query", "least", "most")]
+            columns = [batch.column(c) for c in ("query", "least", "most", "reached")]
             rows, found = [], []
-            for i, (text, least, most) in enumerate(zip(*[c.to_pylist() for c in columns], strict=True)):
+            for i, (text, least, most, reached) in enumerate(zip(*[c.to_pylist() for c in columns], strict=True)):
                 if text != query:
                     query, before, top, a = text, None, [], batch.column("q_form")[i].as_py()
                     masks: dict[str, int] = {}
                     for k, letter in enumerate(a):
                         masks[letter] = masks.get(letter, 0) | 1 << k
-                reached = top[0] if len(top) == best else 0.0
+                reached = max(reached, top[0]) if len(top) == best else reached
                 if most < reached - NEAR:
                     continue
                 b = batch.column("s_form")[i].as_py()

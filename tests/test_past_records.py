@@ -70,3 +70,19 @@ def test_few_pairs_are_aligned(monkeypatch):
     found = pa.Table.from_batches(past_records.aligned(3)(iter(near.to_batches())))
     assert {o for o, _ in want} <= set(found["order"].to_pylist())
     assert len(calls) < 50  # of 2,000 that share a term
+
+
+def test_nothing_asked_and_nothing_held(spark):
+    assert history(spark, [(1, "не об"), (2, "")], [(1, "не об"), (2, "портал")]) == {}
+    assert history(spark, [(1, None)], [(1, "портал")]) == {}
+    assert history(spark, [(1, "портал")], [(1, None), (2, ""), (3, "?!")]) == {}
+    assert [(r["item_id"], r["score"]) for r in history(spark, [(1, "портал")], [(1, "портал")])[1]] == [(1, 1.0)]
+
+
+def test_pairs_of_one_query_are_aligned_in_many_partitions(spark):
+    asked = spark.createDataFrame([(1, "of of of of")], "query_id long, text string")
+    lines = spark.range(3000).select(F.col("id").alias("item_id"), F.col("id").alias("order"), F.concat(F.lit("of "), F.col("id").cast("string")).alias("text"))
+    found = evidence.history_matches(asked, lines)
+    dealt = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [query" in dealt and f", {evidence.ALIGN_PARTS}" in dealt and ", text#" in dealt.split("RepartitionByExpression [")[1].split("]")[0]
+    assert [(r["item_id"], r["score"]) for r in found.orderBy("rank").collect()] == plain_best("of of of of", [(i, f"of {i}") for i in range(3000)])
